@@ -124,8 +124,8 @@ MESSAGE_TYPES = {
 
 def lookup(code: Column, table: dict) -> Column:
     """Value of ``code`` in a small fixed table, null when absent."""
-    entries = [F.lit(x) for pair in table.items() for x in pair]
-    return F.try_element_at(F.create_map(*entries), code)
+    entries = ", ".join(f"{k!r}, {v!r}" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({entries})"), code)
 
 
 def clean_latitude(value: Column) -> Column:
@@ -221,9 +221,10 @@ def sender_entity_type(category: Column) -> Column:
     )
 
 
-def sender_country_digits(mmsi: Column) -> Column:
+def sender_country_digits(mmsi: Column, category: Column | None = None) -> Column:
     """The three flag digits, where the sender kind has them."""
-    digits, category = sender_digits(mmsi), sender_category(mmsi)
+    digits = sender_digits(mmsi)
+    category = sender_category(mmsi) if category is None else category
     return (
         F.when(category == "coast_station", F.substring(digits, 3, 3))
         .when(category == "group", F.substring(digits, 2, 3))

@@ -28,8 +28,8 @@ TEXT_CONFIG = {
 
 def text_config(lang: Column) -> Column:
     two = F.lower(F.substring(lang, 1, 2))
-    entries = [F.lit(x) for pair in TEXT_CONFIG.items() for x in pair]
-    return F.coalesce(F.try_element_at(F.create_map(*entries), two), F.lit("simple"))
+    entries = ", ".join(f"{k!r}, {v!r}" for k, v in TEXT_CONFIG.items())
+    return F.coalesce(F.try_element_at(F.expr(f"map({entries})"), two), F.lit("simple"))
 
 
 def tokens(text: Column) -> Column:

@@ -413,3 +413,170 @@ def case_items(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("supp:"), (F.col("o_orderkey") % 150).cast("string")).alias("object_id"),
     ).distinct()
     return events_part.unionByName(entity_part)
+
+
+def ais_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """AIS envelopes as JSON text, one per event, with every special value.
+
+    The message type follows ``event_id % 6``, the special value
+    ``event_id % 11``, and the sender kind ``user_id % 12``.
+    """
+    e, u, k = F.col("event_id"), F.col("user_id"), F.col("k")
+    case = e % 11
+    start = (
+        F.when(u % 12 == 0, 2300000)
+        .when(u % 12 == 1, 20000000)
+        .when(u % 12 == 2, 111000000)
+        .when(u % 12 == 3, 992000000)
+        .when(u % 12 == 4, 982000000)
+        .when(u % 12 == 5, 970000000)
+        .when(u % 12 == 6, 972000000)
+        .when(u % 12 == 7, 974000000)
+        .otherwise(211000000)
+    )
+    lost = (F.col("event_type") == "error") & (k < 10)
+    mmsi = F.when(lost, F.lit(0)).otherwise(start + u).cast("long")
+    lat = F.when(case == 0, 91.0).when(case == 1, 0.0).otherwise(_anchor_lat(u) + (e % 89) / 1000)
+    lon = F.when(case == 0, 181.0).when(case == 1, 0.0).otherwise(_anchor_lon(u) + (e % 100) / 1000)
+    dim = F.struct(
+        (k % 30).alias("A"), (k % 20).alias("B"), (k % 6).alias("C"), (k % 7).alias("D")
+    )
+    name = F.when(k % 6 == 0, "@@@@@@").otherwise(F.concat(F.lit("VESSEL "), u.cast("string"), F.lit("@@")))
+    call = F.when(k % 5 == 0, "@@@@@@@").otherwise(F.concat(F.lit("DA"), u.cast("string")))
+    position = [
+        F.lit(1).alias("MessageID"),
+        mmsi.alias("UserID"),
+        lat.alias("Latitude"),
+        lon.alias("Longitude"),
+        F.when(case == 2, 102.3).when(case == 9, 451.0).otherwise(F.col("value") % 60).alias("Sog"),
+        F.when(case == 3, 3600.0)
+        .when(case == 4, 360.0)
+        .when(case == 9, 1234.0)
+        .otherwise(((e * 7) % 360).cast("double"))
+        .alias("Cog"),
+        F.when(case == 4, 511).otherwise((e * 3) % 360).alias("TrueHeading"),
+        F.when(case == 5, -128).when(case == 6, 127).otherwise(k - 50).alias("RateOfTurn"),
+        (k % 16).alias("NavigationalStatus"),
+        (k % 2 == 0).alias("PositionAccuracy"),
+        F.when(case == 7, 62).when(case == 8, 63).otherwise(k % 60).alias("Timestamp"),
+    ]
+    bodies = {
+        "PositionReport": F.struct(*position),
+        "ShipStaticData": F.struct(
+            F.lit(5).alias("MessageID"),
+            mmsi.alias("UserID"),
+            F.when(k % 4 == 0, 1000000 + e)
+            .when(k % 4 == 1, F.lit(0))
+            .when(k % 4 == 2, mmsi)
+            .otherwise(F.lit(9074729))
+            .cast("long")
+            .alias("ImoNumber"),
+            call.alias("CallSign"),
+            name.alias("Name"),
+            k.alias("Type"),
+            dim.alias("Dimension"),
+            (k % 9).alias("FixType"),
+            F.struct(
+                (k % 14).alias("Month"), (k % 33).alias("Day"), (k % 25).alias("Hour"), (k % 62).alias("Minute")
+            ).alias("Eta"),
+            k.cast("double").alias("MaximumStaticDraught"),
+            F.concat(F.lit("PORT "), (k % 8).cast("string"), F.lit("@@@")).alias("Destination"),
+        ),
+        "StandardClassBPositionReport": F.struct(*position),
+        "ExtendedClassBPositionReport": F.struct(
+            *position, name.alias("Name"), k.alias("Type"), dim.alias("Dimension"), (k % 9).alias("FixType")
+        ),
+        "AidsToNavigationReport": F.struct(
+            F.lit(21).alias("MessageID"),
+            mmsi.alias("UserID"),
+            (k % 40).alias("Type"),
+            name.alias("Name"),
+            F.when(k % 2 == 0, "EXT").otherwise("@@").alias("NameExtension"),
+            lat.alias("Latitude"),
+            lon.alias("Longitude"),
+            F.when(case == 7, 62).when(case == 8, 63).otherwise(k % 60).alias("Timestamp"),
+            (k % 3 == 0).alias("OffPosition"),
+            (k % 2 == 0).alias("VirtualAtoN"),
+            dim.alias("Dimension"),
+            (k % 9).alias("Fixtype"),
+        ),
+        "StaticDataReport": F.struct(
+            F.lit(24).alias("MessageID"),
+            mmsi.alias("UserID"),
+            (k % 2).alias("PartNumber"),
+            F.when(k % 2 == 0, F.struct(F.lit(True).alias("Valid"), name.alias("Name"))).alias("ReportA"),
+            F.when(
+                k % 2 == 1,
+                F.struct(
+                    F.lit(True).alias("Valid"),
+                    call.alias("CallSign"),
+                    k.alias("ShipType"),
+                    F.when(k % 3 == 0, "ABC").otherwise("@@@").alias("VendorIDName"),
+                    dim.alias("Dimension"),
+                    (k % 9).alias("FixType"),
+                ),
+            ).alias("ReportB"),
+        ),
+    }
+    base_station = k.between(90, 92)
+    kind = F.when(base_station, "BaseStationReport")
+    for i, body in enumerate(bodies):
+        kind = kind.when(e % 6 == i, body)
+    message = F.struct(
+        *[F.when(~base_station & (e % 6 == i), body).alias(n) for i, (n, body) in enumerate(bodies.items())]
+    )
+    ts = F.col("ts").cast("timestamp")
+    sent = F.when(k == 97, ts + F.expr("INTERVAL 1 DAY")).otherwise(ts)
+    metadata = F.struct(
+        mmsi.alias("MMSI"),
+        mmsi.cast("string").alias("MMSI_String"),
+        F.when(k % 6 == 1, F.concat(F.lit("OTHER "), u.cast("string"))).otherwise(name).alias("ShipName"),
+        F.when(k == 96, "not a time")
+        .otherwise(F.concat(F.date_format(sent, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" +0000 UTC")))
+        .alias("time_utc"),
+    )
+    return (
+        table(spark, folder, "events")
+        .withColumn("k", _k())
+        .select(
+            e.alias("event_id"),
+            F.explode(
+                F.array(F.to_json(F.struct(kind.alias("MessageType"), metadata.alias("MetaData"), message.alias("Message"))))
+            ).alias("value"),
+            (micros("ts") + (e % 15) * 1_000_000).alias("fetched_us"),
+            F.concat(F.lit("src"), (k % 20).cast("string")).alias("source_id"),
+        )
+    )
+
+
+def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines as a feed delivers them: messages, errors, arrays and broken text.
+
+    ``variant`` says what the line is meant to be; shapes drift with ``k``.
+    """
+    e, k = F.col("event_id"), F.col("k")
+    base = (
+        F.lit('{"id":'), e.cast("string"), F.lit(',"kind":"'), F.col("event_type"), F.lit('","pos":{"x":'),
+        (e % 100).cast("string"), F.lit(',"tags":["a","b"]}'),
+    )
+    good = F.concat(*base, F.lit(',"k":'), k.cast("string"), F.lit("}"))
+    return (
+        table(spark, folder, "events")
+        .withColumn("k", _k())
+        .select(
+            e.alias("event_id"),
+            (F.floor(micros("ts") / DAY_US) - 19723).alias("day_no"),
+            F.when(k == 0, F.concat(F.lit("not json "), e.cast("string")))
+            .when(k == 1, F.concat(F.lit("["), e.cast("string"), F.lit("]")))
+            .when(k == 2, F.lit('{"error":"throttled"}'))
+            .when(k == 3, F.concat(*base, F.lit(',"k":"three"}')))
+            .when(k == 4, F.concat(*base, F.lit(',"k":4.5}')))
+            .when(k == 5, F.concat(*base, F.lit(',"k":null}')))
+            .when(k == 6, F.concat(*base, F.lit(',"k":[6]}')))
+            .when(k == 7, F.concat(*base, F.lit("}")))
+            .when(k == 8, F.concat(*base, F.lit(',"k":8,"extra":true}')))
+            .otherwise(good)
+            .alias("value"),
+            k,
+        )
+    )
