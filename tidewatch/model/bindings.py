@@ -83,7 +83,7 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
             F.substring("o_orderpriority", 1, 1),
         ).alias("type"),
         micros("o_orderdate").alias("occurred_us"),
-        F.round(F.col("o_totalprice") / 500000, 6).alias("severity"),
+        (F.col("o_totalprice") / 500000).alias("severity"),
         F.when(F.col("o_orderstatus") == "F", "confirmed")
         .when(F.col("o_orderstatus") == "O", "reported")
         .otherwise("rumored")
@@ -255,8 +255,8 @@ def snapshots(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("l_returnflag") == "A", "confirmed")
         .otherwise("reported")
         .alias("status"),
-        F.round(F.col("l_quantity") / 50, 6).alias("severity"),
-        F.round(1 - F.col("l_discount"), 6).alias("confidence"),
+        (F.col("l_quantity") / 50).alias("severity"),
+        (1 - F.col("l_discount")).alias("confidence"),
         F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("summary"),
     )
 

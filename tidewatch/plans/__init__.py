@@ -5,6 +5,9 @@ from importlib import import_module
 FAMILIES = [
     "filters",
     "canonical",
+    "landing",
+    "metrics",
+    "tracks",
 ]
 
 

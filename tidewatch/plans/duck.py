@@ -36,7 +36,7 @@ FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM
     "evt": f"""
 SELECT o_orderkey AS event_id,
   'economic.' || lower(o_orderstatus) || '.p' || substr(o_orderpriority, 1, 1) AS type,
-  epoch_us(o_orderdate) AS occurred_us, round(o_totalprice / 500000, 6) AS severity,
+  epoch_us(o_orderdate) AS occurred_us, o_totalprice / 500000 AS severity,
   CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'reported' ELSE 'rumored' END AS status,
   {_lon('c_nationkey')} + (c_custkey % 50) / 100e0 AS lon,
   {_lat('c_nationkey')} + (c_custkey % 30) / 100e0 AS lat,
@@ -86,7 +86,7 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
 SELECT l_orderkey AS object_id,
   epoch_us(l_shipdate) + l_linenumber * 1000000 + l_partkey % 1000000 AS changed_us,
   CASE l_returnflag WHEN 'R' THEN 'retracted' WHEN 'A' THEN 'confirmed' ELSE 'reported' END AS status,
-  round(l_quantity / 50, 6) AS severity, round(1 - l_discount, 6) AS confidence,
+  l_quantity / 50 AS severity, 1 - l_discount AS confidence,
   'part ' || CAST(l_partkey AS VARCHAR) AS summary FROM lineitem""",
     "src": f"""
 SELECT source_id, substr('ABCDEF', n % 6 + 1, 1) AS reliability,
