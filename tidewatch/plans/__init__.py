@@ -8,6 +8,8 @@ FAMILIES = [
     "landing",
     "metrics",
     "tracks",
+    "bitemporal",
+    "quality",
 ]
 
 
