@@ -307,8 +307,8 @@ def areas(spark: SparkSession, folder: str) -> DataFrame:
     r = table(spark, folder, "region")
     key = F.col("n_nationkey")
     ring_type = "array<struct<lon:double,lat:double>>"
-    west = (F.col("r_regionkey") * 60 - 160.5).cast("double")
-    south = (F.col("r_regionkey") * 18 - 60.5).cast("double")
+    west = (F.col("r_regionkey") * 60 - 160.5003).cast("double")
+    south = (F.col("r_regionkey") * 18 - 60.50021).cast("double")
 
     def corner(x: Column, y: Column) -> Column:
         return F.struct(x.alias("lon"), y.alias("lat"))

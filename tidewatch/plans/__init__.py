@@ -10,6 +10,9 @@ FAMILIES = [
     "tracks",
     "bitemporal",
     "quality",
+    "resolution",
+    "areas",
+    "fusion",
 ]
 
 

@@ -109,8 +109,8 @@ SELECT 'nation-' || CAST(n_nationkey AS VARCHAR) AS aoi_id, 'circle' AS kind,
   20e0 + n_nationkey AS decay_km, 0.5e0 + (n_nationkey % 4) / 4e0 AS weight,
   CAST((n_nationkey % 5) * 15 AS DOUBLE) AS min_priority FROM nation
 UNION ALL
-SELECT 'region-' || CAST(r_regionkey AS VARCHAR), 'polygon', r_regionkey * 60 - 160.5e0 + 20,
-  r_regionkey * 18 - 60.5e0 + 20, NULL, r_regionkey * 60 - 160.5e0, r_regionkey * 18 - 60.5e0, 100e0, 1e0, 30e0 FROM region""",
+SELECT 'region-' || CAST(r_regionkey AS VARCHAR), 'polygon', r_regionkey * 60 - 160.5003e0 + 20,
+  r_regionkey * 18 - 60.50021e0 + 20, NULL, r_regionkey * 60 - 160.5003e0, r_regionkey * 18 - 60.50021e0, 100e0, 1e0, 30e0 FROM region""",
     "alerts": f"""
 SELECT event_id AS alert_id, 'rule-' || CAST(k % 4 AS VARCHAR) AS rule_id,
   'user-' || CAST(user_id AS VARCHAR) AS dedupe_key, epoch_us(ts) AS seen_us,
