@@ -13,6 +13,7 @@ FAMILIES = [
     "resolution",
     "areas",
     "fusion",
+    "texts",
 ]
 
 
