@@ -14,6 +14,7 @@ FAMILIES = [
     "areas",
     "fusion",
     "texts",
+    "streams",
 ]
 
 

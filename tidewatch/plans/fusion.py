@@ -201,10 +201,10 @@ FACTOR_SQL = (
 )
 
 
-@query("a7_factors", with_views(SCORE_VIEWS, FACTOR_SQL + " SELECT event_id, factor, round(raw, 5) AS raw, round(contribution, 5) AS contribution FROM fac"))
+@query("a7_factors", with_views(SCORE_VIEWS, FACTOR_SQL + " SELECT event_id, factor, round(raw, 10) AS raw, round(contribution, 10) AS contribution FROM fac"))
 def a7_factors(spark, d):
     f = sc.factor_rows(scored(spark, d))
-    return f.select("event_id", "factor", F.round("raw", 5).alias("raw"), F.round("contribution", 5).alias("contribution"))
+    return f.select("event_id", "factor", F.round("raw", 10).alias("raw"), F.round("contribution", 10).alias("contribution"))
 
 
 @query(
@@ -223,15 +223,15 @@ def a8(spark, d):
     "k1_top_events",
     with_views(
         SCORE_VIEWS,
-        SCORED + f""" SELECT event_id, type, round(priority, 4) AS priority, {LEVEL} AS level, occurred_us, aoi_id, round(severity, 5) AS severity, round(recency, 5) AS recency,
-      round(corroboration, 5) AS corroboration, round(proximity, 5) AS proximity, reliability FROM scored ORDER BY scored.priority DESC NULLS LAST, occurred_us DESC, event_id LIMIT 20""",
+        SCORED + f""" SELECT event_id, type, round(priority, 4) AS priority, {LEVEL} AS level, occurred_us, aoi_id, round(severity, 10) AS severity, round(recency, 10) AS recency,
+      round(corroboration, 10) AS corroboration, round(proximity, 10) AS proximity, reliability FROM scored ORDER BY scored.priority DESC NULLS LAST, occurred_us DESC, event_id LIMIT 20""",
     ),
 )
 def k1(spark, d):
     top = sc.top_events(scored(spark, d), 20)
     return top.select(
         "event_id", "type", F.round("priority", 4).alias("priority"), canonical.priority_level(F.col("priority")).alias("level"), "occurred_us", "aoi_id",
-        *[F.round(c, 5).alias(c) for c in ("severity", "recency", "corroboration", "proximity")], "reliability",
+        *[F.round(c, 10).alias(c) for c in ("severity", "recency", "corroboration", "proximity")], "reliability",
     )
 
 
