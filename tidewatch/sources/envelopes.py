@@ -44,7 +44,8 @@ def classify_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     error = F.coalesce(
         F.try_variant_get(parsed, "$.error", "string"), F.try_variant_get(parsed, "$.Error", "string")
     )
-    is_object = F.schema_of_variant(parsed).startswith("OBJECT")
+    # Valid JSON that opens with a brace is an object; no need to walk it again.
+    is_object = parsed.isNotNull() & F.ltrim(F.col(value), F.lit(" \t\r\n")).startswith("{")
     return lines.withColumn(
         "line_kind",
         F.when(parsed.isNull(), "not_json")
