@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import ais, geo, ids
+from tidewatch.functions.plan import computed_once
 from tidewatch.model import labels
 
 SOURCE_ID = "ais-feed"
@@ -149,7 +150,8 @@ def ais_observations(parsed: DataFrame, max_skew_s: float = 300.0) -> DataFrame:
             "cog": F.col("cog_deg"),
         },
     )
-    obs_id = ids.deterministic_ulid(effective, seed)
+    # Part of the row and of its key: hashed once.
+    facts = computed_once(facts, "obs_id", ids.deterministic_ulid(effective, seed))
     placed = F.col("lat").isNotNull()
     flags = F.array_compact(
         F.array(
@@ -161,7 +163,7 @@ def ais_observations(parsed: DataFrame, max_skew_s: float = 300.0) -> DataFrame:
         )
     )
     return facts.select(
-        obs_id.alias("obs_id"),
+        "obs_id",
         F.lit(SCHEMA_VERSION).alias("schema_version"),
         "observed_us",
         F.col("fetched_us").alias("ingested_us"),
@@ -192,7 +194,7 @@ def ais_observations(parsed: DataFrame, max_skew_s: float = 300.0) -> DataFrame:
         .when(~F.col("accuracy_high"), 100.0)
         .alias("position_accuracy_m"),
         flags.alias("quality_flags"),
-        F.concat(F.lit(f"{SOURCE_ID}:pos:"), obs_id).alias("dedupe_key"),
+        F.concat(F.lit(f"{SOURCE_ID}:pos:"), "obs_id").alias("dedupe_key"),
     )
 
 
@@ -281,6 +283,7 @@ def ais_entities(parsed: DataFrame, max_skew_s: float = 300.0) -> DataFrame:
         },
     )
     entity_id = ids.deterministic_ulid(F.coalesce("observed_us", "fetched_us"), seed)
+    facts = computed_once(facts, "entity_id", entity_id)
 
     def identifier(scheme: str, value: Column, stability: str, primary: Column) -> Column:
         return F.when(
@@ -301,7 +304,7 @@ def ais_entities(parsed: DataFrame, max_skew_s: float = 300.0) -> DataFrame:
         )
     )
     return facts.select(
-        entity_id.alias("entity_id"),
+        "entity_id",
         F.lit(SCHEMA_VERSION).alias("schema_version"),
         "observed_us",
         F.col("fetched_us").alias("ingested_us"),
@@ -336,5 +339,5 @@ def ais_entities(parsed: DataFrame, max_skew_s: float = 300.0) -> DataFrame:
         F.array_compact(
             F.array(F.when(F.col("bad_imo"), F.lit("invalid_imo_checksum")), F.col("vendor_flag"), F.col("time_flag"))
         ).alias("quality_flags"),
-        F.concat(F.lit(f"{SOURCE_ID}:static:"), entity_id).alias("dedupe_key"),
+        F.concat(F.lit(f"{SOURCE_ID}:static:"), "entity_id").alias("dedupe_key"),
     )
