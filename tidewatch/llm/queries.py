@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import blocks, decontaminate, mixing, near_dups, pii, quality
+from tidewatch.llm import blocks, decontaminate, mixing, near_dups, pii, quality, repeats
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -62,3 +62,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(pii.told(F.col("base_spans")), 256).alias("base_sha256"), pii.told(F.col("spans")).alias("spans")
     )
+
+
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.find_repeats(blocks.documents(spark, folder))
