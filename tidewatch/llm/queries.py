@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import blocks, decontaminate, mixing, near_dups, pii, quality, repeats
+from tidewatch.llm import blocks, decontaminate, language, mixing, near_dups, pii, quality, repeats, toxicity
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -67,3 +67,24 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_suffix_dedup")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.find_repeats(blocks.documents(spark, folder))
+
+
+def _held_out():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = blocks.documents(spark, folder).select("doc_id", "text")
+    labels = blocks.documents(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
+    learn = docs.filter(F.col("doc_id").isNotNull() & ~_held_out()).join(labels.filter("label IS NOT NULL"), "doc_id")
+    scored = toxicity.score(docs, toxicity.fit(learn))
+    return scored.select("doc_id", _held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op4_language")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = blocks.documents(spark, folder).select("doc_id", "text", "lang")
+    trees = language.fit(docs.filter(F.col("doc_id").isNotNull() & ~_held_out()))
+    found = language.identify(docs.select("doc_id", "text"), trees)
+    return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
