@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import blocks, decontaminate, language, mixing, near_dups, pii, quality, repeats, toxicity
+from tidewatch.llm import blocks, decontaminate, html_text, language, mixing, near_dups, pii, quality, repeats, toxicity
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -88,3 +88,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     trees = language.fit(docs.filter(F.col("doc_id").isNotNull() & ~_held_out()))
     found = language.identify(docs.select("doc_id", "text"), trees)
     return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_html_text")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(blocks.documents(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
