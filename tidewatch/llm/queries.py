@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import blocks, decontaminate, html_text, language, mixing, near_dups, pii, quality, repeats, toxicity
+from tidewatch.llm import blocks, chat, decontaminate, html_text, language, mixing, near_dups, pii, quality, repeats, toxicity
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -93,3 +93,13 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_html_text")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(blocks.documents(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op5_chat_turns")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Roles are learnt from three quarters of the conversations and recovered for
+    all of them; the given roles are no input of that."""
+    rows = blocks.documents(spark, folder, "conversations").select(F.col("conv_id").alias("id"), "turn", "role", F.lit(0).alias("part"), "text")
+    held_out = F.coalesce(F.crc32(F.col("id").cast("string")) % 4 == 2, F.lit(False))
+    found = chat.recover(rows.drop("role"), chat.fit(rows.filter(F.col("id").isNotNull() & ~held_out)))
+    return found.select(F.col("id").alias("conv_id"), held_out.alias("held_out"), "turn", "role", "n_parts", "rendered")
