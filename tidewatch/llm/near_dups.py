@@ -18,13 +18,12 @@ from tidewatch.session import cut_lineage
 
 BANDS = 28
 ROWS = 4
-#: Compared, in turn, with all members of a bucket from other groups, before all
-#: pairs of members that are still in different groups are compared.
-PIVOT_ROUNDS = (4,)
+#: Longs of the signature that pairs are verified by: one bit of each of 64 minima.
+SIGNATURE = 16
 
 _rng = np.random.default_rng(8)
-_FACTORS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_TERMS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
+_FACTORS = _rng.integers(1, 1 << 63, 64 * SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TERMS = _rng.integers(0, 1 << 63, 64 * SIGNATURE, dtype=np.uint64) * np.uint64(2)
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,12 +49,13 @@ def _sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray,
     return grams[new], np.searchsorted(doc[new], np.arange(n + 1))
 
 
-def _minima(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def _minima(grams: np.ndarray, bounds: np.ndarray, many: int) -> np.ndarray:
     """One row per non-empty set: the least value of every hash function."""
     filled = bounds[:-1][np.diff(bounds) > 0]
-    out = np.empty((len(filled), len(_FACTORS)), dtype=np.uint32)
-    for k, (factor, term) in enumerate(zip(_FACTORS, _TERMS)):
-        out[:, k] = np.minimum.reduceat(((grams * factor + term) >> np.uint64(32)).astype(np.uint32), filled)
+    out = np.empty((len(filled), many), dtype=np.uint32)
+    for k in range(many if len(filled) else 0):
+        values = (grams * _FACTORS[k] + _TERMS[k]) >> np.uint64(32)
+        out[:, k] = np.minimum.reduceat(values.astype(np.uint32), filled)
     return out
 
 
@@ -77,8 +77,8 @@ def _set_hashes(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _described(docs: DataFrame, size: int, full: bool) -> DataFrame:
-    """``doc_id, n_shingles, set_a, set_b`` and band keys, or minima and the set."""
-    tail = "minima array<int>, shingles array<long>" if full else "keys array<long>"
+    """``doc_id, n_shingles, set_a, set_b`` and band keys, or signature and set."""
+    tail = "signature array<long>, shingles array<long>" if full else "keys array<long>"
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def lists(present: np.ndarray, values: np.ndarray, width: int, type_):
@@ -90,13 +90,14 @@ def _described(docs: DataFrame, size: int, full: bool) -> DataFrame:
             grams, bounds = _sets(data, offsets, size)
             counts = np.diff(bounds)
             first, second = _set_hashes(grams, bounds)
-            minima = _minima(grams, bounds)
+            minima = _minima(grams, bounds, len(_FACTORS) if full else BANDS * ROWS)
             columns = [rows.column("doc_id"), pa.array(counts), pa.array(first), pa.array(second)]
             names = ["doc_id", "n_shingles", "set_a", "set_b"]
             if full:
-                columns.append(lists(counts > 0, minima.view(np.int32), len(_FACTORS), pa.int32()))
+                bits = np.packbits((minima & 1).astype(np.uint8), axis=1).view(np.int64)
+                columns.append(lists(counts > 0, bits, SIGNATURE, pa.int64()))
                 columns.append(pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(grams.view(np.int64))))
-                names += ["minima", "shingles"]
+                names += ["signature", "shingles"]
             else:
                 columns.append(lists(counts > 0, _keys(minima).view(np.int64), BANDS, pa.int64()))
                 names.append("keys")
@@ -140,26 +141,29 @@ def components(links: DataFrame) -> DataFrame:
     return stars.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose minima, and then whole sets, are similar enough."""
-    # 112 minima of a true link agree in 90 places on average; under 50 is more
-    # than nine standard deviations away.
-    floor = int(BANDS * ROWS * percent / 100 * 0.56)
-    minima = sets.select("rep", "minima")
-    likely = (
-        pairs.join(minima.toDF("a", "minima_a"), "a")
-        .join(minima.toDF("b", "minima_b"), "b")
-        .filter(F.size(F.filter(F.zip_with("minima_a", "minima_b", lambda x, y: x == y), lambda x: x)) >= floor)
-        .select("a", "b")
-    )
+def _alike(percent: int):
+    """Condition that enough bits of two signatures agree.
+
+    Bits of sets with similarity s agree with probability (1 + s) / 2; the limit is
+    5.5 standard deviations under what is expected at the threshold.
+    """
+    bits = 64 * SIGNATURE
+    p = (1 + percent / 100) / 2
+    most = int(bits * (1 - p) + 5.5 * (bits * p * (1 - p)) ** 0.5)
+    differ = [F.bit_count(F.col(f"bits{k}").bitwiseXOR(F.col(f"other_bits{k}"))) for k in range(SIGNATURE)]
+    total = differ[0]
+    for d in differ[1:]:
+        total = total + d
+    return total <= most
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, shared, total``: overlap and sizes of the full sets."""
     full = sets.select("rep", "shingles")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
     return (
-        likely.join(full.toDF("a", "set_a"), "a")
+        pairs.join(full.toDF("a", "set_a"), "a")
         .join(full.toDF("b", "set_b"), "b")
-        .select("a", "b", shared.alias("shared"), (F.size("set_a") + F.size("set_b")).alias("both"))
-        .filter(100 * F.col("shared") >= percent * (F.col("both") - F.col("shared")))
-        .select("a", "b")
+        .select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("shared"), (F.size("set_a") + F.size("set_b")).alias("total"))
     )
 
 
@@ -171,12 +175,12 @@ def group_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     space; a text with fewer words is one shingle). ``component_id`` is the least
     ``doc_id`` that can be reached, ``kept`` marks the row with that id.
 
-    Equal sets are one class and only its least id goes on. In a band's bucket,
-    the least id of each of a few parts is compared with the members of other
-    groups, groups are formed, and again; then all members that are still in
-    different groups are compared. A bucket of copies is one group after the first
-    round, so its members are never paired with each other. A link at the
-    threshold is missed with a chance of 4e-7 (28 bands of 4).
+    Equal sets are one class and only its least id goes on. In a band's bucket all
+    are compared with one, the head, and groups are formed; then those members are
+    compared that are still in different groups, whose overlaps with the head leave
+    room for a link, and whose signatures agree. A bucket of copies is one group after the first round, so
+    its members are never paired with each other. A link at the threshold is missed
+    with a chance of 4e-7 (28 bands of 4).
 
     A null or empty text, or a null id, is linked with nothing and kept; a row
     that occurs twice keeps both, as they share the id. Other columns are ignored.
@@ -200,37 +204,71 @@ def group_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
         .withColumnRenamed("doc_id", "rep")
         .drop("n_shingles")
     )
-    links, tested, groups = None, None, None
-    for pivots in (*PIVOT_ROUNDS, None):
-        members = buckets.select("key", "rep", "n")
-        if groups is None:
-            members = members.withColumn("grp", F.col("rep"))
-        else:
-            members = members.join(groups.toDF("rep", "grp"), "rep", "left").withColumn("grp", F.coalesce("grp", "rep"))
-            mixed = members.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo < hi")
-            members = members.join(mixed.select("key"), "key", "left_semi")
-        if pivots is None:
-            heads = members
-        else:
-            part = F.pmod(F.xxhash64("rep", F.lit(pivots)), F.lit(pivots))
-            heads = members.groupBy("key", part.alias("part")).agg(F.min(F.struct("rep", "n", "grp")).alias("head")).select("key", "head.*")
-        heads = heads.toDF("key", "head", "head_n", "head_grp")
-        pairs = (
-            members.join(heads, "key")
-            .filter((F.col("grp") != F.col("head_grp")) if pivots else (F.col("grp") < F.col("head_grp")))
-            .filter((100 * F.col("n") >= percent * F.col("head_n")) & (100 * F.col("head_n") >= percent * F.col("n")))
-            .select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b"))
-            .distinct()
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        if groups is not None and pairs.isEmpty():
-            continue
-        found = cut_lineage(_confirmed(pairs, sets, percent))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        groups = cut_lineage(components(links))
+    # A shingle that no other candidate has is shared with none of them. What is
+    # left bounds every overlap, so a set that is mostly its own needs no partner.
+    own = (
+        sets.select("rep", F.explode("shingles").alias("shingle"))
+        .groupBy("shingle")
+        .agg(F.count("*").alias("sets"), F.min("rep").alias("rep"))
+        .filter("sets = 1")
+        .groupBy("rep")
+        .agg(F.count("*").alias("own"))
+    )
+    entered = cut_lineage(
+        buckets.select("key", "rep", "n")
+        .join(own, "rep", "left")
+        .withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
+        .filter(100 * F.col("common") >= percent * F.col("n"))
+        .drop("own")
+    )
+    # First everyone is compared with the head of its buckets: the set with the
+    # least share of its own, as the text is that the others were copied from.
+    alone = (F.col("n") - F.col("common")) / F.col("n")
+    heads = entered.groupBy("key").agg(F.min(F.struct(alone.alias("alone"), "rep", "n", "common")).alias("head")).select(
+        "key", F.col("head.rep").alias("head"), F.col("head.n").alias("head_n"), F.col("head.common").alias("head_common")
+    )
+    led = entered.join(heads, "key")
+    enough = lambda overlap, total: (100 + percent) * overlap >= percent * total
+    to_heads = (
+        led.filter("rep <> head")
+        .filter(enough(F.least("common", "head_common"), F.col("n") + F.col("head_n")))
+        .select(F.col("head").alias("a"), F.col("rep").alias("b"))
+        .distinct()
+    )
+    first = cut_lineage(_compared(to_heads, sets))
+    links = first.filter(enough(F.col("shared"), F.col("total"))).select("a", "b")
+    groups = cut_lineage(components(links))
+    # Then members of one bucket that are still in different groups. Two sets share
+    # at most the lesser overlap with the head, and the lesser rest that is not
+    # their own: that leaves few pairs of a family's distant members.
+    members = (
+        led.join(first.select(F.col("a").alias("head"), F.col("b").alias("rep"), "shared"), ["head", "rep"], "left")
+        .withColumn("inner", F.when(F.col("rep") == F.col("head"), F.col("common")).otherwise(F.coalesce("shared", F.least("common", "head_common"))))
+        .withColumn("outer", F.when(F.col("rep") != F.col("head"), F.col("common") - F.coalesce("shared", F.lit(0))).otherwise(0))
+        .join(groups.toDF("rep", "grp"), "rep", "left")
+        .withColumn("grp", F.coalesce("grp", "rep"))
+        .select("key", "rep", "n", "inner", "outer", "grp")
+    )
+    sizes = members.groupBy("key", "grp").agg(F.count("*").alias("size"))
+    # Of two members in different groups one is not in the largest group.
+    split = sizes.groupBy("key").agg(F.count("*").alias("grps"), F.max_by("grp", "size").alias("largest")).filter("grps > 1").drop("grps")
+    bits = sets.select("rep", *[F.col("signature")[k].alias(f"bits{k}") for k in range(SIGNATURE)])
+    members = cut_lineage(members.join(split, "key").join(bits, "rep"))
+    apart = members.filter("grp <> largest").drop("largest")
+    apart = apart.select("key", *[F.col(c).alias(f"other_{c}") for c in apart.columns if c != "key"])
+    pairs = (
+        members.join(apart, "key")
+        .filter(F.col("grp") != F.col("other_grp"))
+        .filter(enough(F.least("n", "other_n"), F.col("n") + F.col("other_n")))
+        .filter(enough(F.least("inner", "other_inner") + F.least("outer", "other_outer"), F.col("n") + F.col("other_n")))
+        .filter(_alike(percent))
+        .select(F.least("rep", "other_rep").alias("a"), F.greatest("rep", "other_rep").alias("b"))
+        .distinct()
+        .join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    )
+    second = cut_lineage(_compared(cut_lineage(pairs), sets).filter(enough(F.col("shared"), F.col("total"))).select("a", "b"))
+    if not second.isEmpty():
+        groups = cut_lineage(components(links.unionByName(second)))
     named = classes.join(groups.toDF("rep", "grp"), "rep", "left").select(
         "set_a", "set_b", F.coalesce("grp", "rep").alias("grp")
     )
