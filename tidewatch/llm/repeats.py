@@ -25,6 +25,8 @@ LENGTH = 400
 #: Pieces per suffix array. An anchor with more different surroundings is spread
 #: over several arrays, whose strings are then counted across.
 PIECES = 128
+#: Strings next to each other whose common core is counted before they are.
+CELL = 16
 #: Never part of UTF-8, so no string reaches over the end of a piece.
 END = 0xFF
 
@@ -142,9 +144,10 @@ def _runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _resolve(pieces: list[tuple], length: int) -> list[tuple]:
     """Repeated strings of a batch of pieces.
 
-    A piece is ``(id, key, lo, gram, spread, ask, bytes)``. Gives rows ``(id, key,
-    lo, hi, gram, string, mine)``: ranges of strings that repeat within the batch,
-    and for spread anchors one row per different string, to be counted.
+    A piece is ``(id, key, lo, gram, spread, ask, bytes, anchor)``. Gives rows
+    ``(id, key, lo, hi, gram, core, strings, places, mine)``: ranges of strings that
+    repeat within the batch, and for spread anchors the different strings, to be
+    counted, by piece and cell with a hash of what all strings of the cell share.
     """
     data = np.frombuffer(b"".join(p[6] + bytes([END]) for p in pieces), dtype=np.uint8)
     sizes = np.array([len(p[6]) + 1 for p in pieces])
@@ -160,21 +163,28 @@ def _resolve(pieces: list[tuple], length: int) -> list[tuple]:
     out = []
     repeated = np.sort(order[several])
     for o in np.unique(owner[repeated]):
-        doc, key, lo, gram, _, ask, _ = pieces[o]
+        doc, key, lo, gram, _, ask, *_ = pieces[o]
         if ask:
             starts, ends = _runs(within[repeated[owner[repeated] == o]])
-            out += [(doc, key, lo + int(a), lo + int(b), gram, None, False) for a, b in zip(starts, ends)]
+            out += [(doc, key, lo + int(a), lo + int(b), gram, None, None, None, None) for a, b in zip(starts, ends)]
     spread = np.array([p[4] for p in pieces])
     if spread.any():
         first = order[~same]
         first = first[spread[owner[first]]]
         alone = np.zeros(len(data), dtype=bool)
         alone[order[~several]] = True
-        strings = blocks.mixed(blocks.hashes(blocks.sums(data), first, first + length)).view(np.int64)
-        for p, s in zip(first.tolist(), strings.tolist()):
-            doc, key, lo, gram, _, ask, _ = pieces[owner[p]]
-            at = lo + int(within[p])
-            out.append((doc, key, at, at, gram, s, bool(alone[p] and ask)))
+        first = np.sort(first)
+        running = blocks.sums(data)
+        strings = blocks.mixed(blocks.hashes(running, first, first + length)).view(np.int64)
+        anchor = np.array([p[7] for p in pieces])[owner[first]]
+        cell = (within[first] - anchor) // CELL
+        core = base[owner[first]] + anchor + cell * CELL
+        cores = blocks.mixed(blocks.hashes(running, core + CELL - 1, core + length) ^ blocks.mixed(cell.astype(np.uint64))).view(np.int64)
+        edge = np.flatnonzero(np.concatenate([[True], (np.diff(cores) != 0) | (np.diff(owner[first]) != 0), [True]])) if len(first) else []
+        for a, b in zip(edge[:-1], edge[1:]):
+            doc, key, lo, gram, _, ask, *_ = pieces[owner[first[a]]]
+            places = (lo + within[first[a:b]]).tolist()
+            out.append((doc, key, None, None, gram, int(cores[a]), strings[a:b].tolist(), places, (alone[first[a:b]] & ask).tolist()))
     return out
 
 
@@ -207,12 +217,12 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, pieces: int = PIECES, wi
                 where = pa.array(found["doc"])
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("id").take(where), rows.column("key").take(where)]
-                    + [pa.array(found[k].astype(np.int32)) for k in ("lo", "hi")]
+                    + [pa.array(found[k].astype(np.int32)) for k in ("lo", "hi", "place")]
                     + [pa.array(found[k]) for k in ("gram", "piece")],
-                    names=["id", "key", "lo", "hi", "gram", "piece"],
+                    names=["id", "key", "lo", "hi", "place", "gram", "piece"],
                 )
 
-    met = cut_lineage(long_.mapInArrow(anchors, "id long, key long, lo int, hi int, gram long, piece long"))
+    met = cut_lineage(long_.mapInArrow(anchors, "id long, key long, lo int, hi int, place int, gram long, piece long"))
     often = met.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
     shared = cut_lineage(met.join(often, "gram"))
     # One row per anchor and surroundings, then per anchor.
@@ -224,7 +234,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, pieces: int = PIECES, wi
         .withColumn("ask", F.col("n") == 1)
         .withColumn("send", F.col("open") & (F.struct("id", "key", "lo") == F.col("first")))
         .groupBy("id", "key")
-        .agg(F.collect_list(F.struct("lo", "hi", "gram", "piece", "kinds", "ask", "send")).alias("found"))
+        .agg(F.collect_list(F.struct("lo", "hi", "place", "gram", "piece", "kinds", "ask", "send")).alias("found"))
     )
     some = cut_lineage(long_.dropDuplicates(["id", "key"]).join(marked, ["id", "key"]))
 
@@ -236,18 +246,19 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, pieces: int = PIECES, wi
                 for f in batch.column("found")[row].as_py():
                     if f["send"]:
                         raw = raw if raw is not None else batch.column("text")[row].as_py().encode()
-                        out.append((batch.column("id")[row].as_py(), batch.column("key")[row].as_py(), f["lo"], f["gram"], f["piece"], f["kinds"], f["ask"], raw[f["lo"] : f["hi"] + length]))
+                        out.append((batch.column("id")[row].as_py(), batch.column("key")[row].as_py(), f["lo"], f["gram"], f["piece"], f["kinds"], f["ask"], raw[f["lo"] : f["hi"] + length], f["place"] - f["lo"]))
                 for a in range(0, len(out), 2000):
                     yield pa.RecordBatch.from_pylist([dict(zip(cut_schema.names, r)) for r in out[a : a + 2000]], schema=cut_schema)
 
     cut_schema = pa.schema(
-        [("id", pa.int64()), ("key", pa.int64()), ("lo", pa.int32()), ("gram", pa.int64()), ("piece", pa.int64()), ("kinds", pa.int64()), ("ask", pa.bool_()), ("bytes", pa.binary())]
+        [("id", pa.int64()), ("key", pa.int64()), ("lo", pa.int32()), ("gram", pa.int64()), ("piece", pa.int64()), ("kinds", pa.int64()), ("ask", pa.bool_()), ("bytes", pa.binary()), ("anchor", pa.int32())]
     )
-    sent = some.mapInArrow(cut_pieces, "id long, key long, lo int, gram long, piece long, kinds long, ask boolean, bytes binary")
+    sent = some.mapInArrow(cut_pieces, "id long, key long, lo int, gram long, piece long, kinds long, ask boolean, bytes binary, anchor int")
     parts = F.ceil(F.col("kinds") / pieces)
-    sent = sent.select("id", "key", "lo", "gram", "ask", "bytes", (parts > 1).alias("spread"), F.pmod("piece", parts).alias("part"))
+    sent = sent.select("id", "key", "lo", "gram", "ask", "bytes", "anchor", (parts > 1).alias("spread"), F.pmod("piece", parts).alias("part"))
     out_schema = pa.schema(
-        [("id", pa.int64()), ("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("gram", pa.int64()), ("string", pa.int64()), ("mine", pa.bool_())]
+        [("id", pa.int64()), ("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("gram", pa.int64()), ("core", pa.int64())]
+        + [("strings", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("mine", pa.list_(pa.bool_()))]
     )
 
     def resolve(batches):
@@ -258,7 +269,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, pieces: int = PIECES, wi
                 if len(held) >= pieces and group != last:
                     yield from told(_resolve(held, length))
                     held = []
-                held.append((r["id"], r["key"], r["lo"], r["gram"], r["spread"], r["ask"], r["bytes"]))
+                held.append((r["id"], r["key"], r["lo"], r["gram"], r["spread"], r["ask"], r["bytes"], r["anchor"]))
                 last = group
         if held:
             yield from told(_resolve(held, length))
@@ -271,12 +282,17 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, pieces: int = PIECES, wi
     resolved = cut_lineage(
         sent.repartition("gram", "part")
         .sortWithinPartitions("gram", "part")
-        .mapInArrow(resolve, "id long, key long, lo int, hi int, gram long, string long, mine boolean")
+        .mapInArrow(resolve, "id long, key long, lo int, hi int, gram long, core long, strings array<long>, places array<int>, mine array<boolean>")
     )
-    across = resolved.filter("string IS NOT NULL").groupBy("gram", "string").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "string")
-    apart = resolved.filter("mine").join(across, ["gram", "string"]).select("id", "key", "lo", "hi")
+    # Strings of spread anchors: only cells whose core was seen twice are opened.
+    cells = resolved.filter("core IS NOT NULL")
+    twice = cells.groupBy("gram", "core").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "core")
+    strings = cells.join(twice, ["gram", "core"]).select("id", "key", "gram", F.explode(F.arrays_zip("strings", "places", "mine")).alias("s"))
+    strings = strings.select("id", "key", "gram", F.col("s.strings").alias("string"), F.col("s.places").alias("lo"), F.col("s.mine").alias("mine"))
+    across = strings.groupBy("gram", "string").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "string")
+    apart = strings.filter("mine").join(across, ["gram", "string"]).select("id", "key", "lo", F.col("lo").alias("hi"))
     ranges = (
-        resolved.filter("string IS NULL").select("id", "key", "lo", "hi").unionByName(apart)
+        resolved.filter("core IS NULL").select("id", "key", "lo", "hi").unionByName(apart)
         .groupBy("id", "key")
         .agg(F.collect_list(F.struct("lo", "hi")).alias("more"))
     )
