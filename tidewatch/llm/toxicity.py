@@ -81,7 +81,27 @@ def _mean(values: np.ndarray, begins: np.ndarray, total: int) -> np.ndarray:
     return np.add.reduceat(values, begins, axis=0) / (sizes if values.ndim == 1 else sizes[:, None])
 
 
-def train(raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray, seed: int = 1) -> np.ndarray:
+def _gathered(sample: pa.Table) -> tuple[np.ndarray, ...]:
+    """Passages of the sample as in ``_passages``, and the labels of its texts.
+
+    Made block by block: only bucket numbers stay, four bytes each.
+    """
+    parts, labels, n_words, n_subs, n_places, n_docs = [], [], 0, 0, 0, 0
+    for rows, raw, offsets in blocks.text_blocks(sample.to_batches(max_chunksize=200), "text"):
+        buckets, bounds, word, begins, owner = _passages(raw, offsets)
+        parts.append(
+            (buckets, (bounds[:-1] + n_subs).astype(np.int32), (word + n_words).astype(np.int32), (begins + n_places).astype(np.int32), (owner + n_docs).astype(np.int32))
+        )
+        n_subs, n_words, n_places, n_docs = n_subs + len(buckets), n_words + len(bounds) - 1, n_places + len(word), n_docs + rows.num_rows
+        labels.append(rows.column(rows.schema.get_field_index("label")).to_numpy())
+    if not parts:
+        none = np.zeros(0, dtype=np.int32)
+        return none, np.zeros(1, dtype=np.int32), none, none, none, none
+    buckets, bounds, word, begins, owner = (np.concatenate(p) for p in zip(*parts))
+    return buckets, np.append(bounds, np.int32(n_subs)), word, begins, owner, np.concatenate(labels)
+
+
+def train(sample: pa.Table, seed: int = 1) -> np.ndarray:
     """Score of every bucket: the embeddings seen through the softmax, and its bias.
 
     As word and passage vectors are averages and the last layer is linear, the
@@ -91,10 +111,10 @@ def train(raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray, seed: int =
     table = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     layer = rng.normal(0, 0.3, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, dtype=np.float32)
-    buckets, bounds, word, begins, owner = _passages(raw, offsets)
+    buckets, bounds, word, begins, owner, labels = _gathered(sample)
     table_g, layer_g, bias_g = np.full(BUCKETS, 1e-3, np.float32), np.full(layer.shape, 1e-3, np.float32), np.full(2, 1e-3, np.float32)
     if len(begins) and 0 < labels.sum() < len(labels):
-        limits = np.append(begins, len(word))
+        limits = np.append(begins, len(word)).astype(np.int64)
         target = labels[owner]
         # Both labels weigh alike while training; half the way back comes at the end.
         odds_seen = labels.sum() / (len(labels) - labels.sum())
@@ -174,10 +194,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label") -> np.nda
     sample = parts[0].unionByName(parts[1]).select("text", "label", "h", words)
     running = F.sum("words").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
     taken = sample.withColumn("sum", running).filter(F.col("sum") <= WORDS).select("text", "label").toArrow()
-    texts = taken.column("text").to_pylist()
-    data = [t.encode() for t in texts]
-    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
-    return train(np.frombuffer(b"".join(data), dtype=np.uint8), offsets, np.array(taken.column("label").to_pylist(), dtype=np.int64))
+    return train(taken)
 
 
 def score(docs: DataFrame, model: np.ndarray, text: str = "text") -> DataFrame:
