@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import times
 from tidewatch.functions.series import Series, day_of
+from tidewatch.session import cut_lineage
 
 DAY_US = 86_400_000_000
 MONTH_US = 30 * DAY_US
@@ -21,7 +22,8 @@ def _month(at: str) -> Column:
 def build_versions(snapshots: DataFrame, key: str, at: str) -> DataFrame:
     """Snapshots to ``[from, to)`` intervals; the last one stays open."""
     series = Series([key], [at], _month(at))
-    numbered = series.with_row_number(snapshots, "version")
+    # Written once: each step of a chain uses its input twice.
+    numbered = cut_lineage(series.with_row_number(snapshots, "version"))
     chained = series.with_next(numbered, [at], "__next")
     return chained.withColumn("from_us", F.col(at)).withColumn("to_us", F.col(f"__next.{at}")).drop("__next", at)
 
@@ -63,25 +65,15 @@ def as_of(
 def as_of_many(current: DataFrame, history: DataFrame, asked: DataFrame, key: str) -> DataFrame:
     """Time travel for many ``(key, at_us)`` questions at once.
 
-    The equality on the key keeps this a hash join. Objects with many versions
-    and many questions stay small per key by matching in months as well: each
-    version is listed once per month it covers.
+    Of an object's versions the latest that began by the asked time is the only
+    one that can hold it, so this is an as-of join with a test of the end. No
+    version is listed more than once, however long it holds.
     """
-    spread = all_versions(current, history)
-    last = asked.agg(F.max("at_us").alias("__last")).withColumn("__one", F.lit(1))
-    spread = spread.withColumn("__one", F.lit(1)).join(last, "__one").drop("__one")
-    until = F.least(F.coalesce(F.col("to_us") - 1, F.col("__last")), F.col("__last"))
-    months = F.when(
-        until >= F.col("from_us"),
-        F.sequence(F.floor(F.col("from_us") / MONTH_US), F.floor(until / MONTH_US)),
-    )
-    listed = spread.withColumn("__month", F.explode(months)).drop("__last")
-    return (
-        asked.withColumn("__month", F.floor(F.col("at_us") / MONTH_US))
-        .join(listed, [key, "__month"])
-        .filter(times.contains(F.col("from_us"), F.col("to_us"), F.col("at_us")))
-        .drop("__month")
-    )
+    versions = all_versions(current, history)
+    columns = [c for c in versions.columns if c not in (key, "from_us")]
+    found = asof_join(asked, versions, key, "at_us", "from_us", columns)
+    held = found.withColumnRenamed("matched_us", "from_us").filter(F.col("from_us").isNotNull())
+    return held.filter(times.contains(F.col("from_us"), F.col("to_us"), F.col("at_us")))
 
 
 def bitemporal_slice(
@@ -114,25 +106,35 @@ def apply_changes(
     """SCD-2 step: ``(current, history)`` after a batch of changes.
 
     ``changes`` holds ``key``, ``at_us``, ``op`` ('upsert' or 'delete') and the
-    fields. Several changes to one object each become their own version. Only
-    touched objects are re-chained; the rest pass through.
+    fields. Several changes to one object each become their own version. A change
+    may come late: all versions of a touched object are chained anew with it, so
+    every time keeps exactly one version. At equal times a change replaces what is
+    stored, and versions without length go. Other objects pass through.
     """
     touched = changes.select(key).distinct()
-    kept = current.join(touched, key, "left_anti")
-    opened = current.join(touched, key, "left_semi").select(
-        key, F.col("from_us").alias("at_us"), F.lit("upsert").alias("op"), *fields
+    stored = current.select(key, *fields, "from_us", "to_us").unionByName(history.select(key, *fields, "from_us", "to_us"))
+    marked = cut_lineage(stored.join(touched.withColumn("__touched", F.lit(True)), key, "left"))
+    kept, again = marked.filter("__touched IS NULL").drop("__touched"), marked.filter("__touched").drop("__touched")
+    # A stored version is its start and, where it ends, a deletion that the start
+    # of a next version takes back.
+    starts = again.select(key, F.col("from_us").alias("at_us"), F.lit(1).alias("rank"), F.lit("upsert").alias("op"), *fields)
+    ends = again.filter(F.col("to_us").isNotNull()).select(
+        key, F.col("to_us").alias("at_us"), F.lit(0).alias("rank"), F.lit("delete").alias("op"), *fields
     )
-    stream = opened.unionByName(changes.select(key, "at_us", "op", *fields))
-    series = Series([key], ["at_us"], _month("at_us"))
-    chained = series.with_next(stream, ["at_us"], "__next")
-    versions = chained.filter(F.col("op") != "delete").select(
-        key, *fields, F.col("at_us").alias("from_us"), F.col("__next.at_us").alias("to_us")
+    told = changes.select(key, "at_us", F.lit(2).alias("rank"), "op", *fields)
+    series = Series([key], ["at_us", "rank"], _month("at_us"))
+    chained = series.with_next(starts.unionByName(ends).unionByName(told), ["at_us"], "__next")
+    versions = cut_lineage(
+        chained.filter((F.col("op") != "delete") & ~F.col("at_us").eqNullSafe(F.col("__next.at_us"))).select(
+            key, *fields, F.col("at_us").alias("from_us"), F.col("__next.at_us").alias("to_us")
+        )
     )
     now_open, now_closed = split_current(versions)
+    kept_open, kept_closed = split_current(kept)
     columns = [key, *fields, "from_us", "to_us"]
     return (
-        kept.select(*columns).unionByName(now_open),
-        history.select(*columns).unionByName(now_closed),
+        kept_open.select(*columns).unionByName(now_open.select(*columns)),
+        kept_closed.select(*columns).unionByName(now_closed.select(*columns)),
     )
 
 

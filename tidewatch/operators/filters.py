@@ -11,6 +11,8 @@ from tidewatch.functions import geo, times
 from tidewatch.model import labels
 
 DAY_US = 86_400_000_000
+# Partition of rows outside the days a table was written for.
+STRAY = "stray"
 
 
 def in_viewport(df: DataFrame, box: geo.Box, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -36,14 +38,15 @@ def entity_window(
     """One entity's rows of the last ``hours``, newest first.
 
     A table written by day also gets the day predicate, so only one or two
-    partitions are read.
+    partitions, and that of the strays, are read.
     """
     start_us = end_us - hours * 3_600_000_000
     hit = df.filter((F.col("ref_id") == ref_id) & (F.col(at) > start_us) & (F.col(at) <= end_us))
     if "obs_date" in df.columns:
-        first = F.to_date(F.timestamp_micros(F.lit(start_us)))
-        last = F.to_date(F.timestamp_micros(F.lit(end_us)))
-        hit = hit.filter(F.col("obs_date").between(first, last))
+        # As strings, and with the strays: those may be of any day.
+        first, last = (F.date_from_unix_date(F.lit(us // DAY_US)).cast("string") for us in (start_us, end_us))
+        day = F.col("obs_date").cast("string")
+        hit = hit.filter(day.between(first, last) | (day == STRAY))
     return hit.orderBy(F.desc(at), F.desc("obs_id"))
 
 

@@ -101,12 +101,14 @@ def match_watchlists(entities: DataFrame, members: DataFrame, at_us: int) -> Dat
         .join(mode("pattern"), "member_id")
     )
     fuzzy = mode("fuzzy_name").withColumn("pattern", F.lower("pattern"))
-    floor_similarity = 0.25
+    # No member's own threshold may be cut off by the search.
+    usual = 0.25
+    floor_similarity = fuzzy.agg(F.min(F.coalesce("min_similarity", F.lit(usual)))).first()[0] or usual
     by_name = (
         fuzzy_names(named, fuzzy.select(F.col("pattern").alias("name")), floor_similarity)
         .join(named.select(F.col("name").alias("name_a"), "entity_id"), "name_a")
         .join(fuzzy, F.col("name_b") == F.col("pattern"))
-        .filter(F.col("similarity") >= F.coalesce("min_similarity", F.lit(floor_similarity)))
+        .filter(F.col("similarity") >= F.coalesce("min_similarity", F.lit(usual)))
     )
     # One equality per attribute path in use; paths are few, values may be many.
     wanted = mode("attribute")

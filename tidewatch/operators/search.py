@@ -177,21 +177,21 @@ def hybrid_search(
     return ranks.withColumn("score", fused).orderBy(F.desc("score"), "report_id").limit(k)
 
 
-def find_mentions(reports: DataFrame, names: DataFrame, max_words: int = 5) -> DataFrame:
+def find_mentions(reports: DataFrame, names: DataFrame) -> DataFrame:
     """Dictionary names found in whole texts: count and first character span.
 
-    ``names``: ref_id, name. Every run of up to ``max_words`` words that has the
-    length of some dictionary name is looked up by equality. The span is taken
+    ``names``: ref_id, name. Every run of words that has the length of some
+    dictionary name is looked up by equality; the lengths are read from the
+    dictionary, so a long name only adds runs of its own length. The span is taken
     from the text itself, so punctuation between words is inside it.
     """
     listed = names.select("ref_id", text.tokens(F.col("name")).alias("t")).filter(F.size("t") > 0)
-    if not listed.filter(F.size("t") > max_words).isEmpty():
-        raise ValueError(f"names of more than {max_words} words need a larger max_words")
+    lengths = sorted(r[0] for r in listed.select(F.size("t")).distinct().collect())
     keyed = listed.select("ref_id", F.array_join("t", " ").alias("phrase"), F.size("t").alias("length")).distinct()
     words = computed_once(reports.select("report_id", "text"), "words", text.tokens(F.col("text")))
     runs = F.flatten(
         F.transform(
-            F.sequence(F.lit(1), F.lit(max_words)),
+            F.array(*[F.lit(n) for n in lengths]).cast("array<int>"),
             lambda n: F.when(
                 F.size("words") >= n,
                 F.transform(
@@ -226,7 +226,9 @@ def geocode(reports: DataFrame, gazetteer: DataFrame) -> DataFrame:
     hits = find_mentions(reports, gazetteer)
     exact = F.col("precision").isin("exact", "building")
     whole = F.col("precision") == "country"
-    return hits.join(gazetteer.select("ref_id", "lon", "lat", F.col("precision").alias("precision")), "ref_id").select(
+    # A place may have several names; its own columns are the same for all.
+    places = gazetteer.select("ref_id", "lon", "lat", "precision").distinct()
+    return hits.join(places, "ref_id").select(
         "report_id",
         "ref_id",
         F.col("phrase").alias("place_name"),

@@ -25,7 +25,7 @@ def flag_jumps(
 ) -> DataFrame:
     """Compare each position with the one that *arrived* before it.
 
-    Adds ``seconds_since_previous``, ``implied_kn`` and ``jump_flag``. A time
+    Adds ``seconds_since_previous``, ``jump_m``, ``implied_kn`` and ``jump_flag``. A time
     that runs backwards is flagged and still becomes the next comparison point.
     Rows without a position take no part.
     """
@@ -37,6 +37,7 @@ def flag_jumps(
     kn = F.when(dt > 0, geo.implied_knots(metres, dt))
     judged = (
         seen.withColumn("seconds_since_previous", F.when(dt >= 0, F.round(dt, 3)))
+        .withColumn("jump_m", metres)
         .withColumn("implied_kn", kn)
         .withColumn(
             "jump_flag",
@@ -162,9 +163,16 @@ def rate_change(df: DataFrame, key: str, at: str = "observed_us", baseline_hours
     )
 
 
-def duplicate_senders(flagged: DataFrame, at: str = "observed_us", min_jumps: int = 2) -> DataFrame:
-    """Senders that keep jumping between two far-apart places on one day."""
-    jumps = flagged.filter(F.col("jump_flag") == "impossible_speed")
+def duplicate_senders(
+    flagged: DataFrame, at: str = "observed_us", min_jumps: int = 2, max_kn: float = 100.0, apart_m: float = 1000.0
+) -> DataFrame:
+    """Senders that keep jumping between two far-apart places on one day.
+
+    A jump is too fast for the time it took, or joins two places more than
+    ``apart_m`` from each other at the same second, where there is no speed.
+    """
+    at_once = (F.col("seconds_since_previous") == 0) & (F.col("jump_m") > apart_m)
+    jumps = flagged.filter((F.col("implied_kn") > max_kn) | at_once)
     return (
         jumps.groupBy("ref_id", day_of(at).alias("day"))
         .agg(F.count("*").alias("jumps"), F.max("implied_kn").alias("max_kn"))

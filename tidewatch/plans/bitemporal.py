@@ -143,6 +143,24 @@ def d6(spark, d):
     )
 
 
+@query(
+    "d6_late_changes",
+    with_views(
+        "snap",
+        """SELECT object_id, changed_us AS from_us, lead(changed_us) OVER (PARTITION BY object_id ORDER BY changed_us) AS to_us, status FROM snap""",
+    ),
+)
+def d6_late(spark, d):
+    """Half of the states come after the other half, at times in between: the
+    versions are as if all had come in order."""
+    snaps = b.snapshots(spark, d)
+    first = F.col("changed_us") % 2 == 0
+    current, history = op.split_current(op.build_versions(snaps.filter(first), "object_id", "changed_us"))
+    late = snaps.filter(~first).select("object_id", F.col("changed_us").alias("at_us"), F.lit("upsert").alias("op"), *FIELDS)
+    now, past = op.apply_changes(current, history, late, "object_id", FIELDS)
+    return op.all_versions(now, past).select("object_id", "from_us", "to_us", "status")
+
+
 @query(
     "d7_retract",
     with_views(

@@ -8,7 +8,7 @@ from tidewatch.functions import ids
 from tidewatch.functions.geo import Box
 from tidewatch.model import bindings as b
 from tidewatch.model import labels
-from tidewatch.operators import canonical, quality
+from tidewatch.operators import canonical, filters, quality
 from tidewatch.plans.canonical import AIS, _parsed
 from tidewatch.plans.catalog import query
 from tidewatch.plans.duck import DAY, J, with_views
@@ -27,6 +27,7 @@ def _raw(spark, d):
 
 
 HOUR = 3_600_000_000
+STORED_END = J + 6 * DAY
 FETCHED = f"({J} + CAST(floor((ingested_us - {J}) / 24) AS BIGINT))"
 PAYLOAD = "'{\"obs_id\":' || CAST(obs_id AS VARCHAR) || ',\"ref_id\":\"' || ref_id || '\",\"k\":' || CAST(k AS VARCHAR) || '}'"
 
@@ -242,6 +243,37 @@ def s9(spark, d):
     return report.select("input_rows", "rejected_rows", "duplicate_rows", "loaded_rows")
 
 
+@query(
+    "s9_bulk_load_again",
+    with_views(
+        "obs",
+        """, g AS (SELECT *, (kind <> 'position' OR lon IS NOT NULL) AND (wire_us IS NOT NULL OR event_type <> 'signup') AS good, event_type = 'view' AS before FROM obs)
+     SELECT count(*) AS input_rows, CAST(count(*) FILTER (WHERE NOT good) AS BIGINT) AS rejected_rows, CAST(count(*) FILTER (WHERE good AND before) AS BIGINT) AS duplicate_rows,
+       CAST(count(*) FILTER (WHERE good AND NOT before) AS BIGINT) AS loaded_rows FROM g""",
+    ),
+)
+def s9_again(spark, d):
+    """A part is loaded, then all of it: what is stored is not loaded twice."""
+    rows = canonical.effective_time(b.observations(spark, d))
+    key, _ = ids.dedupe_key("feed", ["obs_id", "effective_us"])
+    rows, path, rules = rows.withColumn("dedupe_key", key), shared_folder(spark), quality.OBSERVATION_LOAD_RULES()
+    for part in (rows.filter("event_type = 'view'"), rows):
+        report = landing.bulk_load(part, path, "2024-01-01", "2024-01-31", rules, ["dedupe_key"], 90.0)
+    return report.select("input_rows", "rejected_rows", "duplicate_rows", "loaded_rows")
+
+
+@query(
+    "f3_entity_window_stored",
+    with_views("obs", f"SELECT obs_id, observed_us FROM obs WHERE ref_id = 'mmsi:200000008' AND observed_us > {STORED_END - 5 * DAY} AND observed_us <= {STORED_END}"),
+)
+def f3_stored(spark, d):
+    """From a table written by day, of which some days are strays."""
+    path = shared_folder(spark)
+    landing.write_observations(b.observations(spark, d), path, "2024-01-01", "2024-01-04")
+    hit = filters.entity_window(spark.read.parquet(path), "mmsi:200000008", STORED_END, 5 * 24)
+    return hit.select("obs_id", "observed_us")
+
+
 @query(
     "u4_reconcile",
     with_views(

@@ -286,3 +286,26 @@ def t6(spark, d):
         F.when(item % 3 == 0, "country").when(item % 3 == 1, "city").otherwise("exact").alias("precision"),
     )
     return se.geocode(b.reports(spark, d), gazetteer).drop("char_start", "char_end")
+
+
+@query(
+    "t6_geocode_two_names",
+    with_views(
+        "rep",
+        f""", {NAMES}, dt AS (SELECT report_id, {TOKENS.format('text')} AS ws FROM rep),
+  g AS (SELECT report_id, unnest(list_concat(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' ')), list_transform(range(1, len(ws)), lambda i: array_to_string(ws[i:i+1], ' ')))) AS phrase FROM dt),
+  two AS (SELECT DISTINCT item_id, phrase FROM nm)
+  SELECT report_id, CAST(item_id AS VARCHAR) AS ref_id, phrase AS place_name FROM g JOIN two USING (phrase) GROUP BY ALL""",
+    ),
+)
+def t6_two_names(spark, d):
+    """Places that go by two names: a hit is one row, whatever else the place is called."""
+    item = F.col("item_id")
+    gazetteer = _names(spark, d).select(
+        item.cast("string").alias("ref_id"),
+        "name",
+        item.cast("double").alias("lon"),
+        (-item).cast("double").alias("lat"),
+        F.lit("city").alias("precision"),
+    )
+    return se.geocode(b.reports(spark, d), gazetteer).select("report_id", "ref_id", "place_name")

@@ -218,7 +218,7 @@ def v3(spark, d):
     with_views(
         "obs",
         JUMPS
-        + f""" SELECT ref_id, observed_us // {DAY} AS day, count(*) AS jumps, round(max(implied_kn), 3) AS max_kn FROM jumps WHERE dt >= 0 AND implied_kn > 100
+        + f""" SELECT ref_id, observed_us // {DAY} AS day, count(*) AS jumps, round(max(implied_kn), 3) AS max_kn FROM jumps WHERE implied_kn > 100 OR (dt = 0 AND m > 1000)
      GROUP BY ALL HAVING count(*) >= 2""",
     ),
 )

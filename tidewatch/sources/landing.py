@@ -4,12 +4,24 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.session import cut_lineage
+
 HOUR_PARTS = ["source", "yyyy", "mm", "dd", "hh"]
 STRAY = "stray"
+DAY_US = 86_400_000_000
+HOUR_US = 3_600_000_000
+EPOCH = datetime(1970, 1, 1)
+
+
+def _utc_day(us: Column) -> Column:
+    """The UTC day of epoch microseconds, by arithmetic."""
+    return F.date_from_unix_date(F.floor(us / DAY_US).cast("int"))
 
 
 def land_bronze(
@@ -24,22 +36,26 @@ def land_bronze(
     """Archive payloads unchanged as gzip lines under ``source/yyyy/mm/dd/hh``.
 
     An hour normally becomes one bundle. Hours above ``max_records`` are cut
-    into as many bundles as they need by a hash of the payload, so that a busy
-    source is written by many tasks, and a bundle never mixes two hours.
+    into as many bundles as they need, so that a busy source is written by many
+    tasks, and a bundle never mixes two hours. A payload that is fetched again and
+    again is spread by its times. The split is part of the contract: an hour has
+    ``ceil(records / max_records)`` bundles or more. Hours are UTC, whatever the
+    session's zone is.
     """
-    at = F.timestamp_micros(F.col(fetched_us))
+    day, hour = _utc_day(F.col(fetched_us)), F.pmod(F.floor(F.col(fetched_us) / HOUR_US), F.lit(24))
     parts = df.select(
         F.col(source_col).alias("source"),
-        F.date_format(at, "yyyy").alias("yyyy"),
-        F.date_format(at, "MM").alias("mm"),
-        F.date_format(at, "dd").alias("dd"),
-        F.date_format(at, "HH").alias("hh"),
+        F.date_format(day, "yyyy").alias("yyyy"),
+        F.date_format(day, "MM").alias("mm"),
+        F.date_format(day, "dd").alias("dd"),
+        F.lpad(hour.cast("string"), 2, "0").alias("hh"),
         F.col(payload).alias("value"),
+        F.xxhash64(payload, fetched_us).alias("bundle"),
     )
     bundles = parts.groupBy(*HOUR_PARTS).agg(F.ceil(F.count("*") / max_records).alias("bundles"))
     (
         parts.join(bundles, HOUR_PARTS)
-        .withColumn("bundle", F.pmod(F.xxhash64("value"), F.col("bundles")))
+        .withColumn("bundle", F.pmod("bundle", "bundles"))
         .repartition(*HOUR_PARTS, "bundle")
         .drop("bundle", "bundles")
         .write.mode(mode)
@@ -52,11 +68,11 @@ def land_bronze(
 
 def read_bronze(spark: SparkSession, path: str) -> DataFrame:
     """Archived lines with their source, hour start and where they lie."""
-    hour = F.to_timestamp(F.concat_ws("-", "yyyy", "mm", "dd", "hh"), "yyyy-MM-dd-HH")
+    day = F.unix_date(F.make_date(F.col("yyyy").cast("int"), F.col("mm").cast("int"), F.col("dd").cast("int")))
     return (
         spark.read.schema("value string, source string, yyyy string, mm string, dd string, hh string")
         .text(path)
-        .withColumn("hour_us", F.unix_micros(hour))
+        .withColumn("hour_us", day.cast("long") * DAY_US + F.col("hh").cast("long") * HOUR_US)
         .withColumn("raw_ref", F.concat(F.col("_metadata.file_path"), F.lit("#"), F.sha2("value", 256)))
     )
 
@@ -66,7 +82,7 @@ def hour_between(df: DataFrame, start_us: int, end_us: int) -> DataFrame:
     stamp = F.concat("yyyy", "mm", "dd", "hh")
 
     def text(us: int):
-        return F.date_format(F.timestamp_micros(F.lit(us)), "yyyyMMddHH")
+        return (EPOCH + timedelta(microseconds=us)).strftime("%Y%m%d%H")
 
     return df.filter((stamp >= text(start_us)) & (stamp <= text(end_us - 1)))
 
@@ -91,7 +107,7 @@ def replay(
 
 def mark_partition(df: DataFrame, first_day: str, last_day: str, at: str = "observed_us") -> DataFrame:
     """Add ``obs_date``: the UTC day, or ``stray`` outside the expected window."""
-    day = F.date_format(F.timestamp_micros(F.col(at)), "yyyy-MM-dd")
+    day = _utc_day(F.col(at)).cast("string")
     return df.withColumn("obs_date", F.when(day.between(first_day, last_day), day).otherwise(STRAY))
 
 
@@ -132,6 +148,18 @@ def stray_report(observations: DataFrame) -> DataFrame:
     )
 
 
+def _stored_days(spark: SparkSession, path: str, first_day: str, last_day: str) -> DataFrame | None:
+    """What is stored for the days of a load and for strays; None before the first load."""
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    day = F.col("obs_date").cast("string")
+    return table.filter(day.between(first_day, last_day) | (day == STRAY))
+
+
 def bulk_load(
     df: DataFrame,
     path: str,
@@ -143,8 +171,9 @@ def bulk_load(
 ) -> DataFrame:
     """Append a large set with row and key rules active; report the run.
 
-    Returns one row: input, rejected by rule, duplicate keys, loaded, seconds,
-    rows per second and whether the budget held.
+    A key that is stored already, or comes twice, is a duplicate and not loaded
+    again. Returns one row: input, rejected by rule, duplicate keys, loaded by this
+    run, seconds, rows per second and whether the budget held.
     """
     spark = df.sparkSession
     started = time.monotonic()
@@ -154,8 +183,14 @@ def bulk_load(
     judged = df.withColumn("__ok", ok)
     totals = judged.agg(F.count("*").alias("input"), F.count_if(~F.col("__ok")).alias("rejected")).first()
     good = judged.filter("__ok").drop("__ok").dropDuplicates(list(key))
+    stored = _stored_days(spark, path, first_day, last_day)
+    if stored is not None:
+        # Written once: the rows to append must not change while they are appended.
+        good = cut_lineage(good.join(stored.select(*key), list(key), "left_anti"))
+        loaded = good.count()
     write_observations(good, path, first_day, last_day)
-    loaded = spark.read.parquet(path).count()
+    if stored is None:
+        loaded = spark.read.parquet(path).count()
     seconds = time.monotonic() - started
     return spark.createDataFrame(
         [
