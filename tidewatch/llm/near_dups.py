@@ -269,8 +269,9 @@ def group_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     second = cut_lineage(_compared(cut_lineage(pairs), sets).filter(enough(F.col("shared"), F.col("total"))).select("a", "b"))
     if not second.isEmpty():
         groups = cut_lineage(components(links.unionByName(second)))
-    named = classes.join(groups.toDF("rep", "grp"), "rep", "left").select(
-        "set_a", "set_b", F.coalesce("grp", "rep").alias("grp")
+    # Written, so that the join with all rows can be split at a set of many copies.
+    named = cut_lineage(
+        classes.join(groups.toDF("rep", "grp"), "rep", "left").select("set_a", "set_b", F.coalesce("grp", "rep").alias("grp"))
     )
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("grp")).otherwise(F.col("doc_id"))
     return (

@@ -223,12 +223,14 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, pieces: int = PIECES, wi
                 )
 
     met = cut_lineage(long_.mapInArrow(anchors, "id long, key long, lo int, hi int, place int, gram long, piece long"))
-    often = met.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # Counts are written before they are joined: a join with a written table can
+    # be split where a key is hot, one with an aggregate cannot.
+    often = cut_lineage(met.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
     shared = cut_lineage(met.join(often, "gram"))
     # One row per anchor and surroundings, then per anchor.
-    kinds = shared.groupBy("gram", "piece").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "lo")).alias("first"))
+    kinds = cut_lineage(shared.groupBy("gram", "piece").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "lo")).alias("first")))
     mixed = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
-    state = kinds.join(mixed, "gram").select("gram", "piece", "first", "n", "kinds", ((F.col("kinds") > 1) & (F.col("least") == 1)).alias("open"))
+    state = cut_lineage(kinds.join(mixed, "gram").select("gram", "piece", "first", "n", "kinds", ((F.col("kinds") > 1) & (F.col("least") == 1)).alias("open")))
     marked = (
         shared.join(state, ["gram", "piece"])
         .withColumn("ask", F.col("n") == 1)
