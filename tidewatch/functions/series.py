@@ -13,12 +13,14 @@ The segment column must never decrease along the order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.session import cut_lineage
+
 _SEG = "__segment"
 
 US_PER_DAY = 86_400_000_000
@@ -30,6 +32,22 @@ def day_of(us: str | Column) -> Column:
     return F.floor((F.col(us) if isinstance(us, str) else us) / US_PER_DAY).cast("long")
 
 
+@dataclass(frozen=True)
+class Part:
+    """One column that :meth:`Series.add` adds.
+
+    ``inside`` is its value as far as the row's own segment goes, ``edge`` what a
+    segment hands on, ``carry`` what reaches a segment from those before or after
+    it, and ``join`` puts the two together.
+    """
+
+    out: str
+    inside: Column
+    edge: Column
+    carry: Callable[[str], Column]
+    join: Callable[[Column, Column], Column]
+
+
 @dataclass(frozen=True)
 class Series:
     """Rows of each ``key`` in the order of ``order``, cut at ``segment``."""
@@ -38,91 +56,81 @@ class Series:
     order: Sequence[str]
     segment: Column
 
-    def _marked(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(_SEG, self.segment)
-
     @property
     def _inner(self):
         return Window.partitionBy(*self.key, _SEG).orderBy(*self.order)
 
+    @property
+    def _upto(self):
+        return self._inner.rowsBetween(Window.unboundedPreceding, 0)
+
     @property
     def _outer(self):
         return Window.partitionBy(*self.key).orderBy(_SEG)
 
+    @property
+    def _before(self):
+        return self._outer.rowsBetween(Window.unboundedPreceding, -1)
+
     def _rank_struct(self) -> Column:
         return F.struct(*[F.col(c) for c in self.order])
 
-    def _join_carry(self, df: DataFrame, carry: DataFrame) -> DataFrame:
-        return df.join(carry, [*self.key, _SEG], "left")
+    def previous(self, cols: Sequence[str], out: str = "previous") -> Part:
+        """Struct of ``cols`` of the row before, null at the start."""
+        value = F.struct(*[F.col(c) for c in cols])
+        edge = F.max_by(value, self._rank_struct())
+        return Part(out, F.lag(value).over(self._inner), edge, lambda e: F.lag(e).over(self._outer), F.coalesce)
+
+    def next(self, cols: Sequence[str], out: str = "next") -> Part:
+        """Struct of ``cols`` of the row after, null at the end."""
+        value = F.struct(*[F.col(c) for c in cols])
+        edge = F.min_by(value, self._rank_struct())
+        return Part(out, F.lead(value).over(self._inner), edge, lambda e: F.lead(e).over(self._outer), F.coalesce)
+
+    def running_sum(self, value: Column, out: str) -> Part:
+        """Sum of ``value`` over all rows up to and with this one."""
+        before = lambda e: F.coalesce(F.sum(e).over(self._before), F.lit(0))
+        return Part(out, F.sum(value).over(self._upto), F.sum(value), before, lambda a, b: a + b)
+
+    def row_number(self, out: str) -> Part:
+        return self.running_sum(F.lit(1).cast("long"), out)
+
+    def last_known(self, value: Column, out: str) -> Part:
+        """Latest non-null ``value`` at or before this row."""
+        edge = F.max_by(value, F.when(value.isNotNull(), self._rank_struct()))
+        inside = F.last(value, ignorenulls=True).over(self._upto)
+        return Part(out, inside, edge, lambda e: F.last(e, ignorenulls=True).over(self._before), F.coalesce)
+
+    def add(self, df: DataFrame, *parts: Part) -> DataFrame:
+        """``df`` with all ``parts``, from one read and one sort of ``df``.
+
+        The sorted table is written once. Both the segments' summaries and the
+        result come from there, so nothing before it is computed a second time,
+        also where one step follows another.
+        """
+        own = {f"__in{i}": p.inside for i, p in enumerate(parts)}
+        inside = cut_lineage(df.withColumn(_SEG, self.segment).withColumns(own))
+        edges = inside.groupBy(*self.key, _SEG).agg(*[p.edge.alias(f"__edge{i}") for i, p in enumerate(parts)])
+        carry = edges.select(*self.key, _SEG, *[p.carry(f"__edge{i}").alias(f"__carry{i}") for i, p in enumerate(parts)])
+        joined = inside.join(carry, [*self.key, _SEG], "left")
+        out = {p.out: p.join(F.col(f"__in{i}"), F.col(f"__carry{i}")) for i, p in enumerate(parts)}
+        spare = [f"__{kind}{i}" for kind in ("in", "carry") for i in range(len(parts))]
+        return joined.withColumns(out).drop(*spare, _SEG)
 
     def with_previous(self, df: DataFrame, cols: Sequence[str], out: str = "previous") -> DataFrame:
-        """Add ``out``: struct of ``cols`` of the row before, null at the start."""
-        return self._neighbour(df, cols, out, forward=False)
+        return self.add(df, self.previous(cols, out))
 
     def with_next(self, df: DataFrame, cols: Sequence[str], out: str = "next") -> DataFrame:
-        """Add ``out``: struct of ``cols`` of the row after, null at the end."""
-        return self._neighbour(df, cols, out, forward=True)
-
-    def _neighbour(self, df: DataFrame, cols, out: str, forward: bool) -> DataFrame:
-        shift = F.lead if forward else F.lag
-        edge = F.min_by if forward else F.max_by
-        value = F.struct(*[F.col(c) for c in cols])
-        marked = self._marked(df)
-        carry = (
-            marked.groupBy(*self.key, _SEG)
-            .agg(edge(value, self._rank_struct()).alias("__edge"))
-            .withColumn("__carry", shift("__edge").over(self._outer))
-            .select(*self.key, _SEG, "__carry")
-        )
-        inside = marked.withColumn("__inside", shift(value).over(self._inner))
-        return (
-            self._join_carry(inside, carry)
-            .withColumn(out, F.coalesce("__inside", "__carry"))
-            .drop("__inside", "__carry", _SEG)
-        )
+        return self.add(df, self.next(cols, out))
 
     def with_running_sum(self, df: DataFrame, value: Column, out: str) -> DataFrame:
-        """Add ``out``: sum of ``value`` over all rows up to and with this one."""
-        marked = self._marked(df).withColumn("__value", value)
-        before = self._outer.rowsBetween(Window.unboundedPreceding, -1)
-        carry = (
-            marked.groupBy(*self.key, _SEG)
-            .agg(F.sum("__value").alias("__total"))
-            .withColumn("__carry", F.coalesce(F.sum("__total").over(before), F.lit(0)))
-            .select(*self.key, _SEG, "__carry")
-        )
-        inner = self._inner.rowsBetween(Window.unboundedPreceding, 0)
-        inside = marked.withColumn("__inside", F.sum("__value").over(inner))
-        return (
-            self._join_carry(inside, carry)
-            .withColumn(out, F.col("__inside") + F.col("__carry"))
-            .drop("__inside", "__carry", "__value", _SEG)
-        )
+        return self.add(df, self.running_sum(value, out))
 
     def with_row_number(self, df: DataFrame, out: str) -> DataFrame:
-        return self.with_running_sum(df, F.lit(1).cast("long"), out)
+        return self.add(df, self.row_number(out))
 
     def with_last_known(self, df: DataFrame, value: Column, out: str) -> DataFrame:
-        """Add ``out``: latest non-null ``value`` at or before this row."""
-        marked = self._marked(df).withColumn("__value", value)
-        before = self._outer.rowsBetween(Window.unboundedPreceding, -1)
-        carry = (
-            marked.groupBy(*self.key, _SEG)
-            .agg(
-                F.max_by(
-                    "__value", F.when(F.col("__value").isNotNull(), self._rank_struct())
-                ).alias("__edge")
-            )
-            .withColumn("__carry", F.last("__edge", ignorenulls=True).over(before))
-            .select(*self.key, _SEG, "__carry")
-        )
-        inner = self._inner.rowsBetween(Window.unboundedPreceding, 0)
-        inside = marked.withColumn("__inside", F.last("__value", ignorenulls=True).over(inner))
-        return (
-            self._join_carry(inside, carry)
-            .withColumn(out, F.coalesce("__inside", "__carry"))
-            .drop("__inside", "__carry", "__value", _SEG)
-        )
+        return self.add(df, self.last_known(value, out))
 
 
 def latest_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -22,9 +22,7 @@ def _month(at: str) -> Column:
 def build_versions(snapshots: DataFrame, key: str, at: str) -> DataFrame:
     """Snapshots to ``[from, to)`` intervals; the last one stays open."""
     series = Series([key], [at], _month(at))
-    # Written once: each step of a chain uses its input twice.
-    numbered = cut_lineage(series.with_row_number(snapshots, "version"))
-    chained = series.with_next(numbered, [at], "__next")
+    chained = series.add(snapshots, series.row_number("version"), series.next([at], "__next"))
     return chained.withColumn("from_us", F.col(at)).withColumn("to_us", F.col(f"__next.{at}")).drop("__next", at)
 
 

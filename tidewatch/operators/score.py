@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.series import Series, latest_per, top_k_per
+from tidewatch.session import cut_lineage
 
 # Our weights. Factors without a definition of their own enter as given inputs.
 WEIGHTS = {"severity": 0.3, "recency": 0.2, "corroboration": 0.2, "proximity": 0.2, "reliability": 0.1}
@@ -91,9 +92,10 @@ def rank_priority(df: DataFrame, group: str, value: str, unique: str, tiles: int
     ranks come from running sums over value bands, and only ties are numbered,
     in blocks of ids.
     """
+    df = cut_lineage(df)  # used three times
     counts = df.groupBy(group, value).agg(F.count("*").alias("n")).withColumn("__down", -F.col(value))
     bands = Series([group], ["__down"], F.floor(F.col("__down") * 50).cast("long"))
-    ranked = bands.with_row_number(bands.with_running_sum(counts, F.col("n"), "__upto"), "dense_rank_no")
+    ranked = bands.add(counts, bands.running_sum(F.col("n"), "__upto"), bands.row_number("dense_rank_no"))
     totals = df.groupBy(group).agg(F.count("*").alias("__total"))
     ties = Series([group, value], [unique], F.floor(F.col(unique) / 100_000).cast("long"))
     numbered = ties.with_row_number(df, "__tie")

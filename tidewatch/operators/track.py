@@ -128,11 +128,9 @@ def current_revisions(measurements: DataFrame, period_us: int) -> DataFrame:
     period = (F.floor(F.col("observed_us") / period_us) * period_us).alias("period_us")
     rows = measurements.filter(F.col("metric").isNotNull()).select("*", period)
     series = Series(["ref_id", "metric", "period_us"], ["ingested_us", "obs_id"], F.floor(F.col("ingested_us") / HOUR_US))
-    numbered = series.with_row_number(rows, "__no")
-    with_prev = series.with_previous(numbered, ["metric_value"], "__prev")
-    with_next = series.with_next(with_prev, ["obs_id"], "__next")
+    seen = series.add(rows, series.row_number("__no"), series.previous(["metric_value"], "__prev"), series.next(["obs_id"], "__next"))
     return (
-        with_next.withColumn("revision", F.col("__no") - 1)
+        seen.withColumn("revision", F.col("__no") - 1)
         .withColumn("previous_value", F.col("__prev.metric_value"))
         .withColumn("is_current", F.col("__next").isNull())
         .drop("__no", "__prev", "__next")
