@@ -132,7 +132,8 @@ def train(sample: pa.Table, seed: int = 1) -> np.ndarray:
                 clean = np.flatnonzero(target == 0)
                 chosen = np.union1d(chosen, rng.choice(clean, min(len(clean), len(chosen)), replace=False))
             rng.shuffle(chosen)
-            for part in np.array_split(chosen, max(1, len(chosen) // 1024)):
+            # Few passages make small steps, so that a small sample has enough of them.
+            for part in np.array_split(chosen, max(1, len(chosen) // int(np.clip(len(chosen) // 30, 32, 1024)))):
                 sizes = limits[part + 1] - limits[part]
                 places = np.repeat(limits[part] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
                 used, local = np.unique(word[places], return_inverse=True)
