@@ -103,7 +103,7 @@ def test_simplified_line_stays_within_tolerance(spark):
     rnd = random.Random(4)
     points = [("t", i, i * 1000, 10 + i * 0.001, 50 + rnd.uniform(0, 0.02)) for i in range(300)]
     df = spark.createDataFrame(points, "track_id string, obs_id long, observed_us long, lon double, lat double")
-    kept = sorted(r.obs_id for r in movement.simplify_tracks(df, 400.0, chunk=64).collect())
+    kept = sorted(r.obs_id for r in movement.simplify_tracks(df, 400.0, segment_us=64_000).collect())
     assert kept[0] == 0 and kept[-1] == 299 and len(kept) < 300
     k = movement.METRES_PER_DEGREE
     xy = {i: np.array([(lon - 10) * k * np.cos(np.radians(50.01)), (lat - 50) * k]) for _, i, _, lon, lat in points}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewatch.functions.series import Series, day_of
 from tidewatch.model import bindings as b
 from tidewatch.operators import movement
 from tidewatch.operators import track as op
@@ -164,14 +165,42 @@ def a19(spark, d):
     return op.entity_lifecycle(b.observations(spark, d), J + 30 * DAY, 86400.0)
 
 
-# Every point of every track must lie within the tolerance of the kept line;
-# the builder reports that bound per track instead of the points.
-@query("v1_simplify_tracks")
+@query(
+    "v1_simplify_tracks",
+    with_views(
+        "obs",
+        TRACKS + " SELECT track_id, count(*) AS points, true AS ends_kept, true AS within_tolerance, true AS fewer_or_equal FROM tracks GROUP BY track_id",
+    ),
+)
 def v1(spark, d):
-    tracks = op.assign_tracks(b.observations(spark, d), 43200.0)
-    kept = movement.simplify_tracks(tracks, 5000.0)
-    full = tracks.groupBy("track_id").agg(F.count("*").alias("points"))
-    return kept.groupBy("track_id").agg(F.count("*").alias("kept")).join(full, "track_id")
+    """What a simplified track promises, judged from all of its points: first and
+    last are kept, and every other lies near the line of the kept ones."""
+    points = op.assign_tracks(b.observations(spark, d), 43200.0).select("track_id", "obs_id", "observed_us", "lon", "lat")
+    kept = movement.simplify_tracks(points, 5000.0).select("track_id", "obs_id", F.lit(True).alias("kept"))
+    day = day_of("observed_us")
+    # Distances are taken in the plane of the day's first point.
+    origin = F.min_by(F.struct("lon", "lat"), F.struct("observed_us", "obs_id")).alias("origin")
+    plane = points.groupBy("track_id", day.alias("day")).agg(origin)
+    marked = points.join(kept, ["track_id", "obs_id"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    here = F.when(F.col("kept"), F.struct("lon", "lat"))
+    forward = Series(["track_id"], ["observed_us", "obs_id"], day)
+    seen = forward.add(marked, forward.last_known(here, "a"), forward.row_number("no")).withColumns({"down": -F.col("observed_us"), "down_id": -F.col("obs_id")})
+    backward = Series(["track_id"], ["down", "down_id"], -day)
+    seen = backward.add(seen, backward.last_known(here, "b"), backward.row_number("left")).withColumn("day", day).join(plane, ["track_id", "day"])
+    scale = movement.METRES_PER_DEGREE
+    kx = F.cos(F.radians("origin.lat")) * scale
+    ax, ay = (F.col("a.lon") - F.col("lon")) * kx, (F.col("a.lat") - F.col("lat")) * scale
+    dx, dy = (F.col("b.lon") - F.col("a.lon")) * kx, (F.col("b.lat") - F.col("a.lat")) * scale
+    norm = dx * dx + dy * dy
+    t = F.when(norm == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / norm)))
+    off = F.sqrt((ax + t * dx) * (ax + t * dx) + (ay + t * dy) * (ay + t * dy))
+    end = (F.col("no") == 1) | (F.col("left") == 1)
+    return seen.groupBy("track_id").agg(
+        F.count("*").alias("points"),
+        F.min(F.when(end, F.col("kept")).otherwise(True)).alias("ends_kept"),
+        F.coalesce(F.max(F.when(F.col("kept"), 0.0).otherwise(off)) <= 5000.001, F.lit(False)).alias("within_tolerance"),
+        (F.count_if("kept") <= F.count("*")).alias("fewer_or_equal"),
+    )
 
 
 @query(
