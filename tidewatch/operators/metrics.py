@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import geo
 from tidewatch.functions.plan import computed_once
+from tidewatch.functions.series import Series
 from tidewatch.model import labels
+from tidewatch.session import cut_lineage
 
 HOUR_US = 3_600_000_000
 
@@ -34,20 +36,42 @@ def lag_histogram(df: DataFrame, dims: Sequence[str], lag_s: Column) -> DataFram
     return pipeline_counts(df, dims, bounds).withColumnRenamed("stage", "le")
 
 
+def counted_quantiles(counted: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, float], width: float) -> DataFrame:
+    """Exact interpolated quantiles per key of a table ``keys, value, n``.
+
+    No buffer holds a key's values: running counts over value bands of ``width``
+    say which value a rank falls on, and the two around it are aggregates.
+    """
+    present = counted.filter(F.col(value).isNotNull())
+    series = Series(list(keys), [value], F.floor(F.col(value) / width).cast("long"))
+    summed = series.with_running_sum(present, F.col("n"), "__upto")
+    totals = present.groupBy(*keys).agg(F.sum("n").alias("__total"))
+    placed = summed.join(totals, list(keys))
+    out = []
+    for name, share in shares.items():
+        rank = (F.col("__total") - 1) * share
+        low = F.min(F.when(F.col("__upto") > F.floor(rank), F.col(value)))
+        high = F.min(F.when(F.col("__upto") > F.ceil(rank), F.col(value)))
+        between = F.first(rank - F.floor(rank))
+        out.append((low + (high - low) * between).alias(name))
+    return placed.groupBy(*keys).agg(*out)
+
+
 def lag_quantiles(df: DataFrame, dims: Sequence[str], lag_s: Column) -> DataFrame:
     """Exact p50 and p95 over whole milliseconds, negatives counted apart.
 
-    Equal lags are counted first, so a quantile sees one row per distinct lag
-    and not one per message.
+    Equal lags are counted first; quantiles come from running counts.
     """
     ms = F.round(lag_s * 1000).cast("long")
     counted = df.filter(lag_s.isNotNull()).groupBy(*dims, ms.alias("ms")).agg(F.count("*").alias("n"))
-    seen = F.when(F.col("ms") >= 0, F.col("ms"))
-    return counted.groupBy(*dims).agg(
+    counted = cut_lineage(counted)
+    sums = counted.groupBy(*dims).agg(
         F.sum(F.when(F.col("ms") >= 0, F.col("n")).otherwise(0)).alias("n"),
         F.sum(F.when(F.col("ms") < 0, F.col("n")).otherwise(0)).alias("n_negative"),
-        (F.percentile(seen, 0.5, F.col("n")) / 1000).alias("p50_s"),
-        (F.percentile(seen, 0.95, F.col("n")) / 1000).alias("p95_s"),
+    )
+    quantiles = counted_quantiles(counted.filter("ms >= 0"), dims, "ms", {"p50": 0.5, "p95": 0.95}, 60_000)
+    return sums.join(quantiles, list(dims), "left").select(
+        *dims, "n", "n_negative", (F.col("p50") / 1000).alias("p50_s"), (F.col("p95") / 1000).alias("p95_s")
     )
 
 
@@ -78,12 +102,10 @@ def source_health(
         .groupBy(*keys)
         .agg(F.count("*").alias("trailing_failures"))
     )
-    latency_counts = base.groupBy(*keys, F.round("latency", 2).alias("latency")).agg(F.count("*").alias("n"))
-    quantiles = latency_counts.groupBy(*keys).agg(
-        F.percentile("latency", 0.5, F.col("n")).alias("p50"), F.percentile("latency", 0.95, F.col("n")).alias("p95")
-    )
+    latency_counts = base.groupBy(*keys, "latency").agg(F.count("*").alias("n"))
+    quantiles = counted_quantiles(latency_counts, keys, "latency", {"p50": 0.5, "p95": 0.95}, 1.0)
     return (
-        summary.join(quantiles, keys)
+        summary.join(quantiles, keys, "left")
         .join(trailing, keys, "left")
         .withColumn("trailing_failures", F.coalesce("trailing_failures", F.lit(0).cast("long")))
         .withColumn("error_rate", F.col("failures") / F.col("runs"))
@@ -209,10 +231,8 @@ def learn_shape(df: DataFrame, value: str = "value") -> DataFrame:
     per_path = by_type.groupBy("path").agg(
         F.sum("n").alias("n"), F.max(typed)["type"].alias("type")
     )
-    # One-row right side: attached as a scalar, not as a product of two tables.
     return (
-        per_path.withColumn("__one", F.lit(1))
-        .join(total.withColumn("__one", F.lit(1)), "__one")
+        per_path.withColumn("samples", total.scalar())
         .select(
             "path",
             F.coalesce("type", F.lit("null")).alias("type"),
@@ -244,13 +264,13 @@ def detect_drift(df: DataFrame, shape: DataFrame, value: str = "value") -> DataF
     )
     # A reported deviation is reported once per kind and path.
     changed = changed.groupBy("kind", "path").agg(F.min("was").alias("was"), F.min("now").alias("now"))
-    n_shapes = shapes.agg(F.count_distinct("shape_id").alias("all_shapes")).withColumn("__one", F.lit(1))
+    n_shapes = shapes.agg(F.count_distinct("shape_id").alias("all_shapes"))
     present = shapes.groupBy("path").agg(F.count_distinct("shape_id").alias("in_shapes"))
     missing = (
         shape.filter("required")
-        .select("path", F.col("type").alias("was"), F.lit(1).alias("__one"))
+        .select("path", F.col("type").alias("was"))
         .join(present, "path", "left")
-        .join(n_shapes, "__one")
+        .withColumn("all_shapes", n_shapes.scalar())
         .filter(F.coalesce("in_shapes", F.lit(0)) < F.col("all_shapes"))
         .select(F.lit("missing_field").alias("kind"), "path", "was", F.lit(None).cast("string").alias("now"))
     )

@@ -219,6 +219,10 @@ def apply_retention(obs: DataFrame, sources: DataFrame, today_us: int, default_d
     limit = F.least(F.lit(default_days), F.coalesce("retention_days", F.lit(default_days)))
     day = F.floor(F.col("observed_us") / DAY_US)
     today = int(today_us // DAY_US)
+    if "obs_date" in obs.columns:
+        # Partitions past every limit are not read at all; strays may be of any day.
+        first = F.date_from_unix_date(F.lit(today - default_days)).cast("string")
+        obs = obs.filter((F.col("obs_date").cast("string") >= first) | (F.col("obs_date").cast("string") == "stray"))
     return (
         # Days past every limit go first, without a look at the source register.
         obs.filter(day >= today - default_days)

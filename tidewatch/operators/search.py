@@ -84,8 +84,8 @@ def bm25(reports: DataFrame, query: str, body: str = "text") -> DataFrame:
         F.avg("length").alias("mean_length"),
         *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))],
     )
-    # One row of corpus statistics, put beside every report.
-    both = counted.withColumn("__one", F.lit(1)).join(stats.withColumn("__one", F.lit(1)), "__one")
+    # The corpus statistics are one value, from a scalar subquery.
+    both = counted.withColumn("corpus", stats.select(F.struct("*")).scalar()).select("*", "corpus.*").drop("corpus")
     score = F.lit(0.0)
     norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("mean_length"))
     for i in range(len(terms)):
@@ -103,16 +103,18 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id")
 
     Each task multiplies its batches with the query matrix and passes on only
     its own best ``k`` per query; a second step merges those. Query batches over
-    ``MAX_QUERY_VECTORS`` are worked off in slices, so what a task holds never
-    grows with either table.
+    ``MAX_QUERY_VECTORS`` are worked off in slices of different vectors, so what a
+    task holds never grows with either table.
     """
     from tidewatch.functions.series import top_k_per
 
     spark = vectors.sparkSession
-    rows = queries.select("query_id", "embedding").limit(MAX_QUERY_VECTORS + 1).collect()
+    queries = queries.select("query_id", "embedding").distinct()
+    rows = queries.limit(MAX_QUERY_VECTORS + 1).collect()
     if len(rows) > MAX_QUERY_VECTORS:
         slices = -(-queries.count() // (MAX_QUERY_VECTORS // 2))
-        part = F.pmod(F.xxhash64("query_id"), F.lit(slices))
+        # By id and vector: also one id with very many vectors is sliced.
+        part = F.pmod(F.xxhash64("query_id", "embedding", F.lit(slices)), F.lit(slices))
         results = [knn(vectors, queries.filter(part == i), k, id_col) for i in range(slices)]
         merged = results[0]
         for r in results[1:]:

@@ -96,7 +96,7 @@ def a2_quantiles(spark, d):
         "obs",
         f""", r AS (SELECT source_id, observed_us // {24 * HOUR} * {24 * HOUR} AS window_us, observed_us AS seen, event_type = 'error' AS failed, metric_value AS latency FROM obs),
      g AS (SELECT source_id, window_us, count(*) AS runs, CAST(count(*) FILTER (WHERE failed) AS BIGINT) AS failures, max(seen) FILTER (WHERE NOT failed) AS last_success_us,
-       max(seen) FILTER (WHERE failed) AS last_failure_us, quantile_cont(round(latency, 2), 0.5) AS p50, quantile_cont(round(latency, 2), 0.95) AS p95 FROM r GROUP BY ALL)
+       max(seen) FILTER (WHERE failed) AS last_failure_us, quantile_cont(latency, 0.5) AS p50, quantile_cont(latency, 0.95) AS p95 FROM r GROUP BY ALL)
      SELECT g.source_id, g.window_us, g.runs, g.failures, g.last_success_us, g.last_failure_us, round(g.p50, 4) AS p50, round(g.p95, 4) AS p95,
        round(g.failures / g.runs, 6) AS error_rate, round(g.runs / 24, 6) AS per_hour, 24e0 AS expected_runs,
        (SELECT count(*) FROM r WHERE r.source_id = g.source_id AND r.window_us = g.window_us AND failed AND (g.last_success_us IS NULL OR r.seen > g.last_success_us)) AS trailing_failures FROM g""",

@@ -115,13 +115,8 @@ def jump_step(key: str = "ref_id", ttl_us: int | None = None) -> Step:
         latest = latest_per(placed, [key], ["arrival", "obs_id"])
         if ttl_us is not None:
             # Senders silent for longer than the time to live are let go.
-            newest = placed.agg(F.max("effective_us").alias("__now")).withColumn("__one", F.lit(1))
-            latest = (
-                latest.withColumn("__one", F.lit(1))
-                .join(newest, "__one")
-                .filter(F.col("effective_us") >= F.col("__now") - ttl_us)
-                .drop("__one", "__now")
-            )
+            newest = placed.agg(F.max("effective_us"))
+            latest = latest.filter(F.col("effective_us") >= newest.scalar() - ttl_us)
         return flagged.filter(~F.col("__old")).drop("__old"), latest.select(*batch.columns)
 
     return step
@@ -135,13 +130,7 @@ def late_step(at: str, delay_us: int) -> Step:
             flagged = batch.withColumn("is_late", F.lit(False))
             seen = batch.agg(F.max(at).alias("high_us"))
         else:
-            high = state.withColumn("__one", F.lit(1))
-            flagged = (
-                batch.withColumn("__one", F.lit(1))
-                .join(high, "__one")
-                .withColumn("is_late", F.col(at) < F.col("high_us") - delay_us)
-                .drop("__one", "high_us")
-            )
+            flagged = batch.withColumn("is_late", F.col(at) < state.select("high_us").scalar() - delay_us)
             seen = batch.agg(F.max(at).alias("high_us")).unionByName(state).agg(F.max("high_us").alias("high_us"))
         return flagged, seen
 
