@@ -53,3 +53,11 @@ def test_every_sql_belongs_to_a_query():
 
 def test_flagship(spark):
     assert entry_points.entry(spark).count() == 20
+
+
+def test_entry_without_the_training_data_package():
+    import subprocess
+
+    code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'k1_top_events' in q and 'pipeline' not in q"
+    done = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
