@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import blocks, chat, decontaminate, html_text, language, mixing, near_dups, pii, quality, repeats, toxicity
+from tidewatch.llm import blocks, chat, decontaminate, html_text, language, mixing, near_dups, pii, quality, repeats, sql, toxicity
 
 QUERIES = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, text: str | None = None):
     def register(build):
         QUERIES[name] = build
-        if sql is not None:
-            SQL[name] = sql
+        if text is not None:
+            SQL[name] = text
         return build
 
     return register
 
 
-@query("op1_decontaminate")
+@query("op1_decontaminate", sql.DECONTAMINATE)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_passages(
         blocks.documents(spark, folder).select("doc_id", "text"), blocks.documents(spark, folder, "benchmark")
@@ -36,7 +36,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op3_quality_rules")
+@query("op3_quality_rules", sql.QUALITY)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     measured = quality.measure(blocks.documents(spark, folder).select("doc_id", "text"))
     return measured.select(
@@ -44,12 +44,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op7_mix_sources")
+@query("op7_mix_sources", sql.MIX)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.plan_mix(blocks.documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-@query("op8_near_duplicates")
+@query("op8_near_duplicates", sql.NEAR_DUPLICATES)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.group_near_duplicates(blocks.documents(spark, folder), words=2, percent=80)
 
