@@ -78,7 +78,7 @@ def _set_hashes(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _described(docs: DataFrame, size: int, full: bool) -> DataFrame:
     """``doc_id, n_shingles, set_a, set_b`` and band keys, or signature and set."""
-    tail = "signature array<long>, shingles array<long>" if full else "keys array<long>"
+    tail = "keys array<long>" + ", signature array<long>, shingles array<long>" * full
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def lists(present: np.ndarray, values: np.ndarray, width: int, type_):
@@ -92,15 +92,13 @@ def _described(docs: DataFrame, size: int, full: bool) -> DataFrame:
             first, second = _set_hashes(grams, bounds)
             minima = _minima(grams, bounds, len(_FACTORS) if full else BANDS * ROWS)
             columns = [rows.column("doc_id"), pa.array(counts), pa.array(first), pa.array(second)]
-            names = ["doc_id", "n_shingles", "set_a", "set_b"]
+            columns.append(lists(counts > 0, _keys(minima[:, : BANDS * ROWS]).view(np.int64), BANDS, pa.int64()))
+            names = ["doc_id", "n_shingles", "set_a", "set_b", "keys"]
             if full:
                 bits = np.packbits((minima & 1).astype(np.uint8), axis=1).view(np.int64)
                 columns.append(lists(counts > 0, bits, SIGNATURE, pa.int64()))
                 columns.append(pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(grams.view(np.int64))))
                 names += ["signature", "shingles"]
-            else:
-                columns.append(lists(counts > 0, _keys(minima).view(np.int64), BANDS, pa.int64()))
-                names.append("keys")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_a long, set_b long, {tail}")
@@ -193,7 +191,7 @@ def group_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     reps = filled.groupBy("set_a", "set_b").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")
     )
-    entries = reps.select("rep", "n", "set_a", "set_b", F.explode("keys").alias("key"))
+    entries = reps.select("rep", "n", "set_a", "set_b", F.posexplode("keys").alias("band", "key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
     buckets = cut_lineage(entries.join(shared, "key"))
     wanted = buckets.select(F.col("rep").alias("doc_id"), "set_a", "set_b").distinct()
@@ -215,7 +213,7 @@ def group_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
         .agg(F.count("*").alias("own"))
     )
     entered = cut_lineage(
-        buckets.select("key", "rep", "n")
+        buckets.select("key", "band", "rep", "n")
         .join(own, "rep", "left")
         .withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
         .filter(100 * F.col("common") >= percent * F.col("n"))
@@ -247,14 +245,14 @@ def group_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
         .withColumn("outer", F.when(F.col("rep") != F.col("head"), F.col("common") - F.coalesce("shared", F.lit(0))).otherwise(0))
         .join(groups.toDF("rep", "grp"), "rep", "left")
         .withColumn("grp", F.coalesce("grp", "rep"))
-        .select("key", "rep", "n", "inner", "outer", "grp")
+        .select("key", "band", "rep", "n", "inner", "outer", "grp")
     )
     sizes = members.groupBy("key", "grp").agg(F.count("*").alias("size"))
     # Of two members in different groups one is not in the largest group.
     split = sizes.groupBy("key").agg(F.count("*").alias("grps"), F.max_by("grp", "size").alias("largest")).filter("grps > 1").drop("grps")
-    bits = sets.select("rep", *[F.col("signature")[k].alias(f"bits{k}") for k in range(SIGNATURE)])
+    bits = sets.select("rep", "keys", *[F.col("signature")[k].alias(f"bits{k}") for k in range(SIGNATURE)])
     members = cut_lineage(members.join(split, "key").join(bits, "rep"))
-    apart = members.filter("grp <> largest").drop("largest")
+    apart = members.filter("grp <> largest").drop("largest", "band")
     apart = apart.select("key", *[F.col(c).alias(f"other_{c}") for c in apart.columns if c != "key"])
     pairs = (
         members.join(apart, "key")
@@ -262,6 +260,9 @@ def group_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
         .filter(enough(F.least("n", "other_n"), F.col("n") + F.col("other_n")))
         .filter(enough(F.least("inner", "other_inner") + F.least("outer", "other_outer"), F.col("n") + F.col("other_n")))
         .filter(_alike(percent))
+        # Of the bands that both agree in, the first one has the pair, once.
+        .filter((F.col("grp") == F.col("largest")) | (F.col("rep") < F.col("other_rep")))
+        .filter(F.array_position(F.zip_with("keys", "other_keys", lambda x, y: x == y), True) == F.col("band") + 1)
         .select(F.least("rep", "other_rep").alias("a"), F.greatest("rep", "other_rep").alias("b"))
         .distinct()
         .join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
