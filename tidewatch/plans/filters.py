@@ -142,13 +142,13 @@ def j2(spark, d):
 
 
 # Conversation turns stand in for translations: turn 0 is the French text,
-# turn 1 the German one, of the report with the conversation's number.
+# turn 1 the German one, and later ones are in languages that nobody asks for.
 @query(
     "j17_in_language",
     with_views(
         "rep",
-        """, tr AS (SELECT conv_id AS report_id, CASE turn WHEN 0 THEN 'fr' ELSE 'de' END AS lang,
-           split_part(text, chr(10), 1) AS title, text FROM conversations WHERE turn < 2)
+        """, tr AS (SELECT conv_id AS report_id, CASE turn WHEN 0 THEN 'fr' WHEN 1 THEN 'de' ELSE 'x' || CAST(turn AS VARCHAR) END AS lang,
+           split_part(text, chr(10), 1) AS title, text FROM conversations)
         SELECT r.report_id, CASE WHEN t.report_id IS NULL THEN r.lang ELSE 'de' END AS shown_lang,
           t.report_id IS NOT NULL AS is_translated, coalesce(t.title, r.title) AS shown_title,
           length(coalesce(t.text, r.text)) AS shown_chars, length(r.text) AS original_chars
@@ -156,10 +156,9 @@ def j2(spark, d):
     ),
 )
 def j17(spark, d):
-    turns = b.table(spark, d, "conversations").filter("turn < 2")
-    translations = turns.select(
+    translations = b.table(spark, d, "conversations").select(
         F.col("conv_id").alias("report_id"),
-        F.when(F.col("turn") == 0, "fr").otherwise("de").alias("lang"),
+        F.when(F.col("turn") == 0, "fr").when(F.col("turn") == 1, "de").otherwise(F.concat(F.lit("x"), F.col("turn"))).alias("lang"),
         F.substring_index("text", "\n", 1).alias("title"),
         "text",
     )

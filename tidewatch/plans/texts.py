@@ -173,7 +173,7 @@ def t1(spark, d):
         "rep",
         f""", p AS (SELECT report_id, 1e0 AS w, unnest({TOKENS.format('title')}) AS term FROM rep UNION ALL SELECT report_id, 0.1e0, unnest({TOKENS.format('text')}) FROM rep),
      i AS (SELECT report_id, w, term, count(*) AS n FROM p GROUP BY ALL),
-     q AS (SELECT item_id AS query_id, unnest(list_distinct(({TOKENS.format('text')})[1:2])) AS term FROM benchmark),
+     q AS (SELECT item_id AS query_id, unnest(ws[1:2]) AS term FROM (SELECT item_id, list(w ORDER BY length(w) DESC, w) AS ws FROM (SELECT DISTINCT item_id, unnest({TOKENS.format('text')}) AS w FROM benchmark) GROUP BY item_id)),
      k AS (SELECT query_id, count(*) AS terms FROM q GROUP BY query_id)
      SELECT query_id, report_id, round(sum(w * n), 4) AS score FROM i JOIN q USING (term) JOIN k USING (query_id) GROUP BY query_id, report_id, terms HAVING count(DISTINCT term) = terms""",
     ),
@@ -181,9 +181,10 @@ def t1(spark, d):
 def t1_many(spark, d):
     from tidewatch.functions import text
 
-    queries = b.table(spark, d, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.explode(F.slice(text.tokens(F.col("text")), 1, 2)).alias("term")
-    )
+    # The two longest words of each whole item.
+    words = F.array_sort(F.transform(F.array_distinct(text.tokens(F.col("text"))), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    queries = b.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(words, 1, 2)).alias("t"))
+    queries = queries.select("query_id", F.col("t.w").alias("term"))
     hits = se.search_many(se.inverted_index(b.reports(spark, d)), queries)
     return hits.withColumn("score", F.round("score", 4))
 
@@ -232,9 +233,11 @@ def t4(spark, d):
     return best.select("report_id", F.round("score", 8).alias("score"))
 
 
-# Names to look for: two runs of words from each benchmark item.
-NAMES = f"""nm AS (SELECT 'b' || CAST(item_id AS VARCHAR) AS ref_id, array_to_string(({TOKENS.format('text')})[1:3], ' ') AS phrase, item_id FROM benchmark
-   UNION ALL SELECT 'c' || CAST(item_id AS VARCHAR), array_to_string(({TOKENS.format('text')})[4:5], ' '), item_id FROM benchmark)"""
+# Names to look for: whole benchmark items, cut into runs of three and two words.
+NAMES = f"""bw AS (SELECT item_id, {TOKENS.format('text')} AS ws FROM benchmark),
+   bi AS (SELECT *, unnest(range(1, len(ws) + 1, 5)) AS i FROM bw),
+   nm AS (SELECT 'b' || CAST(item_id AS VARCHAR) || '/' || CAST(i AS VARCHAR) AS ref_id, array_to_string(ws[i:i+2], ' ') AS phrase, item_id FROM bi WHERE i + 2 <= len(ws)
+   UNION ALL SELECT 'c' || CAST(item_id AS VARCHAR) || '/' || CAST(i AS VARCHAR), array_to_string(ws[i+3:i+4], ' '), item_id FROM bi WHERE i + 4 <= len(ws))"""
 # Every start of the phrase in the padded word string, overlapping ones too.
 MENTION = f""", {NAMES}, dt AS (SELECT report_id, {TOKENS.format('text')} AS ws FROM rep),
   g AS (SELECT report_id, unnest(list_concat(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' ')), list_transform(range(1, len(ws)), lambda i: array_to_string(ws[i:i+1], ' ')))) AS phrase FROM dt),
@@ -244,13 +247,16 @@ MENTION = f""", {NAMES}, dt AS (SELECT report_id, {TOKENS.format('text')} AS ws
 def _names(spark, d):
     from tidewatch.functions import text
 
-    words = text.tokens(F.col("text"))
-    item = F.col("item_id").cast("string")
-    pairs = F.array(
-        F.struct(F.concat(F.lit("b"), item).alias("ref_id"), F.array_join(F.slice(words, 1, 3), " ").alias("name")),
-        F.struct(F.concat(F.lit("c"), item).alias("ref_id"), F.array_join(F.slice(words, 4, 2), " ").alias("name")),
-    )
-    return b.table(spark, d, "benchmark").select("item_id", F.inline(pairs))
+    items = b.table(spark, d, "benchmark").select("item_id", text.tokens(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
+    starts = items.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("ws"), F.lit(5))))
+
+    def run(letter: str, skip: int, n: int):
+        ref = F.concat(F.lit(letter), F.col("item_id").cast("string"), F.lit("/"), F.col("i").cast("string"))
+        name = F.array_join(F.slice("ws", F.col("i") + skip, F.lit(n)), " ")
+        return F.struct(ref.alias("ref_id"), name.alias("name"), (F.col("i") + skip + n - 1).alias("last"))
+
+    runs = starts.select("item_id", F.size("ws").alias("size"), F.inline(F.array(run("b", 0, 3), run("c", 3, 2))))
+    return runs.filter("last <= size").select("item_id", "ref_id", "name")
 
 
 @query(
