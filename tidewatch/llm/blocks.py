@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
+ROWS_PER_BATCH = 1000
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -124,6 +125,15 @@ def text_blocks(
             at = to
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """Keeps the session's Arrow batches small: rows hold whole texts, and a batch
+    of the usual 10,000 of them is tens of MB in the JVM and in the worker."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ROWS_PER_BATCH:
+        conf.set(name, str(ROWS_PER_BATCH))
+    return df
+
+
 def counts_per(doc: np.ndarray, n_docs: int, weights: np.ndarray | None = None) -> np.ndarray:
     """Sum of ``weights`` (or number of entries) per document."""
     if weights is None:

@@ -185,7 +185,7 @@ def find_passages(
     """
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in ADDED]
-    docs = docs.select(*keep)
+    docs = blocks.lean(docs.select(*keep))
     added = {
         "n_words": pa.int64(),
         "n_hit": pa.int64(),

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tidewatch.llm.blocks import lean
+
 SHORT = 70
 LONG = 200
 LINKS = 0.33
@@ -227,4 +229,4 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     def text_of(source: pd.Series) -> pd.Series:
         return source.map(lambda p: main_text(p if isinstance(p, str) else None))
 
-    return pages.withColumn("text", text_of(F.col(column))).withColumn("n_chars", F.length("text").cast("long"))
+    return lean(pages).withColumn("text", text_of(F.col(column))).withColumn("n_chars", F.length("text").cast("long"))

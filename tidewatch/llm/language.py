@@ -85,7 +85,7 @@ def count_sequences(docs: DataFrame, text: str = "text", lang: str = "lang") ->
                 held, size = [], 0
         yield from out(held)
 
-    counted = docs.select(text, lang).mapInArrow(run, "lang string, seq long, n long")
+    counted = blocks.lean(docs).select(text, lang).mapInArrow(run, "lang string, seq long, n long")
     return counted.groupBy("lang", "seq").agg(F.sum("n").alias("n"))
 
 
@@ -172,7 +172,7 @@ def identify(docs: DataFrame, trees: Trees | None, text: str = "text") -> DataFr
     no rows; columns named like the added ones are replaced.
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    docs = docs.select(*keep, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    docs = blocks.lean(docs).select(*keep, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     if trees is None:
         return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(trees)

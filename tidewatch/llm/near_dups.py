@@ -184,7 +184,7 @@ def group_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     that occurs twice keeps both, as they share the id. Other columns are ignored.
     An empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text")
+    docs = blocks.lean(docs.select("doc_id", "text"))
     rows = cut_lineage(_described(docs, words, full=False))
     filled = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))

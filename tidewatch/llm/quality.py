@@ -102,7 +102,7 @@ def measure(docs: DataFrame, column: str = "text") -> DataFrame:
     Repeated rows get equal results; an empty table gives no rows.
     """
     keep = [c for c in docs.columns if c not in FIELDS]
-    docs = docs.select(*keep)
+    docs = blocks.lean(docs.select(*keep))
     kinds = {"int64": "long", "double": "double", "bool": "boolean"}
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]

@@ -206,7 +206,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, pieces: int = PIECES, wi
     Rows that occur twice repeat each other. An empty table gives no rows. Other
     columns are ignored.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = blocks.lean(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), blocks.row_key().alias("key"), "text")
     long_ = docs.filter(F.octet_length("text") >= length).select("id", "key", "text")
 

@@ -207,7 +207,7 @@ def score(docs: DataFrame, model: np.ndarray, text: str = "text") -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
-    docs = docs.select(*keep)
+    docs = blocks.lean(docs.select(*keep))
 
     def run(batches):
         scores, bias = shared.value[:-1], float(shared.value[-1])
