@@ -209,7 +209,7 @@ def test_toxicity(spark, clashing):
                 words[rnd.randrange(len(words))] = rnd.choice(insults)
         rows.append((i, " ".join(words), int(i % 5 == 0)))
     df = spark.createDataFrame(rows, "doc_id long, text string, label int")
-    model = toxicity.fit(df.filter("doc_id < 600"))
+    model = toxicity.fit(df.filter("doc_id < 600").select("doc_id", "text"), df.select("doc_id", "label"))
     extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "..."), (-4, "veran blorgfase lonum"), (-5, " ".join(plain * 2000))], SCHEMA)
     got = {r.doc_id: r for r in toxicity.score(clashing(df.select("doc_id", "text").unionByName(extra)), model).collect()}
     late = [(got[i].predicted, label) for i, _, label in rows if i >= 600]

@@ -77,8 +77,8 @@ def _held_out():
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = blocks.documents(spark, folder).select("doc_id", "text")
     labels = blocks.documents(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
-    learn = docs.filter(F.col("doc_id").isNotNull() & ~_held_out()).join(labels.filter("label IS NOT NULL"), "doc_id")
-    scored = toxicity.score(docs, toxicity.fit(learn))
+    model = toxicity.fit(docs.filter(~_held_out()), labels.filter(~_held_out()))
+    scored = toxicity.score(docs, model)
     return scored.select("doc_id", _held_out().alias("held_out"), "score", "predicted")
 
 

@@ -23,9 +23,9 @@ GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 17
 DIMENSIONS = 12
 THRESHOLD = 0.3
-#: Bounds of the training sample: labelled rows of each label, and words.
+#: Bounds of the training sample: labelled rows of each label, and bytes of text.
 ROWS_PER_LABEL = {1: 2000, 0: 4000}
-WORDS = 3_000_000
+BYTES = 18_000_000
 PASSES = (2, 20)
 STEP = 0.5
 
@@ -180,22 +180,24 @@ def _scored(scores: np.ndarray, bias: float, buckets, bounds, word, begins) -> n
     return _mean(words[word], begins, len(word)) + bias
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label") -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label") -> np.ndarray:
     """The model, trained on a bounded sample of the labelled rows.
 
-    The sample is the rows with the least hashes: ``ROWS_PER_LABEL`` of each
-    label, as many of them as have ``WORDS`` words. Rows with a null text or label
-    are not used. Without both labels the model knows nothing and scores 0.5.
+    The sample is the rows with the least text hashes: ``ROWS_PER_LABEL`` of each
+    label, as many of them as have ``BYTES`` bytes. It is chosen by hash and size
+    alone, so texts are only moved for the chosen rows, whose keys are broadcast.
+    Rows with a null key, text or label are not used; a row that occurs twice is
+    used once. Without both labels the model knows nothing and scores 0.5.
     """
-    rows = labelled.filter(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(
-        F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(text).alias("h")
-    )
-    words = F.regexp_count("text", F.lit(r"\S+")).alias("words")
-    parts = [rows.filter(F.col("label") == k).orderBy("h").limit(n) for k, n in ROWS_PER_LABEL.items()]
-    sample = parts[0].unionByName(parts[1]).select("text", "label", "h", words)
-    running = F.sum("words").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
-    taken = sample.withColumn("sum", running).filter(F.col("sum") <= WORDS).select("text", "label").toArrow()
-    return train(taken)
+    known = labels.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
+    texts = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    rows = texts.select("key", "h", F.octet_length("text").alias("bytes")).join(known, "key").distinct()
+    parts = [rows.filter(F.col("label") == k).orderBy("h", "key").limit(n) for k, n in ROWS_PER_LABEL.items()]
+    running = F.sum("bytes").over(Window.orderBy("h", "key", "label").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = parts[0].unionByName(parts[1]).withColumn("sum", running).filter(F.col("sum") <= BYTES).select("key", "h", "label")
+    # At most sum(ROWS_PER_LABEL) rows of three numbers.
+    taken = texts.join(F.broadcast(chosen), ["key", "h"]).dropDuplicates(["key", "h", "label"])
+    return train(taken.select("text", "label").orderBy(F.xxhash64("text")).toArrow())
 
 
 def score(docs: DataFrame, model: np.ndarray, text: str = "text") -> DataFrame:
