@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.session import cut_lineage
+
 ROLES = ("system", "user", "assistant")
 # Names that speakers are marked with.
 MARKERS = {
@@ -20,8 +23,9 @@ MARKERS = {
     "user": ["user", "human", "customer", "question", "q"],
     "assistant": ["assistant", "ai", "bot", "model", "answer", "a"],
 }
-#: Turns of a transcript that are decoded together. A longer one is decoded in
-#: pieces, each with what is known of the middle of a transcript.
+#: Rows of a transcript that are decoded together. Of a longer one, each piece is
+#: summarised by its best scores between first and last role, and decoded once the
+#: roles at its ends are known, which gives the roles of the whole series.
 PIECE = 256
 #: Values of each feature: marker, words, lines, question, list or code.
 SIZES = (5, 8, 5, 2, 2)
@@ -71,22 +75,80 @@ class Model:
     def __init__(self, first: np.ndarray, follow: np.ndarray, emit: list[np.ndarray]):
         self.first, self.follow, self.emit = np.log(first), np.log(follow), [np.log(e) for e in emit]
 
-    def decode(self, seen: np.ndarray, opening: bool) -> np.ndarray:
-        """The likeliest roles of a series of paragraphs (Viterbi)."""
-        told = sum(e[:, seen[:, k]] for k, e in enumerate(self.emit)).T
-        best = told[0] + (self.first if opening else 0)
+    def _told(self, seen: np.ndarray) -> np.ndarray:
+        return sum(e[:, seen[:, k]] for k, e in enumerate(self.emit)).T
+
+    def between(self, seen: np.ndarray) -> np.ndarray:
+        """Best score of a series from each first role to each last one."""
+        told = self._told(seen)
+        best = np.where(np.eye(len(ROLES), dtype=bool), told[0], -np.inf)
+        for row in told[1:]:
+            best = (best[:, :, None] + self.follow).max(axis=1) + row
+        return best
+
+    def ends(self, pieces: list[np.ndarray]) -> list[tuple[int, int]]:
+        """First and last role of each piece of a transcript on its likeliest way."""
+        into, back = self.first, []
+        for score in pieces:
+            ways = into[:, None] + score
+            enter, last = ways.argmax(axis=0), ways.max(axis=0)
+            after = last[:, None] + self.follow
+            back.append((enter, after.argmax(axis=0)))
+            into = after.max(axis=0)
+        out, leave = [], int(last.argmax())
+        for k in range(len(pieces) - 1, -1, -1):
+            enter = int(back[k][0][leave])
+            out.append((enter, leave))
+            leave = int(back[k - 1][1][enter]) if k else 0
+        return out[::-1]
+
+    def decode(self, seen: np.ndarray, enter: int | None = None, leave: int | None = None) -> np.ndarray:
+        """The likeliest roles of a series of paragraphs (Viterbi): of a whole
+        transcript, or of a piece with these roles at its ends."""
+        told = self._told(seen)
+        best = told[0] + self.first if enter is None else np.where(np.arange(len(ROLES)) == enter, told[0], -np.inf)
         back = np.zeros(told.shape, dtype=np.int8)
         for t in range(1, len(told)):
             ways = best[:, None] + self.follow
             back[t] = ways.argmax(axis=0)
             best = ways.max(axis=0) + told[t]
         roles = np.zeros(len(told), dtype=np.int64)
-        roles[-1] = best.argmax()
+        roles[-1] = best.argmax() if leave is None else leave
         for t in range(len(told) - 1, 0, -1):
             roles[t - 1] = back[t, roles[t]]
         return roles
 
 
+def _in_runs(run, columns: list[str], size: int = 1000):
+    """For mapInArrow: ``run`` gives the output rows of each run of equal values in
+    the first column; the batches it reads are sorted by that."""
+
+    def mapped(batches):
+        held, out, fields = [], [], None
+
+        def batch_of(rows):
+            kinds = [fields.get(c, t) for c, t in (x.rsplit(" ", 1) for x in columns)]
+            kinds = [k if isinstance(k, pa.DataType) else {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "scores": pa.list_(pa.float64())}[k] for k in kinds]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.rsplit(" ", 1)[0] for x in columns])
+
+        for batch in batches:
+            fields = {"id": batch.schema.field("id").type}
+            for r in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+                if held and r[0] != held[0][0]:
+                    out += run(held)
+                    held = []
+                held.append(r)
+                if len(out) >= size:
+                    yield batch_of(out)
+                    out = []
+        if held:
+            out += run(held)
+        if out:
+            yield batch_of(out)
+
+    return mapped
+
+
 def fit(turns: DataFrame) -> Model:
     """The model from labelled turns ``id, turn, role, text``.
 
@@ -124,51 +186,105 @@ def recover(units: DataFrame, model: Model) -> DataFrame:
     ``<|end|>``, each on lines of its own. A null or empty text is an empty
     paragraph. Equal numbers are ordered by text, so repeated rows follow each
     other. A null id is a transcript of its own; an empty table gives no rows.
-    Transcripts are dealt out by id and piece, so a long one has many tasks.
+    The rows are put in order by range and numbered in pieces of ``PIECE``, so a
+    long transcript has many tasks, whatever its turn numbers are; per transcript
+    only one small row for each piece comes together, and a turn that crosses
+    pieces is put together in the end.
     """
     kind = units.schema["id"].dataType.simpleString()
     bare = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), _MARK, "")
     ready = (
         _features(units.select("id", F.col("turn").cast("long").alias("turn"), "part", "text"))
-        .withColumn("piece", F.floor(F.coalesce("turn", F.lit(0)) / PIECE))
         .withColumn("bare", bare)
-        .select("id", "piece", "turn", "part", "text", "bare", "seen")
-        .repartition("id", "piece")
-        .sortWithinPartitions("id", "piece", "turn", "part", "text")
+        .select("id", "turn", "part", "text", "bare", "seen")
     )
-    names = ["id", "turn", "role", "n_parts", "content", "rendered"]
+    order = ["id", "turn", "part", "text"]
+    # Equal rows may be in any order: a number lets the ranges cut between them.
+    ready = cut_lineage(ready.withColumn("tie", F.monotonically_increasing_id()))
+    in_order = ready.repartitionByRange(*order, "tie").sortWithinPartitions(*order, "tie").select("id", "turn", "bare", "seen")
 
-    def run(batches):
-        held, last = [], None
+    def number(batches):
+        # A task has a range of its own, and pieces follow each other as the rows do.
+        piece, at, last = TaskContext.get().partitionId() << 40, 0, None
+        for batch in batches:
+            pieces, places = [], []
+            for value in batch.column(0).to_pylist():
+                if at == PIECE or (at and value != last):
+                    piece, at = piece + 1, 0
+                pieces.append(piece)
+                places.append(at)
+                at, last = at + 1, value
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, pa.int64()), pa.array(places, pa.int32())], names=["id", "turn", "bare", "seen", "piece", "at"])
 
-        def decoded():
-            roles = model.decode(np.array([h[3] for h in held], dtype=np.int64), held[0][0][1] == 0)
-            edges = [0, *(np.flatnonzero(np.diff(roles)) + 1).tolist(), len(held)]
-            for a, b in zip(edges[:-1], edges[1:]):
-                role, content = ROLES[roles[a]], "\n\n".join(h[2] for h in held[a:b]).strip()
-                yield held[a][0][0], held[a][1], role, b - a, content, f"<|{role}|>\n{content}\n<|end|>"
+    rows = cut_lineage(in_order.mapInArrow(number, f"id {kind}, turn long, bare string, seen array<int>, piece long, at int"))
 
-        def batch_of(rows):
-            columns = list(zip(*rows))
-            types = [None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t or id_type) for c, t in zip(columns, types)], names=names)
+    # The pieces of transcripts that have several, each as its scores.
+    several = rows.filter("at = 0").groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select("id")
+    long = rows.select("id", "piece", "at", "seen").join(several.withColumnRenamed("id", "long_id"), F.col("id").eqNullSafe(F.col("long_id")), "left_semi")
 
-        id_type, out = None, []
-        for batch in batches:
-            id_type = batch.schema.field("id").type
-            for r in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-                group = (r[0], r[1])
-                if held and group != last:
-                    out += decoded()
-                    held = []
-                held.append((group, r[2], r[5], r[6]))
-                last = group
-            if len(out) >= 1000:
-                yield batch_of(out)
-                out = []
-        if held:
-            out += decoded()
-        if out:
-            yield batch_of(out)
+    def summed(held):
+        return [(held[0][2], held[0][0], model.between(np.array([h[3] for h in held], dtype=np.int64)).ravel().tolist())]
+
+    scores = (
+        long.select("piece", "at", "id", "seen").repartition("piece").sortWithinPartitions("piece", "at")
+        .mapInArrow(_in_runs(summed, ["id long", "piece long", "scores scores"]), f"id {kind}, piece long, scores array<double>")
+    )
+
+    def scanned(held):
+        ends = model.ends([np.array(h[2]).reshape(len(ROLES), -1) for h in held])
+        return [(h[0], h[1], *e) for h, e in zip(held, ends)]
+
+    ends = (
+        scores.repartition("id").sortWithinPartitions("id", "piece")
+        .mapInArrow(_in_runs(scanned, ["id long", "piece long", "enter int", "leave int"]), f"id {kind}, piece long, enter int, leave int")
+        .drop("id")
+    )
+
+    def decoded(held):
+        roles = model.decode(np.array([h[4] for h in held], dtype=np.int64), *held[0][5:7])
+        edges = [0, *(np.flatnonzero(np.diff(roles)) + 1).tolist(), len(held)]
+        for no, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+            cut = None if held[0][5] is None else len(edges) - 1
+            yield held[0][2], held[0][0], no, cut, held[a][3], int(roles[a]), b - a, "\n\n".join(h[7] for h in held[a:b])
+
+    fields = ["id long", "piece long", "no int", "cut int", "turn long", "role int", "n_parts long", "content string"]
+    turns = cut_lineage(
+        rows.join(ends, "piece", "left").select("piece", "at", "id", "turn", "seen", "enter", "leave", "bare")
+        .repartition("piece").sortWithinPartitions("piece", "at")
+        .mapInArrow(_in_runs(decoded, fields), f"id {kind}, piece long, no int, cut int, turn long, role int, n_parts long, content string")
+    )
+
+    # Where a piece begins with the role that the one before ends with, its first
+    # part belongs to a turn that began in an earlier piece.
+    def begun(held):
+        last = None
+        for id_, piece, cut, enter, leave in held:
+            head = last[:2] if last and last[2] == enter else (piece, 0)
+            yield id_, piece, *head
+            last = (*(head if cut == 1 else (piece, cut - 1)), leave)
+
+    sides = turns.filter("cut IS NOT NULL").groupBy("id", "piece").agg(F.max("cut").alias("cut"), F.min_by("role", "no").alias("enter"), F.max_by("role", "no").alias("leave"))
+    heads = (
+        sides.repartition("id").sortWithinPartitions("id", "piece")
+        .mapInArrow(_in_runs(begun, ["id long", "piece long", "head long", "head_no int"]), f"id {kind}, piece long, head long, head_no int")
+        .select("piece", F.lit(0).alias("no"), "head", "head_no")
+    )
+    cut = turns.filter("cut IS NOT NULL").join(heads, ["piece", "no"], "left")
+    merged = (
+        cut.groupBy("id", "role", F.coalesce("head", "piece").alias("head"), F.coalesce("head_no", "no").alias("head_no"))
+        .agg(
+            F.min_by("turn", "piece").alias("turn"),
+            F.sum("n_parts").alias("n_parts"),
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "content"))), lambda x: x["content"]), "\n\n").alias("content"),
+        )
+        .select("id", "turn", "role", "n_parts", "content")
+    )
+
+    def rendered(held):
+        for id_, turn, role, n, content in held:
+            content = content.strip()
+            yield id_, turn, ROLES[role], n, content, f"<|{ROLES[role]}|>\n{content}\n<|end|>"
 
-    return ready.mapInArrow(run, f"id {kind}, turn long, role string, n_parts long, content string, rendered string")
+    whole = turns.filter("cut IS NULL").select("id", "turn", "role", "n_parts", "content").unionByName(merged)
+    names = ["id long", "turn long", "role string", "n_parts long", "content string", "rendered string"]
+    return whole.mapInArrow(_in_runs(rendered, names), f"id {kind}, turn long, role string, n_parts long, content string, rendered string")
