@@ -98,3 +98,20 @@ def test_chain_of_series_steps_reads_its_table_once(spark):
     # Only written tables are left in the plan; the source was read by the first step.
     assert source not in plan and plan.count("FileScan") <= 2
     assert out.filter("known IS NULL").count() == 3
+
+
+def test_no_near_duplicate_at_the_threshold_is_missed(spark):
+    import random
+
+    from tidewatch.operators import dedupe
+
+    rnd = random.Random(24)
+    sets = []
+    for g in range(60):
+        base = [rnd.randrange(1 << 59) for _ in range(40)]
+        sets += [(f"{g}a", base), (f"{g}b", base[:30] + [rnd.randrange(1 << 59) for _ in range(10)]), (f"{g}c", base[:24]), (f"{g}d", base[:23])]
+    sets += [("one", [5]), ("none", [])]
+    want = {(a, b): len(set(x) & set(y)) / len(set(x) | set(y)) for a, x in sets for b, y in sets if a < b and x and y}
+    want = {k: v for k, v in want.items() if v >= 0.6}
+    got = dedupe.near_dupes_exact(spark.createDataFrame(sets, "id string, items array<long>"), 0.6).collect()
+    assert {(r.a, r.b): r.similarity for r in got} == pytest.approx(want) and len(got) == len(want)

@@ -108,7 +108,9 @@ def d4_buckets(spark, d):
 
 @query("d4_near_duplicates", with_views("rep", SETS + " SELECT a, b, similarity FROM near WHERE similarity >= 0.6"))
 def d4(spark, d):
-    return op.near_dupes_minhash(op.content_sets(b.reports(spark, d)), 0.6)
+    from tidewatch.session import cut_lineage
+
+    return op.near_dupes_exact(cut_lineage(op.content_sets(b.reports(spark, d))), 0.6)
 
 
 @query(
@@ -133,7 +135,7 @@ def d5(spark, d):
     reports = b.reports(spark, d)
     # Used by the pairs, the clusters and the similarities: written once.
     sets = cut_lineage(op.content_sets(reports))
-    return op.story_clusters(reports, sets, op.near_dupes_minhash(sets, 0.6))
+    return op.story_clusters(reports, sets, op.near_dupes_exact(sets, 0.6))
 
 
 @query(
