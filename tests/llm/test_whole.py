@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tidewatch.llm import chat, language
+from tidewatch.llm import chat, language, pii
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
@@ -87,3 +87,9 @@ def test_chat_turn_goes_on_over_the_256th_number(spark):
     units = spark.createDataFrame([("a", k, 0, f"Bot: {k}") for k in range(300)], "id string, turn long, part int, text string")
     (got,) = chat.recover(units, model).collect()
     assert got.n_parts == 300 and got.content == "\n\n".join(map(str, range(300)))
+
+
+def test_phone_whose_digits_stand_apart(spark):
+    texts = ["+1 (2) (3) (4) (5) (6) (7) (8)", "call +1--2--3--4--5--6--7--8 now", "+1 (2)"]
+    found = pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: [tuple(x) for x in r.base_spans] for r in found} == {0: [("phone", 0, 29)], 1: [("phone", 5, 28)], 2: []}

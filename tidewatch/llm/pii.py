@@ -34,7 +34,7 @@ LOOSE = {
     "phone": r"(?<![0-9A-Za-z+().-])(?:\([0-9]{2,4}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z])",
 }
 #: A text without a match of this has no candidate of the kind.
-HINT = {"email": "@|(?:at|AT) ?[\\])}]", "ip": "[0-9]\\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": "[0-9][ -]?[0-9]", "phone": "[0-9][-. ()]?[0-9]"}
+HINT = {"email": "@|(?:at|AT) ?[\\])}]", "ip": "[0-9]\\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": "[0-9][ -]?[0-9]", "phone": "\\+[0-9]|[0-9][-. ()]?[0-9]"}
 
 # Common top-level domains, and words that go before personal data or before other numbers.
 DOMAINS = ["com", "org", "net", "edu", "gov", "info", "io", "eu", "de", "fr", "es", "uk", "ch", "at", "it", "nl", "us"]
