@@ -5,7 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import blocks, chat, decontaminate, html_text, language, mixing, near_dups, pii, quality, repeats, sql, toxicity
+from tidewatch.functions.plan import computed_once
+from tidewatch.llm import (
+    blocks,
+    chat,
+    collocations,
+    decontaminate,
+    html_text,
+    language,
+    licences,
+    mixing,
+    near_dups,
+    periodic,
+    pii,
+    quality,
+    repeats,
+    sql,
+    toxicity,
+)
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -103,3 +120,65 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("id").cast("string")) % 4 == 2, F.lit(False))
     found = chat.recover(rows.drop("role"), chat.fit(rows.filter(F.col("id").isNotNull() & ~held_out)))
     return found.select(F.col("id").alias("conv_id"), held_out.alias("held_out"), "turn", "role", "n_parts", "rendered")
+
+
+@query("op11_collocations", sql.COLLOCATIONS)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine_phrases(blocks.documents(spark, folder))
+
+
+@query("op12_licences", sql.licences())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    index = licences.build_index(licences.templates(spark))
+    found = licences.find_licences(blocks.documents(spark, folder).select("doc_id", "text"), index)
+    starts = F.transform("base_places", lambda p: p["start"])
+    base = F.transform("base_places", lambda p: p["label"])
+    own = F.transform("matches", lambda m: m["label"])
+    named = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    covered = F.coalesce(F.array_max(F.transform("matches", lambda m: m["covered"])), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base_places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        named(base).alias("base_labels"),
+        named(F.concat(base, own)).alias("labels"),
+        F.when(F.size("base_places") > 0, 1.0).otherwise(covered).alias("score"),
+    )
+
+
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Texts of a tenth of the ids repeat some of their words from a place on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    cut = computed_once(docs.select("doc_id", "text"), "words", words)
+    n, g = F.size("words").cast("long"), F.floor(h / 10)
+    a = F.try_mod(g, n)
+    period = 1 + F.floor((n - a) / (3 + g % 8))
+    at = lambda i: F.when(i < a, i).otherwise(a + F.try_mod(i - a, period))
+    repeated = F.array_join(
+        F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get("words", at(i).cast("int"))), " "
+    )
+    return cut.select("doc_id", F.when(n > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs", sql.PERIODIC)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.find_runs(_with_planted_periods(blocks.documents(spark, folder)))
+    ahead = lambda x, y: x["length"] * y["period"] - y["length"] * x["period"]
+    later = lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(x["period"] - y["period"])
+    order = lambda x, y: F.signum(F.when(ahead(x, y) != 0, -ahead(x, y)).otherwise(later(x, y))).cast("int")
+    top = F.get(F.array_sort("runs", order), F.lit(0))
+    told = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    ended = F.array_join(F.transform(told, lambda t: F.concat(t, F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"), ended.alias("told"), "collapsed").select(
+        "doc_id",
+        "n_runs",
+        "top.start",
+        "top.length",
+        "top.period",
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2("told", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

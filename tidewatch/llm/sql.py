@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from tidewatch.llm import licences as _licences
+
 SPACED = r"[^\x20\x09-\x0D]+"
 LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -69,3 +71,84 @@ r AS (SELECT doc_id, size, source_size, target, draw, CASE WHEN source_size > 0
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST((floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM r"""
+
+
+# A stripe's entries as plain counts of one, two and three words.
+COLLOCATIONS = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+u AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, any_value(w1) AS w1, any_value(w2) AS w2, any_value(w3) AS w3, count(*) AS a FROM u GROUP BY lang, k, phrase),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+parts AS (SELECT lang || chr(10) || phrase AS part, a FROM f WHERE k < 3),
+cuts AS (SELECT lang, k, phrase, a, 1 AS cut, lang || chr(10) || w1 AS x, lang || chr(10) || CASE k WHEN 2 THEN w2 ELSE w2 || ' ' || w3 END AS y FROM c
+  UNION ALL SELECT lang, k, phrase, a, 2, lang || chr(10) || w1 || ' ' || w2, lang || chr(10) || w3 FROM c WHERE k = 3),
+s AS (SELECT cuts.*, l.a AS l, r.a AS r, 1000000 * CAST(cuts.a AS HUGEINT) * cuts.a // (CAST(l.a AS HUGEINT) * r.a) AS score
+  FROM cuts JOIN parts l ON l.part = x JOIN parts r ON r.part = y),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (SELECT lang, phrase, max(a) AS longest FROM (
+  SELECT lang, w1 || ' ' || w2 AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, w2 || ' ' || w3, a FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT m.* FROM m LEFT JOIN longer USING (lang, phrase) WHERE k = 3 OR longest IS NULL OR 100 * longest < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "C") AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+
+def licences() -> str:
+    """The index as tables, positions by joins, windows of places by a self-join."""
+    quoted = lambda v: "'" + v.replace("'", "''") + "'"
+    rows = ", ".join(f"({t}, {quoted(label)}, {quoted(text)}, [{', '.join(map(quoted, phrases))}])" for t, (label, text, phrases) in enumerate(_licences.TEMPLATES))
+    base = ", ".join(f"({quoted(p)}, {quoted(label)})" for p, label in _licences.BASE_PHRASES.items())
+    slack, percent, rare = _licences.SLACK, _licences.PERCENT, _licences.RARE
+    return rf"""
+WITH tw AS (SELECT t, label, regexp_extract_all({LOWER.format("text")}, '{LETTERS}') AS w, phrases FROM (VALUES {rows}) v(t, label, text, phrases)),
+post AS (SELECT t, w[j + 1] AS word, j FROM (SELECT t, w, unnest(range(len(w))) AS j FROM tw)),
+df AS (SELECT word, count(DISTINCT t) AS df FROM post GROUP BY word),
+idx AS (SELECT t, word, j, CAST(floor(1000 * ln((SELECT count(*) FROM tw) / CAST(df AS DOUBLE))) AS BIGINT) AS weight
+  FROM post JOIN df USING (word) WHERE {rare} * df <= (SELECT count(*) FROM tw)),
+total AS (SELECT t, CAST(sum(weight) AS BIGINT) AS total FROM idx GROUP BY t),
+keys AS (SELECT t, pno, string_split(phrase, ' ') AS pw, phrase, position(' ' || phrase || ' ' IN ' ' || array_to_string(w, ' ') || ' ') AS chars, w
+  FROM (SELECT t, w, unnest(phrases) AS phrase, generate_subscripts(phrases, 1) AS pno FROM tw)),
+placed AS (SELECT t, pno, pw, phrase, len(string_split(substr(' ' || array_to_string(w, ' '), 1, chars), ' ')) - 2 AS k FROM keys),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{LETTERS}') AS w FROM documents),
+u AS (SELECT rid, i, w[i + 1] AS word FROM (SELECT rid, w, unnest(range(len(w))) AS i FROM d)),
+bases AS (SELECT string_split(phrase, ' ') AS pw, label FROM (VALUES {base}) b(phrase, label)),
+bp AS (SELECT rid, label, i FROM u JOIN bases ON word = pw[1] JOIN d USING (rid) WHERE w[i + 1:i + len(pw)] = pw),
+bs AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM bp GROUP BY rid),
+hits AS (SELECT rid, t, j, weight, i - j AS o FROM u JOIN idx USING (word)),
+phr AS (SELECT rid, t, pno, i - k AS o FROM u JOIN placed ON word = pw[1] JOIN d USING (rid) WHERE w[i + 1:i + len(pw)] = pw),
+tries AS (SELECT rid, t, o FROM hits UNION SELECT rid, t, o FROM phr),
+sup AS (SELECT rid, t, o, CAST(sum(weight) AS BIGINT) AS covered FROM (
+  SELECT DISTINCT x.rid, x.t, x.o, h.j, h.weight FROM tries x JOIN hits h ON h.rid = x.rid AND h.t = x.t AND h.o BETWEEN x.o AND x.o + {slack}) GROUP BY ALL),
+ok AS (SELECT x.rid, x.t, x.o, count(DISTINCT pno) AS n FROM tries x JOIN phr h ON h.rid = x.rid AND h.t = x.t AND h.o BETWEEN x.o AND x.o + {slack} GROUP BY ALL),
+found AS (SELECT rid, label, covered / CAST(total AS DOUBLE) AS share FROM sup JOIN ok USING (rid, t, o) JOIN total USING (t) JOIN tw USING (t)
+  WHERE n = len(phrases) AND 100 * covered >= {percent} * total),
+fs AS (SELECT rid, max(share) AS share, list(DISTINCT label) AS labels FROM found GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(bs.labels, ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(bs.labels, []), coalesce(fs.labels, [])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1e0 ELSE coalesce(share, 0e0) END AS score
+FROM d LEFT JOIN bs USING (rid) LEFT JOIN fs USING (rid)"""
+
+
+# Every distance at which words agree, as islands; the checksum bit by bit.
+PERIODIC = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w,
+  xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda h, c: list_reduce(list_concat([xor(h, c)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v >> 1, (v & 1) * 3988292384)))) AS h FROM documents),
+e AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+p AS (SELECT *, h % 10 = 0 AND n > 0 AS planted, CASE WHEN n > 0 THEN g % n END AS a FROM e),
+t AS (SELECT rid, doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM p),
+u AS (SELECT rid, n, i, w[i + 1] AS word FROM (SELECT rid, n, w, unnest(range(n)) AS i FROM t)),
+eq AS (SELECT x.rid, y.i - x.i AS q, x.i FROM u x JOIN u y ON x.rid = y.rid AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+c AS (SELECT rid, q, min(i) AS s, count(*) + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM eq) GROUP BY rid, q, island
+  HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.rid = c.rid AND o.q < c.q AND o.s <= c.s AND o.s + o.len >= c.s + c.len)),
+top AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY rid ORDER BY CAST(len AS DOUBLE) / q DESC, s, q) = 1),
+told AS (SELECT rid, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM r GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(s + q, s + len)) AS i FROM r),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS collapsed FROM u ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.len AS length, top.q AS period, 1000 * top.len // top.q AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM t LEFT JOIN told USING (rid) LEFT JOIN top USING (rid) LEFT JOIN kept USING (rid)"""
