@@ -6,8 +6,8 @@ entry. The entries are the counts of the longer phrases, the stripes of the next
 shorter prefix hold the totals of the prefixes, and the largest entry of a stripe
 says how much of a phrase is used up by a longer one.
 
-The stripes of very common prefixes are kept in slices by their next word, so no
-row grows with the vocabulary. Phrases that are too rare cannot be part of a
+The stripes of hot prefixes are kept in slices by their next word, so that no task
+has all of one. Phrases that are too rare cannot be part of a
 frequent one: each level drops what a Bloom filter of the level before excludes.
 The filter has a fixed size and never excludes a frequent phrase.
 """
@@ -27,10 +27,13 @@ from tidewatch.llm import blocks
 from tidewatch.session import cut_lineage
 
 LEAST, BEST, WORDS = 10, 2000, 3
-#: Bytes of texts counted at once, entries merged at once, bits of a filter.
-COUNTED_BYTES, MERGED_ENTRIES, FILTER_BITS = 8 << 20, 400_000, 1 << 28
-#: Slices of the stripe of the empty prefix, and of any other prefix.
-FIRST_SLICES, SLICES = 4096, 64
+#: Bytes of texts counted at once, entries merged and sent at once, bits of a filter.
+COUNTED_BYTES, MERGED_ENTRIES, SENT_ENTRIES, FILTER_BITS = 4 << 20, 150_000, 20_000, 1 << 27
+#: Slices of the stripe of the empty prefix, and of any other hot prefix: one that
+#: holds one in ``HOT`` or more of its language's words, so at most ``HOT`` a language.
+FIRST_SLICES, SLICES, HOT = 4096, 64, 10_000
+#: Parts in which a language's phrases are ranked before the last step.
+RANK_PARTS = 64
 PROBES = 4
 
 #: Bytes that end a piece, and bytes of words.
@@ -120,7 +123,7 @@ def _gathered(batches, limit: int):
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _counted(level: int, seen: Seen | None, limit: int):
+def _counted(level: int, seen: Seen | None, hot: np.ndarray, limit: int):
     """Stripes of prefixes of ``level`` words in a task's texts."""
     slices = SLICES if level else FIRST_SLICES
 
@@ -152,21 +155,25 @@ def _counted(level: int, seen: Seen | None, limit: int):
             else:
                 single, of = np.unique(own, return_inverse=True)
                 if level == 1:
-                    fine = seen.may_hold(_marks([tongue_marks[single // size], marks[single % size]]))[of]
+                    own_marks = _marks([tongue_marks[single // size], marks[single % size]])
+                    fine = seen.may_hold(own_marks)[of]
                     at = np.flatnonzero(joined & fine[:-1] & fine[1:])
                     prefix, parts = own[at], [ids[at]]
                 else:
                     pairs, of = np.unique(own[:-1] * size + ids[1:], return_inverse=True)
                     left = pairs // size
-                    fine = seen.may_hold(_marks([tongue_marks[left // size], marks[left % size], marks[pairs % size]]))[of] & joined
+                    own_marks = _marks([tongue_marks[left // size], marks[left % size], marks[pairs % size]])
+                    fine = seen.may_hold(own_marks)[of] & joined
                     at = np.flatnonzero(fine[:-1] & fine[1:])
                     prefix, parts = of[at], [ids[at], ids[at + 1]]
             if not len(at):
                 continue
             follow = ids[at + level]
             _, first, rank = np.unique(prefix, return_index=True, return_inverse=True)
-            slice_of = (marks % np.uint64(slices)).astype(np.int64)
-            entry, n = np.unique((rank * slices + slice_of[follow]) * size + follow, return_counts=True)
+            slice_of = (marks % np.uint64(slices)).astype(np.int64)[follow]
+            if level:
+                slice_of[~np.isin(own_marks, hot)[of[at]]] = 0
+            entry, n = np.unique((rank * slices + slice_of) * size + follow, return_counts=True)
             stripe, follow = entry // size, entry % size
             begin = np.flatnonzero(np.concatenate([[True], stripe[1:] != stripe[:-1]]))
             stripe = stripe[begin]
@@ -184,7 +191,7 @@ def _counted(level: int, seen: Seen | None, limit: int):
                 ],
                 schema=_STRIPE,
             )
-            yield from table.to_batches(max_chunksize=20_000)
+            yield from table.to_batches(max_chunksize=max(1, SENT_ENTRIES * len(begin) // len(entry)))
 
     return run
 
@@ -263,7 +270,7 @@ def _merged(least: int, totals: bool):
             done, open_ = step(pa.concat_tables(held), last)
             held, waiting = ([pack(open_)] if open_ is not None and len(open_) else []), 0
             if len(done):
-                yield from finish(done).to_batches(max_chunksize=20_000)
+                yield from finish(done).to_batches(max_chunksize=SENT_ENTRIES)
 
         for batch in batches:
             if batch.num_rows:
@@ -277,9 +284,17 @@ def _merged(least: int, totals: bool):
     return run
 
 
-def stripes(docs: DataFrame, level: int, seen: Seen | None, least: int, totals: bool, limit: int = COUNTED_BYTES) -> DataFrame:
+def hot_marks(entries: DataFrame, words: DataFrame) -> np.ndarray:
+    """Marks of the phrases that hold one in ``HOT`` of their language's words."""
+    rows = entries.join(words, "lang").filter(HOT * F.col("n") >= F.col("words")).select("mark").collect()
+    return np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
+
+
+def stripes(
+    docs: DataFrame, level: int, seen: Seen | None, hot: np.ndarray, least: int, totals: bool, limit: int = COUNTED_BYTES
+) -> DataFrame:
     """Entries ``lang, prefix, next, n`` of the merged stripes of one prefix length."""
-    counted = docs.mapInArrow(_counted(level, seen, limit), _STRIPE_DDL)
+    counted = docs.mapInArrow(_counted(level, seen, hot, limit), _STRIPE_DDL)
     key = ["slice", "lang", "prefix"]
     return counted.repartition(*key).sortWithinPartitions(*key).mapInArrow(_merged(least, totals), _ENTRY_DDL)
 
@@ -309,12 +324,14 @@ def mine_phrases(
     if max_words not in (2, 3):
         raise ValueError("phrases have two or three words")
     docs = blocks.lean(docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text")))
-    levels, seen = [], None
+    levels, n, seen, hot = [], None, None, np.zeros(0, dtype=np.uint64)
     for level in range(max_words):
         if level:
-            seen = make_filter(levels[-1].filter(F.col("next").isNotNull()), filter_bits)
-        levels.append(cut_lineage(stripes(docs, level, seen, least, totals=level == 0)))
-    n = levels[0].filter(F.col("next").isNull()).groupBy("lang").agg(F.sum("n").alias("n"))
+            known = levels[-1].filter(F.col("next").isNotNull())
+            seen, hot = make_filter(known, filter_bits), hot_marks(known, n.withColumnRenamed("n", "words"))
+        levels.append(cut_lineage(stripes(docs, level, seen, hot, least, totals=level == 0)))
+        if n is None:
+            n = cut_lineage(levels[0].filter(F.col("next").isNull()).groupBy("lang").agg(F.sum("n").alias("n")))
     phrase = F.concat_ws(" ", F.nullif("prefix", F.lit("")), "next").alias("phrase")
     counts = [e.filter(F.col("next").isNotNull()).select("lang", "prefix", "next", phrase, F.col("n").alias("f")) for e in levels]
     parts = counts[0].select("lang", "phrase", "f")
@@ -346,7 +363,10 @@ def mine_phrases(
     weakest = scored.groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.min("weakest").alias("w"))
     flat = weakest.select("lang", "phrase", "a", "w.l", "w.r", "w.score")
     if best is not None:
-        flat = top_k_per(flat, ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")], best).withColumnRenamed("rank_no", "rank")
+        order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+        dealt = flat.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
+        flat = top_k_per(dealt, ["lang", "part"], order, best).drop("rank_no", "part")
+        flat = top_k_per(flat, ["lang"], order, best).withColumnRenamed("rank_no", "rank")
         out = ["lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"]
     else:
         out = ["lang", "phrase", "a", "l", "r", "n", "score"]
