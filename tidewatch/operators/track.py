@@ -32,21 +32,24 @@ def flag_jumps(
     placed = obs.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull())
     series = Series([key], [arrival, "obs_id"], F.floor(F.col(arrival) / block).cast("long"))
     seen = series.with_previous(placed, [at, "lon", "lat"], "prev")
-    dt = (F.col(at) - F.col(f"prev.{at}")) / 1_000_000
-    metres = geo.haversine_m(F.col("prev.lon"), F.col("prev.lat"), F.col("lon"), F.col("lat"))
-    kn = F.when(dt > 0, geo.implied_knots(metres, dt))
-    judged = (
-        seen.withColumn("seconds_since_previous", F.when(dt >= 0, F.round(dt, 3)))
+    judged = judge_jumps(seen, at, f"prev.{at}", "prev.lon", "prev.lat", max_kn).drop("prev")
+    rest = obs.filter(F.col("lon").isNull() | F.col("lat").isNull())
+    return judged.unionByName(rest, allowMissingColumns=True)
+
+
+def judge_jumps(rows: DataFrame, at: str, prev_at: str, prev_lon: str, prev_lat: str, max_kn: float = 100.0) -> DataFrame:
+    """The columns of ``flag_jumps`` for rows that already know their previous position."""
+    dt = (F.col(at) - F.col(prev_at)) / 1_000_000
+    metres = geo.haversine_m(F.col(prev_lon), F.col(prev_lat), F.col("lon"), F.col("lat"))
+    return (
+        rows.withColumn("seconds_since_previous", F.when(dt >= 0, F.round(dt, 3)))
         .withColumn("jump_m", metres)
-        .withColumn("implied_kn", kn)
+        .withColumn("implied_kn", F.when(dt > 0, geo.implied_knots(metres, dt)))
         .withColumn(
             "jump_flag",
             F.when(dt < 0, "out_of_order_timestamp").when(F.col("implied_kn") > max_kn, "impossible_speed"),
         )
-        .drop("prev")
     )
-    rest = obs.filter(F.col("lon").isNull() | F.col("lat").isNull())
-    return judged.unionByName(rest, allowMissingColumns=True)
 
 
 def latest_position(obs: DataFrame, key: str = "ref_id", at: str = "observed_us") -> DataFrame:

@@ -88,17 +88,18 @@ def d3(spark, d):
 
 SETS = f""", t AS (SELECT report_id, published_us, {TOKENS.format('text')} AS ws FROM rep),
   f AS (SELECT md5(array_to_string(ws, ' ')) AS words_hash, min(report_id) AS id, count(*) AS members, any_value(ws) AS ws FROM t GROUP BY 1),
-  sets AS (SELECT id, words_hash, members, list_distinct(list_transform(range(1, greatest(1, len(ws) - 4) + 1), lambda i: ('0x' || substr(md5(array_to_string(ws[i:i+4], ' ')), 1, 15))::BIGINT)) AS items FROM f WHERE len(ws) > 0),
+  sets AS MATERIALIZED (SELECT id, words_hash, members, list_distinct(list_transform(range(1, greatest(1, len(ws) - 4) + 1), lambda i: ('0x' || substr(md5(array_to_string(ws[i:i+4], ' ')), 1, 15))::BIGINT)) AS items FROM f WHERE len(ws) > 0),
   ex AS (SELECT id, unnest(items) % 2147483647 AS h FROM sets),
   sig AS (SELECT id, """ + ", ".join(
     f"min((h * {op.permutation(i)[0]} + {op.permutation(i)[1]}) % 2147483647) AS m{i}" for i in range(32)
 ) + """ FROM ex GROUP BY id),
   bands AS (""" + " UNION ALL ".join(
     f"SELECT id, {n} AS band, md5(concat_ws(',', m{4*n}, m{4*n+1}, m{4*n+2}, m{4*n+3})) AS bucket FROM sig" for n in range(8)
-) + """),
-  prop AS (SELECT DISTINCT x.id AS a, y.id AS b FROM bands x JOIN bands y ON x.band = y.band AND x.bucket = y.bucket AND x.id < y.id),
-  near AS (SELECT a, b, len(list_intersect(x.items, y.items)) / (len(x.items) + len(y.items) - len(list_intersect(x.items, y.items))) AS similarity
-     FROM prop JOIN sets x ON x.id = a JOIN sets y ON y.id = b)"""
+) + """)"""
+# Plain Jaccard similarity of every two sets that share an item.
+NEAR = SETS + """, it AS MATERIALIZED (SELECT id, unnest(items) AS item FROM sets),
+  shared AS MATERIALIZED (SELECT x.id AS a, y.id AS b, count(*) AS n FROM it x JOIN it y ON x.item = y.item AND x.id < y.id GROUP BY ALL),
+  near AS (SELECT a, b, n / (len(x.items) + len(y.items) - n) AS similarity FROM shared JOIN sets x ON x.id = a JOIN sets y ON y.id = b)"""
 
 
 @query("d4_minhash_buckets", with_views("rep", SETS + " SELECT id, CAST(band AS INTEGER) AS band, bucket FROM bands"))
@@ -106,7 +107,7 @@ def d4_buckets(spark, d):
     return op.minhash_bands(op.content_sets(b.reports(spark, d)))
 
 
-@query("d4_near_duplicates", with_views("rep", SETS + " SELECT a, b, similarity FROM near WHERE similarity >= 0.6"))
+@query("d4_near_duplicates", with_views("rep", NEAR + " SELECT a, b, similarity FROM near WHERE similarity >= 0.6"))
 def d4(spark, d):
     from tidewatch.session import cut_lineage
 
@@ -117,7 +118,7 @@ def d4(spark, d):
     "d5_story_clusters",
     with_views(
         "rep",
-        SETS.replace(", t AS", ", t AS", 1)
+        NEAR
         + """, e AS (SELECT a, b FROM near WHERE similarity >= 0.6 UNION SELECT b, a FROM near WHERE similarity >= 0.6),
      reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
      comp AS (SELECT a AS id, least(a, min(b)) AS cluster_id FROM reach GROUP BY a),

@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.functions.series import latest_per
-from tidewatch.operators import alerts as alert_ops
-from tidewatch.operators import bitemporal, dedupe, metrics, track
+from tidewatch.operators import bitemporal, dedupe, metrics
 from tidewatch.sources.envelopes import classify_lines
 
 Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame | None]]
@@ -103,25 +102,6 @@ def dedupe_window(stream: DataFrame, at: str, delay: str = "2 minutes", key: str
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
-def jump_step(key: str = "ref_id", ttl_us: int | None = None) -> Step:
-    """Jump check over arrival order. State: the last position per sender."""
-
-    def step(batch: DataFrame, state: DataFrame | None):
-        rows = batch.withColumn("__old", F.lit(False))
-        if state is not None:
-            rows = rows.unionByName(state.withColumn("__old", F.lit(True)))
-        flagged = track.flag_jumps(rows, key)
-        placed = rows.filter(F.col("lon").isNotNull()).drop("__old")
-        latest = latest_per(placed, [key], ["arrival", "obs_id"])
-        if ttl_us is not None:
-            # Senders silent for longer than the time to live are let go.
-            newest = placed.agg(F.max("effective_us"))
-            latest = latest.filter(F.col("effective_us") >= newest.scalar() - ttl_us)
-        return flagged.filter(~F.col("__old")).drop("__old"), latest.select(*batch.columns)
-
-    return step
-
-
 def late_step(at: str, delay_us: int) -> Step:
     """Flag rows behind the watermark; they are kept, beside the others."""
 
@@ -137,59 +117,6 @@ def late_step(at: str, delay_us: int) -> Step:
     return step
 
 
-def alert_step(quiet_us: int) -> Step:
-    """Open alerts as state: repeats raise the count, quiet or a closing hit ends them."""
-
-    def step(batch: DataFrame, state: DataFrame | None):
-        hits = batch.select("alert_id", "dedupe_key", "seen_us", "closes", F.lit(None).cast("struct<n:long,first:long>").alias("carried"))
-        if state is not None:
-            opened = state.select(
-                F.col("open_alert_id").alias("alert_id"),
-                "dedupe_key",
-                F.col("last_seen_us").alias("seen_us"),
-                F.lit(False).alias("closes"),
-                F.struct(F.col("occurrence_count").alias("n"), F.col("first_seen_us").alias("first")).alias("carried"),
-            )
-            hits = hits.unionByName(opened)
-        grouped = alert_ops.throttle_alerts(hits, quiet_us)
-        if state is not None:
-            old = state.select("dedupe_key", "open_alert_id", F.col("occurrence_count").alias("__n"), F.col("first_seen_us").alias("__first"))
-            grouped = (
-                grouped.join(old, ["dedupe_key", "open_alert_id"], "left")
-                .withColumn("occurrence_count", F.col("occurrence_count") + F.coalesce(F.col("__n") - 1, F.lit(0)))
-                .withColumn("first_seen_us", F.least("first_seen_us", F.coalesce("__first", "first_seen_us")))
-                .drop("__n", "__first")
-            )
-        newest = grouped.groupBy("dedupe_key").agg(F.max("last_seen_us").alias("last_seen_us"))
-        # Per key only the newest alert can still be open, and only if nothing closed it.
-        still = grouped.join(newest, ["dedupe_key", "last_seen_us"], "left_semi").filter(~F.col("closed"))
-        done = grouped.join(still.select("dedupe_key", "open_alert_id"), ["dedupe_key", "open_alert_id"], "left_anti")
-        return done, still
-
-    return step
-
-
-def silence_step(key: str, at: str, threshold_us: int) -> Step:
-    """Gap rows per source: a silence is written when the next row ends it.
-
-    State: the last row time per source. ``open_gaps`` reads the ones that are
-    still silent from it.
-    """
-
-    def step(batch: DataFrame, state: DataFrame | None):
-        times_seen = batch.select(key, F.col(at).alias("at_us")).distinct()
-        if state is not None:
-            times_seen = times_seen.unionByName(state).distinct()
-        series = bitemporal.Series([key], ["at_us"], bitemporal.day_of("at_us"))
-        chained = series.with_next(times_seen, ["at_us"], "nxt")
-        gaps = chained.filter(F.col("nxt.at_us") - F.col("at_us") > threshold_us).select(
-            key, F.col("at_us").alias("gap_start_us"), F.col("nxt.at_us").alias("gap_end_us")
-        )
-        return gaps, times_seen.groupBy(key).agg(F.max("at_us").alias("at_us"))
-
-    return step
-
-
 def conflate_step(key: str, order: list[str]) -> Step:
     """Under overload keep the newest row per key; ``dropped`` counts the rest."""
 
@@ -230,7 +157,8 @@ def version_step(key: str, fields: list[str]) -> Step:
 
 
 def windowed_counts(stream: DataFrame, at: str, width: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
-    """Rows and failures per source and window."""
+    """Rows and failures per source and window. In append mode a window is given out
+    once, when the clock has passed its end, and its state goes."""
     window = F.window(at, width, slide) if slide else F.window(at, width)
     return (
         stream.withWatermark(at, delay)
@@ -241,24 +169,40 @@ def windowed_counts(stream: DataFrame, at: str, width: str, slide: str | None =
 
 
 def session_tracks(stream: DataFrame, at: str, gap: str, delay: str = "10 minutes") -> DataFrame:
-    """Tracks as session windows: a track ends after ``gap`` without a point."""
+    """Tracks as session windows: a track ends after ``gap`` without a point.
+
+    Its id is made of the entity and the start, as in the batch form.
+    """
     return (
         stream.withWatermark(at, delay)
         .groupBy("ref_id", F.session_window(at, gap).alias("w"))
         .agg(F.count("*").alias("point_count"), F.max(at).alias("last_at"))
         .select(
-            "ref_id", F.unix_micros("w.start").alias("time_start_us"), F.unix_micros("last_at").alias("last_point_us"), "point_count"
+            "ref_id",
+            F.concat_ws("#", "ref_id", F.unix_micros("w.start").cast("string")).alias("track_id"),
+            F.unix_micros("w.start").alias("time_start_us"),
+            F.unix_micros("last_at").alias("last_point_us"),
+            "point_count",
         )
     )
 
 
-def write_complete(stream: DataFrame, folder: str) -> StreamingQuery:
-    """Keep a result table current: each batch replaces it as a whole."""
+def split_late(stream: DataFrame, folder: str, at: str, delay_us: int) -> DataFrame:
+    """Part a stream into rows in time and late rows, before it is windowed.
+
+    A row is late if it is older than the newest row of the earlier batches by more than
+    the delay. Late rows go to ``folder/split/out`` with ``is_late`` and are never
+    counted twice or lost; the returned stream has the others.
+    """
+    spark = stream.sparkSession
+    stateful_batches(stream, late_step(at, delay_us), f"{folder}/split")
+    schema = stream.schema.add("is_late", "boolean")
+    return spark.readStream.schema(schema).parquet(f"{folder}/split/out/batch=*").filter(~F.col("is_late")).drop("is_late")
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/table")
 
-    return run_available(stream, handle, f"{folder}/checkpoint", mode="complete")
+def late_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The side table of ``split_late``."""
+    return results(spark, f"{folder}/split").filter("is_late").drop("is_late")
 
 
 def write_append(stream: DataFrame, folder: str) -> StreamingQuery:
