@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions.series import Series
-from tidewatch.operators import areas, bitemporal, filters, metrics, search, track
+from tidewatch.operators import areas, bitemporal, filters, mentions, metrics, track
 from tidewatch.session import shared_folder
 from tidewatch.sources import landing
 
@@ -64,7 +64,7 @@ def test_sender_at_two_places_at_once(spark):
 def test_place_with_two_names_is_one_hit(spark):
     reports = spark.createDataFrame([(1, "Ships left New Amsterdam. A very long name of nine words in all came.")], "report_id long, text string")
     names = [("p", "New Amsterdam", 1.0, 2.0, "city"), ("p", "Old York", 1.0, 2.0, "city"), ("q", "a very long name of nine words in all", 3.0, 4.0, "exact")]
-    hits = search.geocode(reports, spark.createDataFrame(names, "ref_id string, name string, lon double, lat double, precision string"))
+    hits = mentions.geocode(reports, spark.createDataFrame(names, "ref_id string, name string, lon double, lat double, precision string"))
     assert sorted((r.ref_id, r.place_name) for r in hits.collect()) == [("p", "new amsterdam"), ("q", "a very long name of nine words in all")]
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.series import first_per
 from tidewatch.operators.areas import nearby
-from tidewatch.operators.similarity import follow_pointers, similar_sets
+from tidewatch.operators.similarity import similar_sets
+from tidewatch.session import cut_lineage
 
 
 def corroborate(claims: DataFrame) -> DataFrame:
@@ -152,15 +155,51 @@ def correlate_shared(event_entities: DataFrame, min_similarity: float) -> DataFr
     return between.unionByName(within)
 
 
+def root_events(up: DataFrame) -> DataFrame:
+    """``(event_id, root)``: every root that ``(from_event, to_event)`` leads to.
+
+    An event may have several parents, so several roots; each is listed once,
+    however many ways lead there. The way doubles each round: a pair knows the
+    events twice as far up, so depth n takes log2(n) rounds. Events that only lead into a
+    cycle have the cycle's smallest event as their root.
+    """
+    edges = up.select(F.col("from_event").alias("id"), F.col("to_event").alias("next")).filter("id <> next").distinct()
+    state = cut_lineage(edges.select("id", "next", F.least("id", "next").alias("low")))
+    inner = edges.select(F.col("id").alias("next")).distinct()
+    done = state.join(inner, "next", "left_anti").select("id", "next")
+    state = state.join(inner, "next", "left_semi").select("id", "next", "low")
+    rounds = max(1, math.ceil(math.log2(max(2, edges.select("id").distinct().count()))) + 1)
+    for _ in range(rounds):
+        known = cut_lineage(done.distinct())
+        state = cut_lineage(state)
+        if state.isEmpty():
+            break
+        # On from where the pair stands: to a root within reach, or as far again.
+        roots = known.select(F.col("id").alias("next"), F.col("next").alias("far"))
+        done = known.unionByName(state.join(roots, "next").select("id", F.col("far").alias("next")))
+        on = state.select(F.col("id").alias("next"), F.col("next").alias("far"), F.col("low").alias("far_low"))
+        state = (
+            state.join(on, "next")
+            .groupBy("id", F.col("far").alias("next"))
+            .agg(F.min(F.least("low", "far_low")).alias("low"))
+        )
+    else:
+        # What still goes on is in a cycle, or leads into one.
+        cycles = cut_lineage(state)
+        lows = cycles.groupBy(F.col("id").alias("next")).agg(F.min("low").alias("cycle_low"))
+        lost = cycles.join(lows, "next").groupBy("id").agg(F.min("cycle_low").alias("next"))
+        done = done.unionByName(lost.join(done.select("id").distinct(), "id", "left_anti"))
+    return done.select(F.col("id").alias("event_id"), F.col("next").alias("root")).distinct()
+
+
 def roll_up_links(events: DataFrame, links: DataFrame) -> DataFrame:
     """Children of each root event, following duplicate_of and part_of.
 
-    Causal links are hypotheses: they are counted with their strength and never
+    An event under several roots counts for each, and once for each. Causal
+    links are hypotheses: they are counted with their strength and never
     followed.
     """
     up = links.filter(F.col("link_type").isin("duplicate_of", "part_of"))
-    parents = up.groupBy("from_event").agg(F.min("to_event").alias("next")).withColumnRenamed("from_event", "id")
-    roots = follow_pointers(parents).select(F.col("id").alias("event_id"), "root")
     kinds = up.groupBy("from_event").agg(F.count_if(F.col("link_type") == "duplicate_of").alias("dup")).withColumnRenamed("from_event", "event_id")
     causal = (
         links.filter(F.col("link_type") == "caused_by_hypothesis")
@@ -168,7 +207,7 @@ def roll_up_links(events: DataFrame, links: DataFrame) -> DataFrame:
         .agg(F.max("strength").alias("hypothesis_strength"))
     )
     placed = (
-        events.join(roots, "event_id", "left")
+        events.join(root_events(up), "event_id", "left")
         .join(kinds, "event_id", "left")
         .join(causal, "event_id", "left")
         .withColumn("root", F.coalesce("root", "event_id"))

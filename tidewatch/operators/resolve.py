@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import text, times
 from tidewatch.operators.similarity import connected_components, follow_pointers, similar_sets
+from tidewatch.session import cut_lineage
 
 
 def resolve_refs(obs: DataFrame, aliases: DataFrame, id_col: str = "obs_id", at: str = "observed_us") -> DataFrame:
@@ -58,22 +59,139 @@ def fuzzy_names(a: DataFrame, b: DataFrame, min_similarity: float) -> DataFrame:
 
 
 PATTERNS_PER_CHUNK = 500
+#: Letters of a literal that the search goes by.
+GRAM = 3
+
+
+def required_literal(pattern: str) -> str:
+    """The longest plain text that every match of a regular expression holds.
+
+    Careful rather than clever: groups, classes, alternatives and anything
+    optional give no text, flags and quotes give up. Empty where there is none.
+    """
+    if any(mark in pattern for mark in ("|", "(?", "\\Q", "\\E")):
+        return ""
+    runs, run, depth, i = [], "", 0, 0
+    while i < len(pattern):
+        c, literal = pattern[i], None
+        if c == "\\" and i + 1 < len(pattern):
+            i += 1
+            if not pattern[i].isalnum():
+                literal = pattern[i]
+            elif pattern[i] not in "dDwWsSbBAzZntr":
+                return ""
+        elif c == "[":
+            i += 1
+            if pattern[i : i + 1] == "^":
+                i += 1
+            if pattern[i : i + 1] == "]":
+                i += 1
+            nested = 1
+            while i < len(pattern) and nested:
+                if pattern[i] == "\\":
+                    i += 1
+                nested += (pattern[i : i + 1] == "[") - (pattern[i : i + 1] == "]")
+                i += 1
+            i -= 1
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c not in ".^$*+?{}":
+            literal = c
+        elif c == "{":
+            i = max(i, pattern.find("}", i))
+        i += 1
+        follows = pattern[i : i + 1]
+        if literal is None or depth or follows in ("?", "*", "{"):
+            runs.append(run)
+            run = ""
+        else:
+            run += literal
+            if follows == "+":
+                runs.append(run)
+                run = ""
+    return max([*runs, run], key=len)
 
 
 def match_patterns(names: DataFrame, patterns: DataFrame) -> DataFrame:
     """``(name, member_id)`` where a regular expression finds the name.
 
-    A regular expression has no join key. Patterns are packed into chunks of at
-    most ``PATTERNS_PER_CHUNK``; each distinct name visits each chunk and keeps
-    only its hits, so no product of both tables is ever built.
+    A match holds the pattern's literal text, so it holds each trigram of it. The one
+    that fewest names have brings names and pattern together by equality; only those pairs
+    run the expression. Patterns without such a text are packed into chunks of
+    at most ``PATTERNS_PER_CHUNK``; each distinct name visits each of those chunks and
+    keeps only its hits.
     """
-    chunks = max(1, math.ceil(patterns.count() / PATTERNS_PER_CHUNK))
-    packed = patterns.groupBy(F.pmod(F.hash("member_id"), F.lit(chunks)).alias("chunk")).agg(
+    literal = F.udf(lambda p: required_literal(p) if p is not None else "", "string")
+    known = cut_lineage(patterns.select("member_id", "pattern").withColumn("literal", literal("pattern")))
+    distinct = names.select("name").filter(F.col("name").isNotNull()).distinct()
+
+    def grams(c: str):
+        starts = F.sequence(F.lit(1), F.length(c) - (GRAM - 1))
+        cut = F.transform(starts, lambda i: F.substring(F.col(c), i, F.lit(GRAM)))
+        return F.array_distinct(F.when(F.length(c) >= GRAM, cut).otherwise(F.array().cast("array<string>")))
+
+    asked = known.filter(F.length("literal") >= GRAM).select("member_id", "pattern", "literal", F.explode(grams("literal")).alias("gram"))
+    held = distinct.select("name", F.explode(grams("name")).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
+    held = cut_lineage(held)
+    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
+    # A gram that no name has rules its pattern out.
+    rarest = (
+        asked.join(counts, "gram", "left")
+        .groupBy("member_id", "pattern", "literal")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
+        .filter("rarest.n > 0")
+        .select("member_id", "pattern", "literal", F.col("rarest.gram").alias("gram"))
+    )
+    by_literal = (
+        rarest.join(held, "gram")
+        .filter(F.contains("name", "literal") & F.rlike(F.col("name"), F.col("pattern")))
+        .select("name", "member_id")
+    )
+    rest = known.filter(F.length("literal") < GRAM)
+    chunks = math.ceil(rest.count() / PATTERNS_PER_CHUNK)
+    if not chunks:
+        return by_literal
+    packed = rest.groupBy(F.pmod(F.hash("member_id"), F.lit(chunks)).alias("chunk")).agg(
         F.collect_list(F.struct("member_id", "pattern")).alias("patterns")
     )
-    visits = names.select("name").distinct().withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    visits = distinct.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     found = F.filter("patterns", lambda p: F.rlike(F.col("name"), p["pattern"]))
-    return visits.join(packed, "chunk").select("name", F.explode(found).alias("p")).select("name", "p.member_id")
+    visited = visits.join(packed, "chunk").select("name", F.explode(found).alias("p")).select("name", "p.member_id")
+    return by_literal.unionByName(visited)
+
+
+def attribute_values(entities: DataFrame, paths: DataFrame) -> DataFrame:
+    """``(entity_id, attribute_path, val)`` for the asked paths, at any depth.
+
+    Paths read ``$.owner.country`` or ``$.flags[0]``. A level of the JSON is
+    opened only below beginnings of asked paths, and only as deep as those go.
+    """
+    spark = entities.sparkSession
+    steps = F.regexp_extract_all("attribute_path", F.lit(r"\.[^.\[\]]+|\[[0-9]+\]"), F.lit(0))
+    begun = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(F.lit("$"), F.array_join(F.slice(steps, F.lit(1), i), "")))
+    begins = cut_lineage(
+        paths.select("attribute_path").distinct().select(F.size(steps).alias("depth"), F.explode(begun).alias("attribute_path"))
+    )
+    depth = begins.agg(F.max("depth")).first()[0] or 0
+    asked = begins.select("attribute_path").distinct()
+    level = entities.select("entity_id", F.lit("$").alias("attribute_path"), F.col("attributes").alias("val"))
+    out = None
+    for _ in range(depth):
+        inner = F.ltrim("val")
+        members = F.transform(F.map_entries(F.from_json("val", "map<string,string>")), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("step"), e["value"].alias("val")))
+        items = F.transform(
+            F.from_json("val", "array<string>"), lambda v, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("step"), v.alias("val"))
+        )
+        opened = F.when(F.startswith(inner, F.lit("{")), members).when(F.startswith(inner, F.lit("[")), items)
+        level = (
+            level.select("entity_id", "attribute_path", F.explode(opened).alias("m"))
+            .select("entity_id", F.concat("attribute_path", "m.step").alias("attribute_path"), "m.val")
+            .join(asked, "attribute_path", "left_semi")
+        )
+        out = level if out is None else out.unionByName(level)
+    if out is None:
+        return spark.createDataFrame([], f"entity_id {entities.schema['entity_id'].dataType.simpleString()}, attribute_path string, val string")
+    return out.select("entity_id", "attribute_path", "val")
 
 
 def match_watchlists(entities: DataFrame, members: DataFrame, at_us: int) -> DataFrame:
@@ -110,13 +228,8 @@ def match_watchlists(entities: DataFrame, members: DataFrame, at_us: int) -> Dat
         .join(fuzzy, F.col("name_b") == F.col("pattern"))
         .filter(F.col("similarity") >= F.coalesce("min_similarity", F.lit(usual)))
     )
-    # One equality per attribute path in use; paths are few, values may be many.
     wanted = mode("attribute")
-    paths = wanted.select("attribute_path").distinct()
-    valued = entities.select(
-        "entity_id", F.explode(F.from_json("attributes", "map<string,string>")).alias("key", "val")
-    ).withColumn("attribute_path", F.concat(F.lit("$."), "key"))
-    by_attribute = valued.join(paths, "attribute_path", "left_semi").join(
+    by_attribute = attribute_values(entities, wanted).join(
         wanted.withColumnRenamed("attribute_value", "val"), ["attribute_path", "val"]
     )
     certain = F.lit(None).cast("double").alias("similarity")

@@ -1,4 +1,4 @@
-"""Full text, vectors, hybrid ranking, mentions and places."""
+"""Full text, vectors and hybrid ranking."""
 
 from __future__ import annotations
 
@@ -177,67 +177,3 @@ def hybrid_search(
         1.0 / (FUSION_K + F.col("vector_rank")), F.lit(0.0)
     )
     return ranks.withColumn("score", fused).orderBy(F.desc("score"), "report_id").limit(k)
-
-
-def find_mentions(reports: DataFrame, names: DataFrame) -> DataFrame:
-    """Dictionary names found in whole texts: count and first character span.
-
-    ``names``: ref_id, name. Every run of words that has the length of some
-    dictionary name is looked up by equality; the lengths are read from the
-    dictionary, so a long name only adds runs of its own length. The span is taken
-    from the text itself, so punctuation between words is inside it.
-    """
-    listed = names.select("ref_id", text.tokens(F.col("name")).alias("t")).filter(F.size("t") > 0)
-    lengths = sorted(r[0] for r in listed.select(F.size("t")).distinct().collect())
-    keyed = listed.select("ref_id", F.array_join("t", " ").alias("phrase"), F.size("t").alias("length")).distinct()
-    words = computed_once(reports.select("report_id", "text"), "words", text.tokens(F.col("text")))
-    runs = F.flatten(
-        F.transform(
-            F.array(*[F.lit(n) for n in lengths]).cast("array<int>"),
-            lambda n: F.when(
-                F.size("words") >= n,
-                F.transform(
-                    F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i, n), " ")
-                ),
-            ).otherwise(F.array().cast("array<string>")),
-        )
-    )
-    grams = words.select("report_id", F.explode(runs).alias("phrase")).groupBy("report_id", "phrase").agg(
-        F.count("*").alias("mentions")
-    )
-    # The text is fetched for the hits only.
-    hits = grams.join(keyed, "phrase")
-    lowered = F.lower("text")
-    # \\b is not word-aware outside ASCII; look-arounds on letters and digits are.
-    pattern = F.concat(
-        F.lit(r"(?<![\p{L}\p{N}])"), F.replace("phrase", F.lit(" "), F.lit(r"[^\p{L}\p{N}]+")), F.lit(r"(?![\p{L}\p{N}])")
-    )
-    start = F.regexp_instr(lowered, pattern)
-    found = F.regexp_substr(lowered, pattern)
-    return hits.join(reports.select("report_id", "text"), "report_id").select(
-        "report_id", "ref_id", "phrase", "mentions", (start - 1).alias("char_start"), (start - 1 + F.length(found)).alias("char_end")
-    )
-
-
-def geocode(reports: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """Places named in texts. A country or region never becomes a bare point.
-
-    ``gazetteer``: ref_id, name, lon, lat, precision. Coarser than a building, a
-    point is marked as derived; for a whole country it is left out.
-    """
-    hits = find_mentions(reports, gazetteer)
-    exact = F.col("precision").isin("exact", "building")
-    whole = F.col("precision") == "country"
-    # A place may have several names; its own columns are the same for all.
-    places = gazetteer.select("ref_id", "lon", "lat", "precision").distinct()
-    return hits.join(places, "ref_id").select(
-        "report_id",
-        "ref_id",
-        F.col("phrase").alias("place_name"),
-        F.col("precision").alias("geo_precision"),
-        F.when(~whole, F.col("lon")).alias("lon"),
-        F.when(~whole, F.col("lat")).alias("lat"),
-        (~exact & ~whole).alias("point_is_derived"),
-        "char_start",
-        "char_end",
-    )

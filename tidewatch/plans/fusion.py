@@ -111,36 +111,40 @@ def j14(spark, d):
     "j18_roll_up_links",
     with_views(
         "evt",
-        """, r AS (SELECT *, CASE WHEN status = 'rumored' AND event_id > 0 THEN event_id // 4 END AS p1, CASE WHEN ends_with(type, 'p1') THEN severity END AS hyp FROM evt),
-     c AS (SELECT event_id AS origin, coalesce(r1.p1, r1.event_id) AS a FROM r r1)
-     , w1 AS (SELECT origin, coalesce(r.p1, r.event_id) AS a FROM c JOIN r ON r.event_id = c.a)
-     , w2 AS (SELECT origin, coalesce(r.p1, r.event_id) AS a FROM w1 JOIN r ON r.event_id = w1.a)
-     , w3 AS (SELECT origin, coalesce(r.p1, r.event_id) AS a FROM w2 JOIN r ON r.event_id = w2.a)
-     , w4 AS (SELECT origin, coalesce(r.p1, r.event_id) AS a FROM w3 JOIN r ON r.event_id = w3.a)
-     , w5 AS (SELECT origin, coalesce(r.p1, r.event_id) AS a FROM w4 JOIN r ON r.event_id = w4.a)
-     , w6 AS (SELECT origin, coalesce(r.p1, r.event_id) AS a FROM w5 JOIN r ON r.event_id = w5.a)
-     , w7 AS (SELECT origin, coalesce(r.p1, r.event_id) AS a FROM w6 JOIN r ON r.event_id = w6.a)
-     , w8 AS (SELECT origin, coalesce(r.p1, r.event_id) AS a FROM w7 JOIN r ON r.event_id = w7.a)
-     , w9 AS (SELECT origin, coalesce(r.p1, r.event_id) AS a FROM w8 JOIN r ON r.event_id = w8.a)
-     SELECT w9.a AS root, CAST(count(*) FILTER (WHERE origin <> w9.a) AS BIGINT) AS children, CAST(count(*) FILTER (WHERE p1 IS NOT NULL AND domain = 'machinery') AS BIGINT) AS duplicates,
-       max(severity) AS max_severity, min(occurred_us) AS first_us, max(occurred_us) AS last_us, max(hyp) AS strongest_hypothesis FROM w9 JOIN r ON r.event_id = origin GROUP BY w9.a""",
-    ),
+        """, up AS (SELECT event_id AS a, event_id // 4 AS b FROM evt WHERE status = 'rumored' AND event_id > 0
+       UNION SELECT event_id, event_id // 9 FROM evt WHERE status = 'rumored' AND event_id > 0 AND event_id % 3 = 0),
+     reach AS (SELECT event_id AS origin, event_id AS a FROM evt UNION SELECT origin, b FROM reach JOIN up USING (a)),
+     roots AS (SELECT origin, a AS root FROM reach WHERE a NOT IN (SELECT a FROM up)),
+     r AS (SELECT *, CASE WHEN ends_with(type, 'p1') THEN severity END AS hyp FROM evt)
+     SELECT root, CAST(count(*) FILTER (WHERE origin <> root) AS BIGINT) AS children,
+       CAST(count(*) FILTER (WHERE status = 'rumored' AND event_id > 0 AND domain = 'machinery') AS BIGINT) AS duplicates,
+       max(severity) AS max_severity, min(occurred_us) AS first_us, max(occurred_us) AS last_us, max(hyp) AS strongest_hypothesis
+     FROM roots JOIN r ON event_id = origin GROUP BY root""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def j18(spark, d):
+    """A third of the linked events has a second parent."""
     rows = b.events(spark, d)
-    up = rows.filter("status = 'rumored' AND event_id > 0").select(
+    linked = rows.filter("status = 'rumored' AND event_id > 0")
+    up = linked.select(
         F.col("event_id").alias("from_event"),
         F.floor(F.col("event_id") / 4).alias("to_event"),
         F.when(F.col("domain") == "machinery", "duplicate_of").otherwise("part_of").alias("link_type"),
         F.lit(None).cast("double").alias("strength"),
     )
+    second = linked.filter("event_id % 3 = 0").select(
+        F.col("event_id").alias("from_event"),
+        F.floor(F.col("event_id") / 9).alias("to_event"),
+        F.lit("part_of").alias("link_type"),
+        F.lit(None).cast("double").alias("strength"),
+    )
     causes = rows.filter(F.col("type").endswith("p1")).select(
         F.col("event_id").alias("from_event"),
         (F.col("event_id") + 1).alias("to_event"),
         F.lit("caused_by_hypothesis").alias("link_type"),
         F.col("severity").alias("strength"),
     )
-    return events.roll_up_links(rows, up.unionByName(causes))
+    return events.roll_up_links(rows, up.unionByName(second).unionByName(causes))
 
 
 def scored(spark, d):

@@ -115,7 +115,7 @@ def _members(spark, d):
     )
     fuzzy = row(s.filter("s_acctbal < 1000"), "fuzzy_name", key, pattern=F.col("s_name"), floor=F.lit(0.28))
     attribute = row(
-        n.filter("n_regionkey = 0"), "attribute", F.col("n_nationkey"), path=F.lit("$.nation"), value=F.col("n_nationkey").cast("string"), weight=F.lit(0.2)
+        n.filter("n_regionkey = 0"), "attribute", F.col("n_nationkey"), path=F.when(F.col("n_nationkey") % 2 == 0, "$.owner.nation").otherwise("$.codes[1]"), value=F.col("n_nationkey").cast("string"), weight=F.lit(0.2)
     )
     return exact.unionByName(entity).unionByName(pattern).unionByName(fuzzy).unionByName(attribute)
 
@@ -142,7 +142,7 @@ def j10(spark, d):
             "entity_id",
             F.coalesce("canonical_id", "entity_id").alias("canonical_id"),
             "display_name",
-            F.to_json(F.struct("nation", "segment")).alias("attributes"),
+            F.to_json(F.struct(F.struct("nation", "segment").alias("owner"), F.array(F.lit(-1), "nation").alias("codes"))).alias("attributes"),
         )
     )
     hits = op.match_watchlists(entities, _members(spark, d), J + DAY)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.model import bindings as b
 from tidewatch.operators import dedupe as op
+from tidewatch.operators import mentions
 from tidewatch.operators import search as se
 from tidewatch.plans.catalog import query
 from tidewatch.plans.duck import with_views
@@ -266,14 +267,22 @@ def _names(spark, d):
     "t5_find_mentions",
     with_views(
         "rep",
-        MENTION
-        + """, s AS (SELECT men.*, text, regexp_extract(lower(text), '(?:^|[^\\p{L}\\p{N}])(' || replace(phrase, ' ', '[^\\p{L}\\p{N}]+') || ')(?:$|[^\\p{L}\\p{N}])', 1) AS hit FROM men JOIN rep USING (report_id))
-     SELECT report_id, ref_id, mentions, CAST(length(hit) AS INTEGER) AS span_chars FROM s""",
+        f""", {NAMES},
+  c AS (SELECT report_id, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS w, regexp_extract_all(text, '[^\\p{{L}}\\p{{N}}]+') AS gap, regexp_matches(text, '^[\\p{{L}}\\p{{N}}]') AS bare FROM rep),
+  u AS (SELECT report_id, i, lower(w[i]) AS word, length(w[i]) AS n, coalesce(length(CASE WHEN bare THEN gap[i - 1] ELSE gap[i] END), 0) AS before
+    FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM c)),
+  pos AS (SELECT report_id, i, word, n, sum(before + n) OVER (PARTITION BY report_id ORDER BY i) - n AS s FROM u),
+  g AS (SELECT report_id, i, s, word || ' ' || lead(word) OVER o AS two, lead(s + n) OVER o AS two_end, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS three, lead(s + n, 2) OVER o AS three_end
+    FROM pos WINDOW o AS (PARTITION BY report_id ORDER BY i)),
+  hits AS (SELECT report_id, i, s, two AS phrase, two_end AS e FROM g UNION ALL SELECT report_id, i, s, three, three_end FROM g),
+  no AS (SELECT *, row_number() OVER (PARTITION BY report_id, phrase ORDER BY i) AS mention_no FROM hits WHERE phrase IN (SELECT phrase FROM nm))
+  SELECT report_id, ref_id, no.phrase, CAST(mention_no AS INTEGER) AS mention_no, CAST(s AS INTEGER) AS char_start, CAST(e AS INTEGER) AS char_end
+  FROM no JOIN (SELECT DISTINCT ref_id, phrase FROM nm) USING (phrase)""",
     ),
 )
 def t5(spark, d):
-    found = se.find_mentions(b.reports(spark, d), _names(spark, d))
-    return found.select("report_id", "ref_id", "mentions", (F.col("char_end") - F.col("char_start")).alias("span_chars"))
+    """Every mention with its span in the text."""
+    return mentions.find_mentions(b.reports(spark, d), _names(spark, d))
 
 
 @query(
@@ -294,7 +303,7 @@ def t6(spark, d):
         (-item).cast("double").alias("lat"),
         F.when(item % 3 == 0, "country").when(item % 3 == 1, "city").otherwise("exact").alias("precision"),
     )
-    return se.geocode(b.reports(spark, d), gazetteer).drop("char_start", "char_end")
+    return mentions.geocode(b.reports(spark, d), gazetteer).drop("char_start", "char_end")
 
 
 @query(
@@ -317,4 +326,4 @@ def t6_two_names(spark, d):
         (-item).cast("double").alias("lat"),
         F.lit("city").alias("precision"),
     )
-    return se.geocode(b.reports(spark, d), gazetteer).select("report_id", "ref_id", "place_name")
+    return mentions.geocode(b.reports(spark, d), gazetteer).select("report_id", "ref_id", "place_name")
