@@ -8,6 +8,7 @@ from tidewatch.model import bindings as b
 from tidewatch.operators import dedupe as op
 from tidewatch.operators import mentions
 from tidewatch.operators import search as se
+from tidewatch.operators import vector_index
 from tidewatch.plans.catalog import query
 from tidewatch.plans.duck import with_views
 
@@ -209,6 +210,41 @@ def t3(spark, d):
     return near.select("query_id", "id", F.round("similarity", 5).alias("similarity"), "rank_no")
 
 
+# Every fiftieth vector asks for its ten nearest.
+NEAREST = """WITH c AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings WHERE vec_id % 50 = 0),
+ s AS (SELECT c.query_id, v.vec_id AS id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), c.embedding) AS similarity FROM embeddings v, c),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 12) DESC, id) AS rn FROM s)"""
+
+
+def _indexed(spark, d):
+    vectors = b.table(spark, d, "embeddings").select("vec_id", "embedding")
+    asked = vectors.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return vector_index.build_index(vectors), asked
+
+
+@query(
+    "t3_index_exact",
+    NEAREST + " SELECT query_id, id, round(similarity, 5) AS similarity, CAST(rn AS INTEGER) AS rank_no FROM r WHERE rn <= 10",
+)
+def t3_index_exact(spark, d):
+    """All lists probed: the same neighbours as without an index."""
+    index, asked = _indexed(spark, d)
+    near = vector_index.search_index(index, asked, 10)
+    return near.select("query_id", "id", F.round("similarity", 5).alias("similarity"), "rank_no")
+
+
+@query(
+    "t3_index_recall",
+    NEAREST + " SELECT count(DISTINCT query_id) AS queries, count(*) AS wanted, true AS enough FROM r WHERE rn <= 10",
+)
+def t3_index_recall(spark, d):
+    """As many lists probed as a sample needs: nine in ten of the exact neighbours or more."""
+    index, asked = _indexed(spark, d)
+    found = vector_index.search_index(index, asked, 10, vector_index.tune_probes(index, 10))
+    measured = vector_index.recall(found, vector_index.search_index(index, asked, 10))
+    return measured.select("queries", "wanted", (F.col("recall") >= 0.9).alias("enough"))
+
+
 BM25 = f""", t AS (SELECT report_id, {TOKENS.format('text')} AS ws FROM rep), n AS (SELECT report_id, len(ws) AS dl, {_occurs('ws', 'the')} AS a, {_occurs('ws', 'der')} AS b FROM t),
   st AS (SELECT count(*) AS docs, avg(dl) AS mean, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM n),
   bm AS (SELECT report_id, ln(1 + (docs - da + 0.5e0) / (da + 0.5e0)) * a * 2.2e0 / (a + 1.2e0 * (0.25e0 + 0.75e0 * dl / mean)) + ln(1 + (docs - db + 0.5e0) / (db + 0.5e0)) * b * 2.2e0 / (b + 1.2e0 * (0.25e0 + 0.75e0 * dl / mean)) AS bm25 FROM n, st)"""
