@@ -111,8 +111,8 @@ def apply_changes(
     """
     touched = changes.select(key).distinct()
     stored = current.select(key, *fields, "from_us", "to_us").unionByName(history.select(key, *fields, "from_us", "to_us"))
-    marked = cut_lineage(stored.join(touched.withColumn("__touched", F.lit(True)), key, "left"))
-    kept, again = marked.filter("__touched IS NULL").drop("__touched"), marked.filter("__touched").drop("__touched")
+    # What the batch does not touch is passed on, not written.
+    kept, again = stored.join(touched, key, "left_anti"), stored.join(touched, key, "left_semi")
     # A stored version is its start and, where it ends, a deletion that the start
     # of a next version takes back.
     starts = again.select(key, F.col("from_us").alias("at_us"), F.lit(1).alias("rank"), F.lit("upsert").alias("op"), *fields)

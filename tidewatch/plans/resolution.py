@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.model import bindings as b
-from tidewatch.operators import canonical, filters, graph
+from tidewatch.operators import canonical, filters, graph, merges
 from tidewatch.operators import resolve as op
 from tidewatch.plans.canonical import AIS, _parsed
-from tidewatch.plans.catalog import query
+from tidewatch.plans.catalog import CATALOG, query
 from tidewatch.plans.duck import DAY, J, with_views
+from tidewatch.session import cut_lineage
 
 RESOLVED = """, hits AS (SELECT o.obs_id, o.ref_id, o.source_id, list_sort(list(DISTINCT a.entity_id) FILTER (WHERE a.entity_id IS NOT NULL)) AS c FROM obs o
    LEFT JOIN aliases a ON a.id_type = split_part(o.ref_id, ':', 1) AND a.id_value = split_part(o.ref_id, ':', 2)
@@ -217,6 +218,61 @@ def d9(spark, d):
     return op.merge_entities(_identifiers(spark, d))
 
 
+def _decided(spark, d):
+    """Merges of the register; a third is split again, and every second of those merged anew."""
+    found = cut_lineage(op.merge_entities(_identifiers(spark, d)).select("entity_id", "canonical_id"))
+    number = F.regexp_extract("entity_id", "[0-9]+", 0).cast("long")
+    base = 2 * number + F.when(F.col("entity_id").startswith("supp"), 1).otherwise(0)
+    joined = found.filter("entity_id <> canonical_id").select("entity_id", F.col("canonical_id").alias("into_id"), number.alias("number"), base.alias("base"))
+
+    def batch(turn, action, keep, undoes):
+        return joined.filter(keep).select(
+            (F.col("base") + turn * 10**9).alias("decision_id"), F.lit(action).alias("action"), "entity_id", "into_id",
+            undoes.cast("long").alias("merge_id"), F.lit(J + turn).alias("at_us"), F.lit("analyst").alias("actor"),
+        )
+
+    groups = found.select("entity_id", F.col("entity_id").alias("canonical_id"))
+    forest, audits = spark.createDataFrame([], merges.FOREST), None
+    for turn, action, keep, undoes in (
+        (0, "merge", "true", F.lit(None)), (1, "split", "number % 3 = 0", F.col("base")), (2, "merge", "number % 6 = 0", F.lit(None)),
+    ):
+        groups, forest, audit = merges.apply_decisions(groups, forest, batch(turn, action, keep, undoes))
+        audits = audit if audits is None else audits.unionByName(audit)
+    return groups, audits
+
+
+D9_SQL = CATALOG["d9_merge_entities"].sql
+D9_SPLIT = (
+    D9_SQL[: D9_SQL.rindex("SELECT")].rstrip()
+    + """,
+  fin AS (SELECT entity_id, CASE WHEN decision = 'merged' THEN survivor ELSE entity_id END AS into_id, CAST(regexp_extract(entity_id, '[0-9]+') AS BIGINT) AS n FROM dec),
+  canon AS (SELECT entity_id, CASE WHEN n % 3 = 0 AND n % 6 <> 0 THEN entity_id ELSE into_id END AS canonical_id, into_id, n FROM fin)"""
+)
+
+
+@query(
+    "d9_split_entities",
+    D9_SPLIT + """ SELECT entity_id, canonical_id, CASE WHEN entity_id = into_id THEN 0 WHEN n % 6 = 0 THEN 3 WHEN n % 3 = 0 THEN 2 ELSE 1 END AS decisions FROM canon""",
+)
+def d9_split(spark, d):
+    """Merged, split and merged again, with the applied decisions of each entity."""
+    groups, audits = _decided(spark, d)
+    told = audits.filter("applied").groupBy("entity_id").agg(F.count("*").alias("n"))
+    return groups.join(told, "entity_id", "left").select("entity_id", "canonical_id", F.coalesce("n", F.lit(0)).cast("int").alias("decisions"))
+
+
+@query(
+    "d9_reunited_identifiers",
+    D9_SPLIT
+    + """ SELECT canonical_id, t AS id_type, v AS id_value, string_agg(DISTINCT entity_id, ',' ORDER BY entity_id) AS origins FROM ids JOIN canon USING (entity_id) GROUP BY canonical_id, t, v""",
+)
+def d9_identifiers(spark, d):
+    """After the splits each entity has its own identifiers back."""
+    groups, _ = _decided(spark, d)
+    known = merges.reunite_identifiers(_identifiers(spark, d), groups)
+    return known.select("canonical_id", "id_type", "id_value", F.array_join("origins", ",").alias("origins"))
+
+
 @query(
     "d10_merge_static_parts",
     AIS

@@ -18,6 +18,7 @@ from tidewatch.plans.duck import DAY, J, with_views
 from tidewatch.plans.metrics import HOUR, _messages
 from tidewatch.plans.tracks import JUMPS
 from tidewatch.session import shared_folder
+from tidewatch.sources.versions import VersionStore
 from tidewatch.streaming import jobs, keyed
 
 
@@ -338,9 +339,11 @@ SPLIT = 962409600000000
 def x11(spark, d):
     changes = b.snapshots(spark, d).select("object_id", F.col("changed_us").alias("at_us"), F.lit("upsert").alias("op"), *FIELDS)
 
+    def store(folder):
+        return VersionStore(f"{folder}/versions", "object_id", FIELDS, changes.schema, buckets=8)
+
     def start(stream, folder):
-        jobs.stateful_batches(stream, jobs.version_step("object_id", FIELDS), folder)
+        jobs.version_feed(stream, store(folder), f"{folder}/checkpoint")
 
     folder = feed(spark, changes, F.when(F.col("at_us") < SPLIT, 0).otherwise(1), start)
-    columns = ["object_id", "from_us", "to_us", "status", "summary"]
-    return jobs.results(spark, folder).select(*columns).unionByName(jobs.last_state(spark, folder).select(*columns))
+    return store(folder).read(spark).select("object_id", "from_us", "to_us", "status", "summary")

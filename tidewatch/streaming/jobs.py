@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.functions.series import latest_per
-from tidewatch.operators import bitemporal, dedupe, metrics
+from tidewatch.operators import dedupe, metrics
 from tidewatch.sources.envelopes import classify_lines
+from tidewatch.sources.versions import VersionStore
 
 Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame | None]]
 
@@ -141,19 +142,12 @@ def drift_step(shape: DataFrame, value: str = "value") -> Step:
     return step
 
 
-def version_step(key: str, fields: list[str]) -> Step:
-    """Change feed to version chains. State: current versions; output: closed ones."""
+def version_feed(stream: DataFrame, store: VersionStore, checkpoint: str) -> StreamingQuery:
+    """Change feed to a stored version table; a batch touches the buckets of its keys.
 
-    def step(batch: DataFrame, state: DataFrame | None):
-        spark = batch.sparkSession
-        columns = [key, *fields, "from_us", "to_us"]
-        types = {f.name: f.dataType.simpleString() for f in batch.schema.fields}
-        ddl = ", ".join(f"{c} {types.get(c, 'bigint')}" for c in columns)
-        empty = spark.createDataFrame([], ddl)
-        current, closed = bitemporal.apply_changes(empty if state is None else state, empty, batch, key, fields)
-        return closed, current
-
-    return step
+    A repeated batch leaves the same table.
+    """
+    return run_available(stream, lambda batch, batch_id: store.apply(batch), checkpoint)
 
 
 def windowed_counts(stream: DataFrame, at: str, width: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
