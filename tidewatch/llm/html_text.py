@@ -52,6 +52,13 @@ NAMES = {
     "recommended", "widget", "pagination", "pager", "login", "search", "toolbar", "copyright", "disclaimer", "form",
 }
 
+#: Parts of compound names that make them a state or a topic of the element.
+STATES = {"has", "no", "not", "with", "without", "is", "free", "offset", "category", "tag", "type", "format", "single"}
+#: Names that speak for the article.
+OWN = {"content", "post", "entry", "article", "story", "main", "body", "text"}
+#: Elements that keep a new block from ending an open paragraph or item.
+CONTAINERS = ("ul", "ol", "dl", "table", "div", "section", "article", "blockquote")
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?", re.S)
 _ATTRIBUTE = re.compile(r"([A-Za-z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<![^\s/])(hidden)(?![\w-])", re.S)
 _SPACE = re.compile(r"\s+")
@@ -75,6 +82,24 @@ class _Block:
     label: str = ""
 
 
+def _named_outside(value: str, in_article: int) -> bool:
+    """Whether class or id name what is not the article.
+
+    A whole name counts as such. A name that is only part of a compound counts
+    if nothing says that the compound is a state or a topic, and no other name of
+    the element speaks for the article.
+    """
+    tokens = value.split()
+    if any(t in NAMES or (t == "header" and not in_article) for t in tokens):
+        return True
+    for t in tokens:
+        parts = set(re.split(r"[^a-z]+", t))
+        named = parts & NAMES or ("header" in parts and not in_article)
+        if named and not parts & STATES and not any(o != t and set(re.split(r"[^a-z]+", o)) & OWN for o in tokens):
+            return True
+    return False
+
+
 def _is_outside(tag: str, attributes: str, in_article: int) -> bool:
     if tag in OUTSIDE or (tag == "header" and not in_article):
         return True
@@ -86,17 +111,41 @@ def _is_outside(tag: str, attributes: str, in_article: int) -> bool:
             return True
         if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id"):
-            words = set(re.split(r"[^a-z]+", value))
-            if words & NAMES or ("header" in words and not in_article):
-                return True
+        if name in ("class", "id") and _named_outside(value, in_article):
+            return True
     return False
 
 
+class _Stack:
+    """The open elements, with the places of each tag, so that no step walks over all."""
+
+    def __init__(self):
+        self.items: list[_Open] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, item: _Open) -> None:
+        self.places.setdefault(item.tag, []).append(len(self.items))
+        self.items.append(item)
+
+    def last(self, tag: str) -> int:
+        """Place of the innermost open ``tag``, -1 if there is none."""
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def close(self, place: int) -> None:
+        """Close the element at ``place`` and all within it."""
+        while len(self.items) > place:
+            self.places[self.items.pop().tag].pop()
+
+    @property
+    def top(self) -> _Open:
+        return self.items[-1] if self.items else _Open("", False, 0)
+
+
 def cut_blocks(page: str) -> list[_Block]:
     """The blocks of a page in order, with what the rules need to know of them."""
     blocks: list[_Block] = []
-    stack: list[_Open] = []
+    stack = _Stack()
     parts: list[tuple[str, bool]] = []
     articles = 0
     heading = False
@@ -107,8 +156,7 @@ def cut_blocks(page: str) -> list[_Block]:
             text = _SPACE.sub(" ", "".join(p for p, _ in parts)).strip()
             if text:
                 links = len(_SPACE.sub(" ", "".join(p for p, link in parts if link)).strip())
-                top = stack[-1] if stack else _Open("", False, 0)
-                blocks.append(_Block(text, links, top.outside, top.article, heading))
+                blocks.append(_Block(text, links, stack.top.outside, stack.top.article, heading))
             parts.clear()
         heading = False
 
@@ -116,10 +164,10 @@ def cut_blocks(page: str) -> list[_Block]:
     while at < size:
         m = _TOKEN.search(page, at)
         if not m:
-            parts.append((html.unescape(page[at:]), any(o.tag == "a" for o in stack)))
+            parts.append((html.unescape(page[at:]), stack.last("a") >= 0))
             break
         if m.start() > at:
-            parts.append((html.unescape(page[at : m.start()]), any(o.tag == "a" for o in stack)))
+            parts.append((html.unescape(page[at : m.start()]), stack.last("a") >= 0))
         at = max(m.end(), at + 1)
         if not m[2]:
             if m[0].startswith("<![CDATA["):
@@ -129,9 +177,8 @@ def cut_blocks(page: str) -> list[_Block]:
         if m[1]:
             if tag in BLOCKS:
                 flush()
-            if any(o.tag == tag for o in stack):
-                while stack.pop().tag != tag:
-                    pass
+            if stack.last(tag) >= 0:
+                stack.close(stack.last(tag))
             continue
         if tag == "br":
             parts.append((" ", False))
@@ -145,29 +192,37 @@ def cut_blocks(page: str) -> list[_Block]:
             flush()
             # A block ends an open paragraph; an item ends the one before it.
             for low in ("p",) + ((tag,) if tag in ("li", "dt", "dd", "td", "th", "tr", "option") else ()):
-                if stack and any(o.tag == low for o in stack):
-                    last = max(i for i, o in enumerate(stack) if o.tag == low)
-                    if not any(o.tag in ("ul", "ol", "dl", "table", "div", "section", "article", "blockquote") for o in stack[last + 1 :]):
-                        del stack[last:]
+                last = stack.last(low)
+                if last >= 0 and all(stack.last(c) <= last for c in CONTAINERS):
+                    stack.close(last)
             heading = re.fullmatch("h[1-6]", tag) is not None
         if tag in VOID:
             continue
-        above = stack[-1] if stack else _Open("", False, 0)
+        above = stack.top
         inside = above.article
         if tag in ("article", "main"):
             articles += 1
             inside = articles
-        stack.append(_Open(tag, above.outside or _is_outside(tag, attributes, above.article), inside))
+        stack.push(_Open(tag, above.outside or _is_outside(tag, attributes, above.article), inside))
     flush()
     return blocks
 
 
 def label_blocks(blocks: list[_Block]) -> None:
     """Both passes; leaves ``good`` or ``bad`` in every block's label."""
-    some_article = any(b.article and not b.outside for b in blocks)
-    for b in blocks:
+    dense = {}
+    inside = beside = 0
+    for i, b in enumerate(blocks):
         words = _WORD.findall(b.text.lower())
-        stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        dense[i] = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        if not b.outside and b.article:
+            inside += len(b.text)
+        elif not b.outside and b.links <= LINKS * len(b.text) and len(b.text) >= LONG and dense[i] >= STOP_HIGH:
+            beside += len(b.text)
+    # Where the marked article is less than the text beside it, it is but a teaser.
+    some_article = inside >= beside and inside > 0
+    for i, b in enumerate(blocks):
+        stop = dense[i]
         if b.outside or b.links > LINKS * len(b.text):
             b.label = "bad"
         elif some_article and not b.article:
@@ -183,21 +238,26 @@ def label_blocks(blocks: list[_Block]) -> None:
             b.label = "good" if b.article else ("near" if len(b.text) >= LONG else "bad")
     first = [b.label for b in blocks]
 
-    def nearest(i: int, step: int) -> tuple[str, int]:
-        """The next decided label of the same container that way, and how far."""
-        j = i + step
-        while 0 <= j < len(blocks):
+    def nearest(order: range) -> list[tuple[str, int]]:
+        """The last decided label met before each block in this order, and how far."""
+        out = [("", len(blocks))] * len(blocks)
+        decided, own = -1, {}
+        for i in order:
             # Links and notices within an article say nothing of its own blocks.
-            own = not (blocks[i].article and (blocks[j].article != blocks[i].article or first[j] == "bad"))
-            if own and first[j] in ("good", "bad"):
-                return first[j], abs(j - i)
-            j += step
-        return "", len(blocks)
+            j = own.get(blocks[i].article, -1) if blocks[i].article else decided
+            if j >= 0:
+                out[i] = first[j], abs(j - i)
+            if first[i] in ("good", "bad"):
+                decided = i
+            if first[i] == "good":
+                own[blocks[i].article] = i
+        return out
 
+    ahead, behind = nearest(range(len(blocks))), nearest(range(len(blocks) - 1, -1, -1))
     for i, b in enumerate(blocks):
         if first[i] in ("good", "bad"):
             continue
-        (before, near_before), (after, near_after) = nearest(i, -1), nearest(i, 1)
+        (before, near_before), (after, near_after) = ahead[i], behind[i]
         if b.article and not before and not after:
             b.label = "good"
         elif b.heading:
