@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewatch.llm import blocks
 
@@ -113,7 +112,9 @@ def train(sample: pa.Table, seed: int = 1) -> np.ndarray:
     bias = np.zeros(2, dtype=np.float32)
     buckets, bounds, word, begins, owner, labels = _gathered(sample)
     table_g, layer_g, bias_g = np.full(BUCKETS, 1e-3, np.float32), np.full(layer.shape, 1e-3, np.float32), np.full(2, 1e-3, np.float32)
-    if len(begins) and 0 < labels.sum() < len(labels):
+    if not len(begins) or not 0 < labels.sum() < len(labels):
+        return np.append(np.zeros(BUCKETS), -np.inf).astype(np.float32)
+    if len(begins):
         limits = np.append(begins, len(word)).astype(np.int64)
         target = labels[owner]
         # Both labels weigh alike while training; half the way back comes at the end.
@@ -184,17 +185,24 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """The model, trained on a bounded sample of the labelled rows.
 
     The sample is the rows with the least text hashes: ``ROWS_PER_LABEL`` of each
-    label, as many of them as have ``BYTES`` bytes. It is chosen by hash and size
+    label, less those that do not fit into ``BYTES`` bytes any more. It is chosen by hash and size
     alone, so texts are only moved for the chosen rows, whose keys are broadcast.
     Rows with a null key, text or label are not used; a row that occurs twice is
-    used once. Without both labels the model knows nothing and scores 0.5.
+    used once. Without both labels the model knows nothing and scores 0.
     """
     known = labels.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
     texts = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     rows = texts.select("key", "h", F.octet_length("text").alias("bytes")).join(known, "key").distinct()
+    rows = rows.filter(F.col("bytes") <= BYTES)
     parts = [rows.filter(F.col("label") == k).orderBy("h", "key").limit(n) for k, n in ROWS_PER_LABEL.items()]
-    running = F.sum("bytes").over(Window.orderBy("h", "key", "label").rowsBetween(Window.unboundedPreceding, 0))
-    chosen = parts[0].unionByName(parts[1]).withColumn("sum", running).filter(F.col("sum") <= BYTES).select("key", "h", "label")
+    # A text that does not fit any more is passed over, and the next ones are tried.
+    left, fitting = BYTES, []
+    listed = parts[0].unionByName(parts[1]).orderBy("h", "key", "label")
+    for r in listed.collect():
+        if r["bytes"] <= left:
+            left -= r["bytes"]
+            fitting.append((r["key"], r["h"], r["label"]))
+    chosen = docs.sparkSession.createDataFrame(fitting, listed.select("key", "h", "label").schema)
     # At most sum(ROWS_PER_LABEL) rows of three numbers.
     taken = texts.join(F.broadcast(chosen), ["key", "h"]).dropDuplicates(["key", "h", "label"])
     return train(taken.select("text", "label").orderBy(F.xxhash64("text")).toArrow())
