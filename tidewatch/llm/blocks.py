@@ -1,8 +1,10 @@
 """Texts as byte blocks: what the numpy operators share.
 
 A batch of texts is looked at as one byte array with document offsets. Hashes of
-words, n-grams and windows come from running sums of ``value * base ** place``
-modulo 2**64, so no loop runs over words or bytes.
+words, lines and windows come from running sums of ``value * base ** place``
+modulo the prime 2**61 - 1, so no loop runs over words or bytes, and two different
+pieces of n bytes share a hash with a chance of n / 2**61 whatever their pattern
+is (modulo 2**64 some patterned texts of 1,024 letters do for every base).
 """
 
 from __future__ import annotations
@@ -31,9 +33,72 @@ SPACED[[9, 10, 11, 12, 13, 32]] = False
 LETTERS = np.zeros(256, dtype=bool)
 LETTERS[48:58] = LETTERS[97:123] = LETTERS[128:] = True
 
+#: Of the hashes: a prime, a base, and a value under 2**30 for each byte.
+PRIME = np.uint64((1 << 61) - 1)
+#: Places worked on at a time, so that they stay in the cache.
+STEP = 1 << 14
+PLACE_BASE = int(_rng.integers(1 << 40, (1 << 61) - 1))
+PLACE_VALUES = np.random.default_rng(20240301).integers(1, 1 << 30, 256, dtype=np.uint64)
+
 _powers = {}
 
 
+def _folded(v: np.ndarray) -> np.ndarray:
+    """``v`` modulo the prime."""
+    v = (v & PRIME) + (v >> np.uint64(61))
+    return np.minimum(v, v - PRIME)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a * b`` modulo the prime, for values under it: halves of 31 bits, where
+    2**61 counts as 1, so that no part passes 64 bits."""
+    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a1 * b0 + a0 * b1
+    high = (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half)
+    return _folded(((a1 * b1) << np.uint64(1)) + high + a0 * b0)
+
+
+def _place_powers(n: int, base: int) -> np.ndarray:
+    """``base ** 0 .. base ** n`` modulo the prime, at least; kept for the next block."""
+    have = _powers.get(("place", base))
+    if have is None:
+        have = np.ones(1, dtype=np.uint64)
+    while len(have) <= max(n, 1 << 16):
+        step = np.uint64(pow(base, len(have), int(PRIME)))
+        have = np.concatenate([have, _product(have, step)])
+    _powers["place", base] = have
+    return have
+
+
+def sums(data: np.ndarray) -> np.ndarray:
+    """Running sums from which ``hashes`` takes the hash of any piece."""
+    place = _place_powers(len(data), PLACE_BASE)
+    out = np.zeros(len(data) + 1, dtype=np.uint64)
+    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    for a in range(0, len(data), STEP):
+        value = PLACE_VALUES[data[a : a + STEP]]
+        power = place[a : a + len(value)]
+        middle = value * (power >> half)
+        terms = (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half) + value * (power & low)
+        terms = (terms & PRIME) + (terms >> np.uint64(61))
+        # Halves are summed apart, so that no sum of a step passes 64 bits.
+        high = np.cumsum(terms >> half)
+        high = (high >> np.uint64(30)) + ((high & np.uint64((1 << 30) - 1)) << half)
+        out[a + 1 : a + 1 + len(value)] = _folded(high + np.cumsum(terms & low) + out[a])
+    return out
+
+
+def hashes(running: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each piece ``[start, end)``; equal bytes give equal hashes."""
+    inverse = _place_powers(len(running), pow(PLACE_BASE, -1, int(PRIME)))
+    out = np.empty(len(starts), dtype=np.uint64)
+    for a in range(0, len(starts), STEP):
+        first = starts[a : a + STEP]
+        out[a : a + STEP] = _product(_folded(running[ends[a : a + STEP]] + (PRIME - running[first])), inverse[first])
+    return out
+
+
 def powers(n: int, base: int) -> np.ndarray:
     """``base ** 0 .. base ** n`` modulo 2**64, kept for the next block."""
     have = _powers.get(base)
@@ -57,15 +122,15 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return v
 
 
-def sums(data: np.ndarray) -> np.ndarray:
-    """Running sums from which ``hashes`` takes the hash of any piece."""
+def short_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums for ``short_hashes``."""
     out = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(BYTE_VALUES[data] * powers(len(data), BASE)[: len(data)], out=out[1:])
     return out
 
 
-def hashes(running: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each piece ``[start, end)``; equal bytes give equal hashes."""
+def short_hashes(running: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes modulo 2**64, for buckets and filters: long patterned pieces may share one."""
     return (running[ends] - running[starts]) * powers(len(running), BASE_INVERSE)[starts]
 
 

@@ -73,7 +73,7 @@ def _string_marks(strings: pa.Array) -> np.ndarray:
     offsets = np.frombuffer(where, dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
     data = np.frombuffer(store, dtype=np.uint8)[offsets[0] : offsets[-1]] if len(raw) and store is not None else np.zeros(0, dtype=np.uint8)
     offsets = offsets - offsets[0] if len(raw) else np.zeros(1, dtype=np.int64)
-    return blocks.mixed(blocks.hashes(blocks.sums(data), offsets[:-1], offsets[1:]))
+    return blocks.mixed(blocks.short_hashes(blocks.short_sums(data), offsets[:-1], offsets[1:]))
 
 
 class Seen:

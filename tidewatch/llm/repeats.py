@@ -38,10 +38,11 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np
     that picks it (places within the document), and hashes of gram and piece."""
     gram = length // 2
     span = length - gram + 1
-    running = blocks.sums(data)
     n = len(data) - gram + 1
     if n < span:
         return {}
+    # Grams only say which strings meet; what is taken as equal has the safe hash.
+    running = blocks.short_sums(data)
     at = np.arange(n)
     values = (running[gram:] - running[:n]) * blocks.powers(len(running), blocks.BASE_INVERSE)[:n]
     keys = (blocks.mixed(values) & ~_PLACE) | (at.astype(np.uint64) & _PLACE)
@@ -64,6 +65,7 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np
     begin = np.flatnonzero(new)
     lo, hi = first[begin], first[np.concatenate([begin[1:], [len(first)]]) - 1]
     anchor, doc = anchor[begin], doc[begin]
+    running = blocks.sums(data)
     left = blocks.hashes(running, lo, anchor)
     right = blocks.hashes(running, anchor, hi + length)
     piece = blocks.mixed(blocks.mixed(left + (anchor - lo).astype(np.uint64)) * np.uint64(blocks.BASE) + right)
@@ -145,7 +147,7 @@ def _resolve(pieces: list[tuple], length: int) -> list[tuple]:
     """Repeated strings of a batch of pieces.
 
     A piece is ``(id, key, lo, gram, spread, ask, bytes, anchor)``. Gives rows
-    ``(id, key, lo, hi, gram, core, strings, places, mine)``: ranges of strings that
+    ``(id, key, lo, hi, gram, core, strings, checks, places, mine)``: ranges of strings that
     repeat within the batch, and for spread anchors the different strings, to be
     counted, by piece and cell with a hash of what all strings of the cell share.
     """
@@ -166,7 +168,7 @@ def _resolve(pieces: list[tuple], length: int) -> list[tuple]:
         doc, key, lo, gram, _, ask, *_ = pieces[o]
         if ask:
             starts, ends = _runs(within[repeated[owner[repeated] == o]])
-            out += [(doc, key, lo + int(a), lo + int(b), gram, None, None, None, None) for a, b in zip(starts, ends)]
+            out += [(doc, key, lo + int(a), lo + int(b), gram, None, None, None, None, None) for a, b in zip(starts, ends)]
     spread = np.array([p[4] for p in pieces])
     if spread.any():
         first = order[~same]
@@ -174,17 +176,18 @@ def _resolve(pieces: list[tuple], length: int) -> list[tuple]:
         alone = np.zeros(len(data), dtype=bool)
         alone[order[~several]] = True
         first = np.sort(first)
-        running = blocks.sums(data)
-        strings = blocks.mixed(blocks.hashes(running, first, first + length)).view(np.int64)
+        strings = blocks.mixed(blocks.hashes(blocks.sums(data), first, first + length)).view(np.int64)
+        running = blocks.short_sums(data)
+        checks = blocks.mixed(blocks.short_hashes(running, first, first + length)).view(np.int64)
         anchor = np.array([p[7] for p in pieces])[owner[first]]
         cell = (within[first] - anchor) // CELL
         core = base[owner[first]] + anchor + cell * CELL
-        cores = blocks.mixed(blocks.hashes(running, core + CELL - 1, core + length) ^ blocks.mixed(cell.astype(np.uint64))).view(np.int64)
+        cores = blocks.mixed(blocks.short_hashes(running, core + CELL - 1, core + length) ^ blocks.mixed(cell.astype(np.uint64))).view(np.int64)
         edge = np.flatnonzero(np.concatenate([[True], (np.diff(cores) != 0) | (np.diff(owner[first]) != 0), [True]])) if len(first) else []
         for a, b in zip(edge[:-1], edge[1:]):
             doc, key, lo, gram, _, ask, *_ = pieces[owner[first[a]]]
             places = (lo + within[first[a:b]]).tolist()
-            out.append((doc, key, None, None, gram, int(cores[a]), strings[a:b].tolist(), places, (alone[first[a:b]] & ask).tolist()))
+            out.append((doc, key, None, None, gram, int(cores[a]), strings[a:b].tolist(), checks[a:b].tolist(), places, (alone[first[a:b]] & ask).tolist()))
     return out
 
 
@@ -199,8 +202,9 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, pieces: int = PIECES, wi
     """Per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
     Judges the bytes of whole texts; ``with_text`` adds ``kept``, the remaining
-    bytes. Equal hashes of 128 bits stand for equal surroundings; in the suffix
-    arrays bytes are compared.
+    bytes. Equal hashes of gram and surroundings (64 and 61 bits) stand for equal
+    surroundings; in the suffix arrays bytes are compared, and across the arrays of
+    one anchor two independent hashes of the whole string (61 and 64 bits).
 
     A null or empty text has no bytes; a text shorter than ``length`` loses none.
     Rows that occur twice repeat each other. An empty table gives no rows. Other
@@ -229,7 +233,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, pieces: int = PIECES, wi
     shared = cut_lineage(met.join(often, "gram"))
     # One row per anchor and surroundings, then per anchor.
     kinds = cut_lineage(shared.groupBy("gram", "piece").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "lo")).alias("first")))
-    mixed = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
+    mixed = cut_lineage(kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")))
     state = cut_lineage(kinds.join(mixed, "gram").select("gram", "piece", "first", "n", "kinds", ((F.col("kinds") > 1) & (F.col("least") == 1)).alias("open")))
     marked = (
         shared.join(state, ["gram", "piece"])
@@ -260,7 +264,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, pieces: int = PIECES, wi
     sent = sent.select("id", "key", "lo", "gram", "ask", "bytes", "anchor", (parts > 1).alias("spread"), F.pmod("piece", parts).alias("part"))
     out_schema = pa.schema(
         [("id", pa.int64()), ("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("gram", pa.int64()), ("core", pa.int64())]
-        + [("strings", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("mine", pa.list_(pa.bool_()))]
+        + [("strings", pa.list_(pa.int64())), ("checks", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("mine", pa.list_(pa.bool_()))]
     )
 
     def resolve(batches):
@@ -284,15 +288,15 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, pieces: int = PIECES, wi
     resolved = cut_lineage(
         sent.repartition("gram", "part")
         .sortWithinPartitions("gram", "part")
-        .mapInArrow(resolve, "id long, key long, lo int, hi int, gram long, core long, strings array<long>, places array<int>, mine array<boolean>")
+        .mapInArrow(resolve, "id long, key long, lo int, hi int, gram long, core long, strings array<long>, checks array<long>, places array<int>, mine array<boolean>")
     )
     # Strings of spread anchors: only cells whose core was seen twice are opened.
     cells = resolved.filter("core IS NOT NULL")
     twice = cells.groupBy("gram", "core").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "core")
-    strings = cells.join(twice, ["gram", "core"]).select("id", "key", "gram", F.explode(F.arrays_zip("strings", "places", "mine")).alias("s"))
-    strings = strings.select("id", "key", "gram", F.col("s.strings").alias("string"), F.col("s.places").alias("lo"), F.col("s.mine").alias("mine"))
-    across = strings.groupBy("gram", "string").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "string")
-    apart = strings.filter("mine").join(across, ["gram", "string"]).select("id", "key", "lo", F.col("lo").alias("hi"))
+    strings = cells.join(twice, ["gram", "core"]).select("id", "key", "gram", F.explode(F.arrays_zip("strings", "checks", "places", "mine")).alias("s"))
+    strings = strings.select("id", "key", "gram", F.col("s.strings").alias("string"), F.col("s.checks").alias("check"), F.col("s.places").alias("lo"), F.col("s.mine").alias("mine"))
+    across = strings.groupBy("gram", "string", "check").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "string", "check")
+    apart = strings.filter("mine").join(across, ["gram", "string", "check"]).select("id", "key", "lo", F.col("lo").alias("hi"))
     ranges = (
         resolved.filter("core IS NULL").select("id", "key", "lo", "hi").unionByName(apart)
         .groupBy("id", "key")

@@ -39,17 +39,17 @@ def _subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     """
     edged = data.copy()
     edged[starts - 1] = edged[ends] = 32
-    running = blocks.sums(edged)
+    running = blocks.short_sums(edged)
     sizes = ends - starts + 2
     found, owner = [], []
     for n in GRAMS:
         count = np.maximum(sizes - n + 1, 0)
         word = np.repeat(np.arange(len(starts)), count)
         at = (starts - 1)[word] + np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
-        found.append(blocks.mixed(blocks.hashes(running, at, at + n) + np.uint64(n)))
+        found.append(blocks.mixed(blocks.short_hashes(running, at, at + n) + np.uint64(n)))
         owner.append(word)
     # The word as a whole.
-    found.append(blocks.mixed(blocks.hashes(running, starts, ends) + np.uint64(1)))
+    found.append(blocks.mixed(blocks.short_hashes(running, starts, ends) + np.uint64(1)))
     owner.append(np.arange(len(starts)))
     owner = np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
@@ -66,7 +66,7 @@ def _passages(raw: np.ndarray, offsets: np.ndarray):
     data = np.full(len(raw) + n + 1, 32, dtype=np.uint8)
     data[place] = blocks.LOWER[raw]
     words = blocks.Words(data, offsets + np.arange(n + 1), _LETTER)
-    keys = blocks.hashes(blocks.sums(data), words.starts, words.ends)
+    keys = blocks.short_hashes(blocks.short_sums(data), words.starts, words.ends)
     _, first, word = np.unique(keys, return_index=True, return_inverse=True)
     buckets, bounds = _subwords(data, words.starts[first], words.ends[first])
     inside = np.arange(len(words.starts)) - words.bounds[:-1][words.doc]
