@@ -131,23 +131,20 @@ def parent_cell(cell_id: Column, res: int, parent_res: int) -> Column:
     return grid_id(F.floor(row / ratio), F.floor(col / ratio), parent)
 
 
-def neighbour_cells(lon: Column, lat: Column, size: float) -> Column:
-    """The 3 x 3 block around a point, wrapping at the antimeridian.
-
-    Only right while the search distance stays under one cell edge; use
-    :func:`cover_circle` for anything wider or near the poles.
-    """
-    cols, rows = int(round(360 / size)), int(round(180 / size))
-    row, col = grid_row(lat, size), grid_col(lon, size)
-    cells = [
-        F.when(
-            (row + dr).between(0, rows - 1),
-            grid_id(row + dr, F.pmod(col + dc, F.lit(cols)), size),
-        )
-        for dr in (-1, 0, 1)
-        for dc in (-1, 0, 1)
-    ]
-    return F.array_distinct(F.array_compact(F.array(*cells)))
+def cell_distance_m(lon: Column, lat: Column, cell_id: Column, size: float) -> Column:
+    """A lower bound of the distance from a point to any point of a grid cell."""
+    cols = int(round(360 / size))
+    south = F.floor(cell_id / cols) * size - 90.0
+    west = (cell_id % cols) * size - 180.0
+    rise = F.greatest(south - lat, lat - south - size, F.lit(0.0))
+    # Degrees eastward from the western edge; beyond the cell, to the nearer edge.
+    east = F.pmod(lon - west, F.lit(360.0))
+    turn = F.when(east <= size, 0.0).otherwise(F.least(east - size, 360.0 - east))
+    # Nearest place of a meridian, or a pole where it is over a quarter turn away.
+    across = F.when(turn >= 90.0, F.radians(90.0 - F.abs(lat))).otherwise(
+        F.asin(F.least(F.lit(1.0), F.cos(F.radians(lat)) * F.sin(F.radians(turn))))
+    )
+    return F.greatest(F.radians(rise), across) * EARTH_RADIUS_M
 
 
 def cover_circle(lon: Column, lat: Column, metres: Column, size: float) -> Column:
