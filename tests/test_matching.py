@@ -78,3 +78,32 @@ def test_roots_over_several_parents(spark):
     typed = spark.createDataFrame([(*link, None) for link in links], "from_event long, to_event long, link_type string, strength double")
     rolled = {r.root: (r.children, r.duplicates) for r in events.roll_up_links(rows, typed).collect()}
     assert rolled == {1: (7, 1), 10: (1, 0), 21: (3, 0), 100: (40, 0)}
+
+
+def test_screening_goes_by_what_holds_at_the_time(spark):
+    ents = [(i, f"ship {n}") for i, n in [("a", "alpha one"), ("b", "beta two"), ("c", "gamma three"), ("d", "delta four"), ("e", "epsilon five"), ("f", "zeta six"), ("g", "eta seven")]]
+    entities = spark.createDataFrame(ents, "entity_id string, display_name string")
+    aliases = spark.createDataFrame(
+        [("imo", "1", "a", None, None), ("imo", "2", "b", None, None), ("imo", "1", "c", 0, 50), ("imo", "2", "d", None, None)],
+        "id_type string, id_value string, entity_id string, from_us long, to_us long",
+    )
+    listings = spark.createDataFrame(
+        [("1", "nobody", None), ("2", "no one", 90), (None, "ship delta fours", None), (None, "ship eta seven", 100)], "imo string, name string, delisted_us long"
+    )
+    relations = spark.createDataFrame(
+        [("a", "e", 0, 200, None), ("f", "a", 0, 100, None), ("a", "g", 0, 200, 60), ("b", "a", 0, None, None)],
+        "from_ref string, to_ref string, from_us long, to_us long, retracted_us long",
+    )
+
+    def status(at):
+        got = resolve.screen_at(entities, aliases, listings, relations, entities.filter("entity_id < 'g'"), at, 0.7).collect()
+        return {r.entity_id: (r.sanction_status, r.matched_on) for r in got}
+
+    # Of the past listing and the running relation or name, what holds now counts.
+    assert status(100) == {
+        "a": ("listed", "imo"), "b": ("associated", "relation"), "c": ("none", None), "d": ("possible_match", "name"),
+        "e": ("associated", "relation"), "f": ("none", None), "g": ("not_checked", None),
+    }
+    early = status(40)
+    assert early["b"] == early["c"] == ("listed", "imo") and early["g"] == ("possible_match", "name")
+    assert early["f"] == ("associated", "relation")

@@ -292,6 +292,75 @@ def screen(entities: DataFrame, aliases: DataFrame, listings: DataFrame, relatio
     )
 
 
+def screen_at(
+    entities: DataFrame, aliases: DataFrame, listings: DataFrame, relations: DataFrame, scope: DataFrame, at_us: int, min_similarity: float = 0.8
+) -> DataFrame:
+    """Sanction status of each entity at a time: ``entity_id, sanction_status, matched_on, confidence``.
+
+    Identifiers and relations count while they are valid (and not retracted),
+    listings until they are delisted. A current hit goes before a past one: an
+    identifier, then a name alike by trigrams (``possible_match``), then one
+    relation to a listed entity, then a listing that has ended. ``confidence`` is
+    1 for identifiers and the similarity for names; where nothing hit it is null.
+    """
+    at = F.lit(at_us)
+    listed = listings.withColumn("current", F.col("delisted_us").isNull() | (F.col("delisted_us") > at))
+    valid = aliases.filter((F.col("id_type") == "imo") & times.contains(F.col("from_us"), F.col("to_us"), at))
+    by_id = (
+        valid.join(listed.filter(F.col("imo").isNotNull()), F.col("id_value") == F.col("imo"))
+        .groupBy("entity_id")
+        .agg(F.max("current").alias("listed"))
+    )
+    named = entities.select("entity_id", F.lower("display_name").alias("name"))
+    by_name = (
+        named.join(
+            fuzzy_names(named, listed.filter("current").select("name"), min_similarity)
+            .groupBy(F.col("name_a").alias("name"))
+            .agg(F.max("similarity").alias("similarity")),
+            "name",
+        )
+        .groupBy("entity_id")
+        .agg(F.max("similarity").alias("similarity"))
+    )
+    live = relations.filter(
+        times.contains(F.col("from_us"), F.col("to_us"), at) & (F.col("retracted_us").isNull() | (F.col("retracted_us") > at))
+    )
+    ends = live.select(F.explode(F.array(F.struct(F.col("from_ref").alias("entity_id"), F.col("to_ref").alias("other")), F.struct(F.col("to_ref").alias("entity_id"), F.col("from_ref").alias("other")))).alias("e")).select("e.*")
+    linked = (
+        ends.join(by_id.filter("listed").select(F.col("entity_id").alias("other")), "other", "left_semi")
+        .select("entity_id")
+        .distinct()
+        .withColumn("linked", F.lit(True))
+    )
+    status = (
+        F.when(F.col("listed"), "listed")
+        .when(F.col("similarity").isNotNull(), "possible_match")
+        .when(F.col("linked"), "associated")
+        .when(~F.col("listed"), "delisted")
+        .when(F.col("checked"), "none")
+        .otherwise("not_checked")
+    )
+    return (
+        entities.select("entity_id")
+        .join(by_id, "entity_id", "left")
+        .join(by_name, "entity_id", "left")
+        .join(linked, "entity_id", "left")
+        .join(scope.select("entity_id").withColumn("checked", F.lit(True)), "entity_id", "left")
+        .withColumn("sanction_status", status)
+        .select(
+            "entity_id",
+            "sanction_status",
+            F.when(F.col("sanction_status").isin("listed", "delisted"), "imo")
+            .when(F.col("sanction_status") == "possible_match", "name")
+            .when(F.col("sanction_status") == "associated", "relation")
+            .alias("matched_on"),
+            F.when(F.col("sanction_status").isin("listed", "delisted"), 1.0)
+            .when(F.col("sanction_status") == "possible_match", F.col("similarity"))
+            .alias("confidence"),
+        )
+    )
+
+
 def canonical_entity(entities: DataFrame) -> DataFrame:
     """``(entity_id, canonical_id, in_cycle)``: the survivor of each merge chain."""
     roots = follow_pointers(entities.select(F.col("entity_id").alias("id"), F.col("merged_into").alias("next")))

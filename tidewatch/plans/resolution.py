@@ -169,6 +169,48 @@ def j11(spark, d):
     )
 
 
+# Many supplies run in June 1995 and all listings are current; in January 2024
+# supplies are over and the listings of suppliers in debt have ended.
+EARLY, LATE = 803_347_200_000_000, J + 15 * DAY
+
+
+def _screened(at: int) -> str:
+    return with_views(
+        "ent aliases listings rel",
+        f""", cur AS (SELECT *, delisted_us IS NULL OR delisted_us > {at} AS current FROM listings),
+     i AS (SELECT entity_id, bool_or(current) AS listed FROM aliases JOIN cur ON id_type = 'imo' AND id_value = imo
+       WHERE (from_us IS NULL OR from_us <= {at}) AND (to_us IS NULL OR to_us > {at}) GROUP BY entity_id),
+     live AS (SELECT * FROM rel WHERE from_us <= {at} AND to_us > {at} AND (retracted_us IS NULL OR retracted_us > {at})),
+     a AS (SELECT to_ref AS entity_id FROM live WHERE from_ref IN (SELECT entity_id FROM i WHERE listed) UNION SELECT from_ref FROM live WHERE to_ref IN (SELECT entity_id FROM i WHERE listed)),
+     n AS (SELECT DISTINCT lower(display_name) AS name FROM ent), l AS (SELECT DISTINCT name FROM cur WHERE current),
+     ga AS (SELECT name, {GRAMS.format('name')} AS g FROM n), gb AS (SELECT name, {GRAMS.format('name')} AS g FROM l),
+     p AS (SELECT ga.name, len(list_intersect(ga.g, gb.g)) AS s, len(ga.g) AS x, len(gb.g) AS y FROM ga, gb),
+     f AS (SELECT name, max(s / (x + y - s)) AS similarity FROM p WHERE s / (x + y - s) >= 0.9 GROUP BY name),
+     r AS (SELECT e.entity_id, f.similarity, CASE WHEN i.listed THEN 'listed' WHEN f.name IS NOT NULL THEN 'possible_match' WHEN a.entity_id IS NOT NULL THEN 'associated'
+       WHEN NOT i.listed THEN 'delisted' WHEN nation < 20 THEN 'none' ELSE 'not_checked' END AS sanction_status
+       FROM ent e LEFT JOIN i ON i.entity_id = e.entity_id LEFT JOIN a ON a.entity_id = e.entity_id LEFT JOIN f ON f.name = lower(display_name))
+     SELECT entity_id, sanction_status, CASE WHEN sanction_status IN ('listed', 'delisted') THEN 'imo' WHEN sanction_status = 'possible_match' THEN 'name' WHEN sanction_status = 'associated' THEN 'relation' END AS matched_on,
+       CASE WHEN sanction_status IN ('listed', 'delisted') THEN 1e0 WHEN sanction_status = 'possible_match' THEN similarity END AS confidence FROM r""",
+    )
+
+
+def _screen(spark, d, at):
+    entities = b.entities(spark, d)
+    return op.screen_at(
+        entities, b.aliases(spark, d), b.listings(spark, d), b.relations(spark, d), entities.filter("nation < 20"), at, 0.9
+    )
+
+
+@query("j11_screening_early", _screened(EARLY))
+def j11_early(spark, d):
+    return _screen(spark, d, EARLY)
+
+
+@query("j11_screening_late", _screened(LATE))
+def j11_late(spark, d):
+    return _screen(spark, d, LATE)
+
+
 def _identifiers(spark, d):
     """Two registers name the same hulls: parts by number, suppliers by key."""
     p, s = b.table(spark, d, "part"), b.table(spark, d, "supplier")
