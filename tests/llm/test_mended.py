@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pytest
 
-from tidewatch.llm import html_text, toxicity
+from tidewatch.llm import chat, html_text, near_dups, toxicity
 
 PROSE = "The ship of the port was in the sea and it is for the people of the town that he had not been at the harbour with all of them. "
 
@@ -85,3 +85,31 @@ def test_one_label_only_scores_zero(spark):
         assert {(r.score, r.predicted) for r in rows} == {(0.0, 0)}
     none = toxicity.fit(docs.limit(0), spark.createDataFrame([], "doc_id long, label int"))
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
+
+
+def test_an_id_on_several_texts_loses_only_its_copies(spark):
+    copy, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, copy, "a"), (2, copy, "b"), (2, other, "c"), (None, copy, "d"), (None, "alone " * 9, "e"), (None, "alone " * 9, "e"), (3, None, "f"), (3, None, "f")]
+    rows += [(7, "same words here now and then", "y"), (7, "same words here now and then", "x"), (None, None, "g"), (None, "", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    got = sorted(near_dups.keep_one(docs).collect(), key=str)
+    want = [rows[0], rows[2], rows[4], rows[6], rows[7], rows[9], rows[10], rows[11]]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert near_dups.keep_one(docs).columns == docs.columns and near_dups.keep_one(docs.limit(0)).count() == 0
+
+
+def test_a_row_with_several_speakers_is_cut(spark):
+    text = "User: where is it?\nAssistant: over there, and\n\nnot a new turn\nUser: thanks"
+    rows = spark.createDataFrame([("c", 0, text, 5), ("c", 1, None, 5), ("d", 0, "", 5)], "id string, turn long, text string, extra int")
+    cut = sorted(map(tuple, chat.speakers(rows).select("id", "turn", "part", "text").collect()), key=str)
+    assert [c[2:] for c in cut if c[:2] == ("c", 0)] == [(0, "User: where is it?"), (1, "Assistant: over there, and\n\nnot a new turn"), (2, "User: thanks")]
+    assert ("c", 1, 0, None) in cut and ("d", 0, 0, "") in cut
+    model = chat.fit(spark.createDataFrame([], "id string, turn long, role string, text string"))
+    turns = sorted(chat.recover(chat.speakers(rows.limit(1)), model).collect(), key=lambda r: r.rendered)
+    assert sorted((r.role, r.content) for r in turns) == [("assistant", "over there, and\n\nnot a new turn"), ("user", "thanks"), ("user", "where is it?")]
+
+
+def test_turn_numbers_that_repeat_are_counted_as_pairs(spark):
+    rows = [("c", 0, "user", "a")] * 3 + [("c", 1, "assistant", "b")] * 2
+    model = chat.fit(spark.createDataFrame(rows, "id string, turn long, role string, text string"))
+    assert np.exp(model.follow)[1] == pytest.approx([1 / 9, 1 / 9, 7 / 9])

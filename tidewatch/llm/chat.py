@@ -44,6 +44,15 @@ def paragraphs(transcripts: DataFrame, id_column: str, text: str = "text") -> Da
     ).select("id", F.col("turn").cast("long").alias("turn"), F.lit(0).alias("part"), "text")
 
 
+def speakers(turns: DataFrame) -> DataFrame:
+    """``turns`` cut before each speaker marker at the start of a line; ``part`` counts
+    the pieces of a row. Other columns stay; a row without a marker is one piece, a
+    null text stays null."""
+    cut = rf"\n(?=\s*(?:\*\*|###?\s*|<\|?|\[)?(?i:{_NAMES})(?:\*\*|\|?>|\])?\s*:)"
+    rest = [c for c in turns.columns if c not in ("part", "text")]
+    return turns.select(*rest, F.posexplode_outer(F.split("text", cut)).alias("part", "text")).withColumn("part", F.coalesce("part", F.lit(0)))
+
+
 def _bucket(value: Column, edges: list[int]) -> Column:
     out = F.lit(0)
     for edge in edges:
@@ -163,10 +172,12 @@ def fit(turns: DataFrame) -> Model:
     emit[0][:] = 1e-6
     for row in known.select("role", F.posexplode("seen").alias("k", "v")).groupBy("role", "k", "v").count().collect():
         emit[row["k"]][row["role"], row["v"]] += row["count"]
-    # The next turn of the same transcript, joined by its number.
-    after = known.select("id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"))
-    for row in known.join(after, ["id", "turn"]).groupBy("role", "next").count().collect():
-        follow[row["role"], row["next"]] += row["count"]
+    # The next turn of the same transcript, joined by its number; a number that stands
+    # on many rows is counted before.
+    told = known.groupBy("id", "turn", "role").agg(F.count("*").cast("double").alias("n"))
+    after = told.select("id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"), F.col("n").alias("m"))
+    for row in told.join(after, ["id", "turn"]).groupBy("role", "next").agg(F.sum(F.col("n") * F.col("m")).alias("pairs")).collect():
+        follow[row["role"], row["next"]] += row["pairs"]
     opening = known.groupBy("id").agg(F.min_by("role", "turn").alias("role"))
     for row in opening.groupBy("role").count().collect():
         first[row["role"]] += row["count"]

@@ -284,6 +284,29 @@ def group_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group."""
-    gone = group_near_duplicates(docs, words, percent).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each near-duplicate group, that of the least id.
+
+    Rows are told apart by id and text: of an id that stands on different texts only
+    the copies go, and copies without an id are copies as well; both come after all
+    other ids in the order. Of rows equal in id and text the first one in the order
+    of their columns stays. Rows without words are never copies. An empty table
+    gives no rows.
+    """
+    row = blocks.row_key()
+    shared = cut_lineage(
+        docs.select("doc_id", row.alias("row")).filter("doc_id IS NOT NULL").groupBy("doc_id")
+        .agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low <> high").select("doc_id", F.lit(True).alias("__shared"))
+    )
+    own = F.when(F.col("doc_id").isNull() | F.col("__shared"), F.shiftrightunsigned(row, 2) + F.lit(1 << 62)).otherwise(F.col("doc_id").cast("long"))
+    named = docs.join(shared, "doc_id", "left").withColumn("__node", own)
+    decided = cut_lineage(group_near_duplicates(named.select(F.col("__node").alias("doc_id"), "text"), words, percent))
+    gone = decided.filter(~F.col("kept")).select(F.col("doc_id").alias("__node")).distinct()
+    left = named.join(gone, "__node", "left_anti").select("__node", *docs.columns)
+    twice = cut_lineage(
+        decided.filter("kept AND n_shingles > 0").groupBy(F.col("doc_id").alias("__node")).agg(F.count("*").alias("n")).filter("n > 1").select("__node")
+    )
+    if not twice.isEmpty():
+        whole = F.struct(*docs.columns)
+        once = left.join(twice, "__node", "left_semi").groupBy("__node").agg(F.min_by(whole, F.to_json(whole)).alias("__row")).select("__node", "__row.*")
+        left = left.join(twice, "__node", "left_anti").unionByName(once)
+    return left.select(*docs.columns)

@@ -115,10 +115,11 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_chat_turns")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Roles are learnt from three quarters of the conversations and recovered for
-    all of them; the given roles are no input of that."""
-    rows = blocks.documents(spark, folder, "conversations").select(F.col("conv_id").alias("id"), "turn", "role", F.lit(0).alias("part"), "text")
+    all of them, whose rows are cut where another speaker is marked; the given roles
+    are no input of that."""
+    rows = blocks.documents(spark, folder, "conversations").select(F.col("conv_id").alias("id"), "turn", "role", "text")
     held_out = F.coalesce(F.crc32(F.col("id").cast("string")) % 4 == 2, F.lit(False))
-    found = chat.recover(rows.drop("role"), chat.fit(rows.filter(F.col("id").isNotNull() & ~held_out)))
+    found = chat.recover(chat.speakers(rows.drop("role")), chat.fit(rows.filter(F.col("id").isNotNull() & ~held_out)))
     return found.select(F.col("id").alias("conv_id"), held_out.alias("held_out"), "turn", "role", "n_parts", "rendered")
 
 
