@@ -20,10 +20,15 @@ def _month(at: str) -> Column:
 
 
 def build_versions(snapshots: DataFrame, key: str, at: str) -> DataFrame:
-    """Snapshots to ``[from, to)`` intervals; the last one stays open."""
-    series = Series([key], [at], _month(at))
-    chained = series.add(snapshots, series.row_number("version"), series.next([at], "__next"))
-    return chained.withColumn("from_us", F.col(at)).withColumn("to_us", F.col(f"__next.{at}")).drop("__next", at)
+    """Snapshots to ``[from, to)`` intervals; the last one stays open.
+
+    Snapshots of one object at the same time are ordered by a hash of the whole
+    row, so a version's number is the same in every run.
+    """
+    series = Series([key], [at, "__tie"], _month(at))
+    tied = snapshots.withColumn("__tie", F.xxhash64(*sorted(f.name for f in snapshots.schema if "map<" not in f.dataType.simpleString())))
+    chained = series.add(tied, series.row_number("version"), series.next([at], "__next"))
+    return chained.withColumn("from_us", F.col(at)).withColumn("to_us", F.col(f"__next.{at}")).drop("__next", "__tie", at)
 
 
 def split_current(versions: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.series import Series
 from tidewatch.model import labels
+from tidewatch.session import cut_lineage
 
 DAY_US = 86_400_000_000
 
@@ -232,6 +233,62 @@ def apply_retention(obs: DataFrame, sources: DataFrame, today_us: int, default_d
     )
 
 
+def purge_due(rows: DataFrame, today_us: int, key: str, personal: str = "personal", purge_us: str = "purge_us") -> DataFrame:
+    """Rows past their purge date, and personal data without any date, by ``verdict``.
+
+    ``purge`` rows are to go now. ``undated`` ones hold personal data that nobody has
+    given a date; they are reported and stay.
+    """
+    due = F.col(purge_us) <= today_us
+    verdict = F.when(due, "purge").when(F.col(personal) & F.col(purge_us).isNull(), "undated")
+    return rows.select(key, purge_us, verdict.alias("verdict")).filter(F.col("verdict").isNotNull())
+
+
+def drop_expired(spark: SparkSession, path: str, sources: DataFrame, today_us: int, default_days: int = 90) -> DataFrame:
+    """Enforce retention on stored day partitions; one row per partition touched.
+
+    A day past every source's limit is dropped as a folder, unread. Of the days in
+    between only those that hold rows of a stricter source are written again, each
+    replaced as a whole; other files stay as they are. Strays have no day of their own and are judged
+    row by row. ``obs_date, action, n`` with ``dropped`` or ``rewritten`` and, for the latter, the
+    rows that went. A second run changes nothing.
+    """
+    table = spark.read.parquet(path)
+    name = F.col("obs_date").cast("string")
+    today = int(today_us // DAY_US)
+    first = F.date_from_unix_date(F.lit(today - default_days)).cast("string")
+    # Only partition names are needed, at most one row for each day there is.
+    days = table.select(name.alias("obs_date")).distinct()
+    old = [r[0] for r in days.filter((F.col("obs_date") < first) & (F.col("obs_date") != "stray")).collect()]
+    for day in old:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/obs_date={day}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    spark.catalog.refreshByPath(path)
+    held = spark.read.schema(table.schema).parquet(path)
+    limit = F.least(F.lit(default_days), F.coalesce("__days", F.lit(default_days)))
+    limits = sources.select("source_id", F.col("retention_days").alias("__days"))
+    # A null time has no age and stays.
+    past = F.coalesce(F.floor(F.col("observed_us") / DAY_US) < today - limit, F.lit(False))
+    # Days within the strictest limit hold nothing to judge.
+    strictest = sources.agg(F.min("retention_days")).first()[0]
+    newest = F.date_from_unix_date(F.lit(today - min(default_days, default_days if strictest is None else strictest))).cast("string")
+    judged = held.filter((name < newest) | (name == "stray")).join(limits, "source_id", "left").withColumn("__past", past).drop("__days")
+    touched = cut_lineage(judged.filter("__past").groupBy(name.alias("obs_date")).agg(F.count("*").alias("n")))
+    names = [r[0] for r in touched.select("obs_date").collect()]
+    if names:
+        # Written elsewhere first: a partition is never replaced while it is read.
+        left = cut_lineage(judged.filter(name.isin(names) & ~F.col("__past")).drop("__past"))
+        full = {r[0] for r in left.select(name).distinct().collect()}
+        writer = left.repartitionByRange("obs_date", "observed_us").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("obs_date").parquet(path)
+        for day in set(names) - full:  # nothing is left of it
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/obs_date={day}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        spark.catalog.refreshByPath(path)
+    gone = spark.createDataFrame([(d,) for d in old], "obs_date string").select("obs_date", F.lit("dropped").alias("action"), F.lit(None).cast("long").alias("n"))
+    return gone.unionByName(touched.select("obs_date", F.lit("rewritten").alias("action"), "n"))
+
+
 def licence_gate(reports: DataFrame, sources: DataFrame, use: str, now_us: int, body: str = "text") -> DataFrame:
     """What may be shown for ``use``; text is withheld where it may not.
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text
@@ -23,17 +23,36 @@ def query_terms(query: str, stop_words: Sequence[str] = ()) -> list[str]:
     return [w for w in dict.fromkeys(words) if w not in stop_words]
 
 
+def stop_words(spark: SparkSession, lang: str) -> list[str]:
+    """The stop words of a text configuration (``english``, ``german`` ...), as Spark
+    ships them; none for ``simple`` and for languages it has no list of."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    if lang not in text.TEXT_CONFIG.values():
+        return []
+    return [w.lower() for w in StopWordsRemover.loadDefaultStopWords(lang)]
+
+
 def _count(words: Column, term: str) -> Column:
     return F.size(F.filter(words, lambda w: w == term))
 
 
-def search(reports: DataFrame, query: str, fields: Sequence[str] = ("title", "text"), lang: str | None = None) -> DataFrame:
+def search(
+    reports: DataFrame,
+    query: str,
+    fields: Sequence[str] = ("title", "text"),
+    lang: str | None = None,
+    drop: Sequence[str] = (),
+) -> DataFrame:
     """Reports with every query word, scored by weighted occurrences.
 
     One pass over the text with no shuffle. ``lang`` narrows to one language;
-    words are taken as they stand in every language.
+    words are taken as they stand in every language. The stop words in ``drop`` are
+    no query words; a query that has no other words finds nothing.
     """
-    terms = query_terms(query)
+    terms = query_terms(query, drop)
+    if not terms:
+        return reports.filter(F.lit(False)).withColumn("score", F.lit(0.0))
     rows = reports if lang is None else reports.filter(text.text_config(F.col("lang")) == lang)
     for field in fields:
         rows = computed_once(rows, f"__{field}", text.tokens(F.col(field)))

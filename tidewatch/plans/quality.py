@@ -11,6 +11,8 @@ from tidewatch.plans.catalog import query
 from tidewatch.plans.duck import DAY, J, with_views
 from tidewatch.plans.metrics import NOW
 from tidewatch.plans.tracks import TRACKS
+from tidewatch.session import shared_folder
+from tidewatch.sources import landing
 
 
 def suite(rules: dict[str, str], source: str, id_col: str) -> str:
@@ -431,6 +433,35 @@ def q8_rows(spark, d):
     return kept.groupBy("source_id").agg(F.count("*").alias("n"))
 
 
+@query(
+    "q8_drop_expired",
+    with_views(
+        "obs src",
+        f"""SELECT source_id, count(*) AS n FROM obs LEFT JOIN src USING (source_id)
+      WHERE observed_us // {DAY} >= {TODAY // DAY} - least(40, coalesce(retention_days, 40)) GROUP BY ALL""",
+    ),
+)
+def q8_drop(spark, d):
+    """Day folders go or are written again; what is left is counted."""
+    path = shared_folder(spark)
+    landing.write_observations(b.observations(spark, d).select("source_id", "ref_id", "obs_id", "observed_us"), path, "2024-01-03", "2024-01-25")
+    op.drop_expired(spark, path, b.sources(spark, d), TODAY, 40)
+    return spark.read.parquet(path).groupBy("source_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    "q8_purge_due",
+    f"""SELECT * FROM (SELECT entity_id, purge_us, CASE WHEN purge_us <= {TODAY} THEN 'purge' WHEN personal AND purge_us IS NULL THEN 'undated' END AS verdict
+      FROM (SELECT 'cust:' || c_custkey AS entity_id, true AS personal, CASE WHEN c_nationkey % 5 <> 0 THEN {J} + CAST(c_nationkey AS BIGINT) * {4 * DAY} END AS purge_us FROM customer
+        UNION ALL SELECT 'supp:' || s_suppkey, false, CASE WHEN s_nationkey % 5 <> 0 THEN {J} + CAST(s_nationkey AS BIGINT) * {4 * DAY} END FROM supplier)) WHERE verdict IS NOT NULL""",
+)
+def q8_purge(spark, d):
+    dated = F.when(F.col("nation") % 5 != 0, J + F.col("nation").cast("long") * 4 * DAY)
+    rows = b.entities(spark, d).filter("entity_id LIKE 'cust:%' OR entity_id LIKE 'supp:%'")
+    rows = rows.withColumn("personal", F.col("type") == "person").withColumn("purge_us", dated)
+    return op.purge_due(rows, TODAY, "entity_id")
+
+
 @query(
     "q9_licence_gate",
     with_views(

@@ -70,6 +70,24 @@ def x1(spark, d):
     return silver.unionByName(dead)
 
 
+@query(
+    "x1_ingest_by_block",
+    with_views("obs", """SELECT obs_id // 500 AS block, count(*) AS n FROM obs WHERE k > 2 GROUP BY ALL"""),
+)
+def x1_by_block(spark, d):
+    """Silver laid out by a column that a redelivery repeats, here blocks of ids."""
+
+    def normalize(lines):
+        key, _ = ids.dedupe_key("feed", ["id"])
+        rows = lines.select(F.get_json_object("value", "$.id").cast("long").alias("id")).withColumn("dedupe_key", key)
+        return rows.withColumn("block", F.floor(F.col("id") / 500))
+
+    lines = b.raw_lines(spark, d)
+    again = lines.filter("day_no BETWEEN 13 AND 14 AND k > 2").withColumn("day_no", F.lit(99).cast("long"))
+    folder = feed(spark, lines.unionByName(again), F.when(F.col("day_no") < 15, 0).otherwise(1), lambda s, f: jobs.ingest(s, f, normalize, "block"))
+    return spark.read.parquet(f"{folder}/silver").groupBy(F.col("block").cast("long").alias("block")).agg(F.count("*").alias("n"))
+
+
 @query("x2_dedupe_window", with_views("obs", "SELECT source_id, count(*) AS n FROM obs GROUP BY ALL"))
 def x2(spark, d):
     obs = b.observations(spark, d).select(

@@ -172,6 +172,20 @@ def t1(spark, d):
     return se.search(b.reports(spark, d), "the AND!", lang="english").select("report_id", "score")
 
 
+@query(
+    "t1_search_stop_words",
+    with_views(
+        "rep",
+        f""", t AS (SELECT report_id, lang, {TOKENS.format('title')} AS tt, {TOKENS.format('text')} AS bt FROM rep)
+     SELECT report_id, {_occurs('tt', 'tion')} * 1e0 + {_occurs('bt', 'tion')} * 0.1e0 AS score FROM t
+     WHERE lang = 'en' AND {_occurs('tt', 'tion')} + {_occurs('bt', 'tion')} > 0""",
+    ),
+)
+def t1_stop_words(spark, d):
+    found = se.search(b.reports(spark, d), "The tion of an", lang="english", drop=se.stop_words(spark, "english"))
+    return found.select("report_id", "score")
+
+
 @query(
     "t1_search_many",
     with_views(

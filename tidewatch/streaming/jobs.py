@@ -14,9 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewatch.functions.series import latest_per
 from tidewatch.operators import dedupe, metrics
+from tidewatch.session import cut_lineage
 from tidewatch.sources.envelopes import classify_lines
 from tidewatch.sources.versions import VersionStore
 
@@ -76,11 +78,14 @@ def last_state(spark: SparkSession, folder: str) -> DataFrame:
     return states.join(newest, "batch", "left_semi").drop("batch")
 
 
-def ingest(stream: DataFrame, folder: str, normalize: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+def ingest(stream: DataFrame, folder: str, normalize: Callable[[DataFrame], DataFrame], day: str | None = None) -> StreamingQuery:
     """Land raw, route bad lines, normalise, publish once.
 
-    One bad record goes to the dead letters and never sinks its batch.
+    One bad record goes to the dead letters and never sinks its batch. ``day`` names
+    a column of the normalised rows that a redelivery repeats; silver is then laid
+    out by it, and a batch reads the stored keys of its own days only.
     """
+    place = [] if day is None else [day]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -91,9 +96,14 @@ def ingest(stream: DataFrame, folder: str, normalize: Callable[[DataFrame], Data
         bad.write.mode("overwrite").parquet(f"{folder}/dead/batch={batch_id}")
         good = normalize(kinds.filter(F.col("line_kind") == "message")).dropDuplicates(["dedupe_key"])
         if batch_id > 0 and _exists(spark, f"{folder}/silver/batch={batch_id - 1}"):
-            stored = spark.read.parquet(f"{folder}/silver").filter(F.col("batch") < batch_id)
+            stored = spark.read.schema(StructType([*good.schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/silver").filter(F.col("batch") < batch_id)
+            if day is not None:
+                good = cut_lineage(good)
+                # The batch's days prune the partitions that are read.
+                days = [r[0] for r in good.select(day).distinct().collect()]
+                stored = stored.filter(F.col(day).isin([v for v in days if v is not None]) | F.col(day).isNull())
             good = good.join(stored.select("dedupe_key"), "dedupe_key", "left_anti")
-        good.write.mode("overwrite").parquet(f"{folder}/silver/batch={batch_id}")
+        good.write.mode("overwrite").partitionBy(*place).parquet(f"{folder}/silver/batch={batch_id}")
 
     return run_available(stream, handle, f"{folder}/checkpoint")
 
