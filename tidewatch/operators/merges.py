@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.plan import large
 from tidewatch.operators.similarity import connected_components
 from tidewatch.session import cut_lineage
 
@@ -33,12 +34,12 @@ def apply_decisions(groups: DataFrame, forest: DataFrame, decisions: DataFrame)
     seen = forest.select(F.col("merge_id").alias("decision_id")).unionByName(
         forest.filter("undone_by IS NOT NULL").select(F.col("undone_by").alias("decision_id"))
     )
-    d = d.join(seen.distinct().withColumn("known", F.lit(True)), "decision_id", "left")
+    d = d.join(large(seen.distinct().withColumn("known", F.lit(True))), "decision_id", "left")
     alive = groups.select(F.col("entity_id"), F.lit(True).alias("e_known"))
     merges = (
         d.filter("action = 'merge'")
-        .join(alive, "entity_id", "left")
-        .join(alive.select(F.col("entity_id").alias("into_id"), F.col("e_known").alias("i_known")), "into_id", "left")
+        .join(large(alive), "entity_id", "left")
+        .join(large(alive.select(F.col("entity_id").alias("into_id"), F.col("e_known").alias("i_known"))), "into_id", "left")
         .withColumn("reason", F.when(F.col("known"), "known_decision").when(F.col("e_known").isNull() | F.col("i_known").isNull(), "unknown_entity"))
         .drop("e_known", "i_known")
     )
@@ -51,12 +52,12 @@ def apply_decisions(groups: DataFrame, forest: DataFrame, decisions: DataFrame)
     splits = (
         d.filter("action = 'split'")
         .drop("entity_id", "into_id")
-        .join(stored.select("merge_id", "entity_id", "into_id", "undone_by", F.lit(True).alias("m_known")), "merge_id", "left")
+        .join(large(stored.select("merge_id", "entity_id", "into_id", "undone_by", F.lit(True).alias("m_known"))), "merge_id", "left")
         .withColumn("late", F.col("m_known") & (F.col("merge_id") > F.col("decision_id")))
     )
     first = splits.filter("known IS NULL AND m_known AND undone_by IS NULL AND NOT late").groupBy("merge_id").agg(F.min("decision_id").alias("first"))
     splits = cut_lineage(
-        splits.join(first, "merge_id", "left").withColumn(
+        splits.join(large(first), "merge_id", "left").withColumn(
             "reason",
             F.when(F.col("known"), "known_decision")
             .when(F.col("m_known").isNull() | F.col("late"), "unknown_merge")
@@ -65,19 +66,19 @@ def apply_decisions(groups: DataFrame, forest: DataFrame, decisions: DataFrame)
     )
     undone = splits.filter("reason IS NULL").select("merge_id", F.col("decision_id").alias("now_undone"))
     after = cut_lineage(
-        stored.join(undone, "merge_id", "left").withColumn("undone_by", F.coalesce("undone_by", "now_undone")).drop("now_undone")
+        stored.join(large(undone), "merge_id", "left").withColumn("undone_by", F.coalesce("undone_by", "now_undone")).drop("now_undone")
     )
     told = ["decision_id", "action", "entity_id", "into_id", "at_us", "actor", "reason"]
     log = merges.select(*told).unionByName(splits.select(*told))
     ends = log.filter("reason IS NULL").select(F.explode(F.array("entity_id", "into_id")).alias("entity_id"))
-    groups_hit = groups.join(ends.distinct(), "entity_id", "left_semi").select("canonical_id").distinct()
-    members = cut_lineage(groups.join(groups_hit, "canonical_id", "left_semi").select("entity_id"))
-    edges = after.filter("undone_by IS NULL").join(members, "entity_id", "left_semi")
+    groups_hit = groups.join(large(ends.distinct()), "entity_id", "left_semi").select("canonical_id").distinct()
+    members = cut_lineage(groups.join(large(groups_hit), "canonical_id", "left_semi").select("entity_id"))
+    edges = after.filter("undone_by IS NULL").join(large(members), "entity_id", "left_semi")
     placed = connected_components(edges.select(F.col("entity_id").alias("a"), F.col("into_id").alias("b")))
-    again = members.join(placed.withColumnRenamed("node", "entity_id"), "entity_id", "left").select(
+    again = members.join(large(placed.withColumnRenamed("node", "entity_id")), "entity_id", "left").select(
         "entity_id", F.coalesce("component", "entity_id").alias("canonical_id")
     )
-    rest = groups.join(groups_hit, "canonical_id", "left_anti").select("entity_id", "canonical_id")
+    rest = groups.join(large(groups_hit), "canonical_id", "left_anti").select("entity_id", "canonical_id")
     now = cut_lineage(rest.unionByName(again))
 
     def named(table: DataFrame, end: str, out: str) -> DataFrame:
@@ -85,8 +86,8 @@ def apply_decisions(groups: DataFrame, forest: DataFrame, decisions: DataFrame)
 
     audit = log.withColumn("applied", F.col("reason").isNull())
     for table, when in ((groups, "before"), (now, "after")):
-        audit = audit.join(named(table, "entity_id", f"canonical_{when}"), "entity_id", "left")
-        audit = audit.join(named(table, "into_id", f"into_canonical_{when}"), "into_id", "left")
+        audit = audit.join(large(named(table, "entity_id", f"canonical_{when}")), "entity_id", "left")
+        audit = audit.join(large(named(table, "into_id", f"into_canonical_{when}")), "into_id", "left")
     return now, after, audit
 
 
@@ -97,7 +98,7 @@ def reunite_identifiers(identifiers: DataFrame, groups: DataFrame) -> DataFrame:
     so a split hands them back.
     """
     return (
-        identifiers.join(groups.select("entity_id", "canonical_id"), "entity_id")
+        identifiers.join(large(groups.select("entity_id", "canonical_id")), "entity_id")
         .groupBy("canonical_id", "id_type", "id_value")
         .agg(F.array_sort(F.collect_set("entity_id")).alias("origins"))
     )
