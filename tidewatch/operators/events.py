@@ -105,13 +105,13 @@ def correlate_spacetime(events: DataFrame, window_us: int, km: float) -> DataFra
         events.groupBy("lon", "lat", F.col("occurred_us").alias("at_us"))
         .agg(F.count("*").alias("n"), F.min("event_id").alias("site"))
     )
-    pairs = nearby(sites, sites.withColumnRenamed("site", "site_b"), km, window_us, "site", "site_b")
-    sizes = sites.select("site", "n")
+    here = sites.withColumnRenamed("n", "n_a")
+    there = sites.withColumnsRenamed({"site": "site_b", "n": "n_b"})
+    # The counts come with the sites: no pair is shuffled.
+    pairs = nearby(here, there, km, window_us, "site", "site_b", ["n_a"], ["n_b"])
     strength = (1 - F.abs("lag_s") * 1_000_000 / window_us) * (1 - F.col("distance_m") / (km * 1000.0))
     return (
         pairs.filter(F.col("site") <= F.col("site_b"))
-        .join(sizes.withColumnRenamed("n", "n_a"), "site")
-        .join(sizes.select(F.col("site").alias("site_b"), F.col("n").alias("n_b")), "site_b")
         .withColumn(
             "event_pairs",
             F.when(F.col("site") == F.col("site_b"), F.col("n_a") * (F.col("n_a") - 1) / 2)
