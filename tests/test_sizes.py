@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import events
+from tidewatch.functions.series import Series
+from tidewatch.operators import events, movement
 
 DAY = 86_400_000_000
 
@@ -37,3 +38,53 @@ def test_site_pairs_are_not_joined_again(spark):
                 if n:
                     want[min(own), min(other)] = n
     assert {(r.site_a, r.site_b): r.event_pairs for r in found.collect()} == want
+
+
+def walkers(seed, entities, buckets):
+    """Slow walks over cell borders; some rows missing."""
+    rnd = random.Random(seed)
+    rows = []
+    for e in range(entities):
+        lon, lat = rnd.choice([0.2, 0.3, 179.95]) + rnd.uniform(-0.05, 0.05), 50.0 + rnd.uniform(-0.05, 0.05)
+        for t in range(buckets):
+            lon, lat = lon + rnd.uniform(-0.02, 0.02), lat + rnd.uniform(-0.02, 0.02)
+            if rnd.random() < 0.97:
+                rows.append((f"e{e}", len(rows), t * 1000 + rnd.randrange(1000), (lon + 180) % 360 - 180, lat))
+    return rows
+
+
+OBS = "ref_id string, obs_id long, observed_us long, lon double, lat double"
+
+
+def test_meetings_over_cells_and_pieces(spark):
+    rows = walkers(3, 12, 150)
+    spots = {(r[0], r[2] // 1000): r[3:] for r in rows}
+    want = set()
+    for a in {r[0] for r in rows}:
+        for b in {r[0] for r in rows if r[0] > a}:
+            run = []
+            for t in range(151):
+                here = (a, t) in spots and (b, t) in spots and metres(spots[a, t], spots[b, t]) <= 9_000
+                run = run + [t] if here else run
+                if not here:
+                    if len(run) >= 2:
+                        want.add((a, b, run[0] * 1000, (run[-1] + 1) * 1000, round(min(metres(spots[a, u], spots[b, u]) for u in run), 3)))
+                    run = []
+    found = movement.rendezvous(spark.createDataFrame(rows, OBS), 9_000.0, 1000, 2)
+    assert {(r.from_ref, r.to_ref, r.from_us, r.to_us, round(r.closest_m, 3)) for r in found.collect()} == want
+    assert len(want) > 50 and max(w[3] - w[2] for w in want) >= 15_000
+
+
+def test_meetings_are_not_shuffled_by_bucket(spark, monkeypatch):
+    rows = [(f"e{e}", 500 * e + t, t * 1000, 10.01, 50.01) for e in range(2) for t in range(500)]
+    seen, add = [], Series.add
+
+    def counted(self, df, *parts):
+        if list(self.key) == ["a", "b"]:
+            seen.append(df.count())
+        return add(self, df, *parts)
+
+    monkeypatch.setattr(Series, "add", counted)
+    got = movement.rendezvous(spark.createDataFrame(rows, OBS), 9_000.0, 1000, 2).collect()
+    assert [(r.buckets, r.from_us, r.to_us) for r in got] == [(500, 0, 500_000)]
+    assert seen and max(seen) < 20
