@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidewatch.functions.series import Series
-from tidewatch.operators import events, movement
+from tidewatch.operators import bitemporal, events, movement
 
 DAY = 86_400_000_000
 
@@ -88,3 +88,26 @@ def test_meetings_are_not_shuffled_by_bucket(spark, monkeypatch):
     got = movement.rendezvous(spark.createDataFrame(rows, OBS), 9_000.0, 1000, 2).collect()
     assert [(r.buckets, r.from_us, r.to_us) for r in got] == [(500, 0, 500_000)]
     assert seen and max(seen) < 20
+
+
+def test_series_cuts_busy_keys_only(spark):
+    rnd = random.Random(6)
+    rows = [("hot" if rnd.random() < 0.4 else f"k{rnd.randrange(30)}", rnd.randrange(5000), i, rnd.choice([None, i])) for i in range(600)]
+    df = spark.createDataFrame([*rows, (None, 5, 601, 1), (None, 6, 602, None)], "key string, t long, id long, v long")
+    got = []
+    for busy in (0, 30, 10_000):
+        s = Series(["key"], ["t", "id"], F.floor(F.col("t") / 700).cast("long"), busy)
+        parts = [s.previous(["id"], "p"), s.next(["id"], "n"), s.row_number("no"), s.last_known(F.col("v"), "known")]
+        out = s.add(df.filter("key IS NOT NULL") if busy == 0 else df, *parts)
+        got.append({r.id: (r.p and r.p.id, r.n and r.n.id, r.no, r.known) for r in out.collect()})
+    assert got[1] == got[2] and {k: v for k, v in got[1].items() if k < 600} == got[0]
+    assert got[2][602] == (601, None, 2, 1)
+
+
+def test_versions_take_one_shuffle(spark):
+    """Two steps by one key, and the count by it, after one exchange."""
+    rows = [(i % 40, i * DAY, f"s{i % 3}") for i in range(200)]
+    versions = bitemporal.build_versions(spark.createDataFrame(rows, "object_id long, changed_us long, status string"), "object_id", "changed_us")
+    audit = bitemporal.audit_versions(versions, "object_id")
+    assert audit._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert [(r.versions, r.gaps, r.overlaps, r.open_ends, r.empty) for r in audit.collect()] == [(5, 0, 0, 1, 0)] * 40
