@@ -1,12 +1,13 @@
 """Steps that grow with the input: what they shuffle, and the same results."""
 
+import hashlib
 import math
 import random
 
 from pyspark.sql import functions as F
 
 from tidewatch.functions.series import Series
-from tidewatch.operators import bitemporal, events, movement
+from tidewatch.operators import bitemporal, dedupe, events, movement
 
 DAY = 86_400_000_000
 
@@ -111,3 +112,18 @@ def test_versions_take_one_shuffle(spark):
     audit = bitemporal.audit_versions(versions, "object_id")
     assert audit._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert [(r.versions, r.gaps, r.overlaps, r.open_ends, r.empty) for r in audit.collect()] == [(5, 0, 0, 1, 0)] * 40
+
+
+def test_simhash_shuffles_sums_not_words(spark):
+    rows = [(1, "a b b c c c"), (2, "c c c b b a"), (3, "x"), (4, "")]
+    found = dedupe.simhash(spark.createDataFrame(rows, "report_id long, text string"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+    def want(words):
+        votes = [0] * 64
+        for w in words:
+            bits = int(hashlib.md5(w.encode()).hexdigest()[:16], 16)
+            votes = [v + (1 if bits >> i & 1 else -1) for i, v in enumerate(votes)]
+        return sum(1 << i for i, v in enumerate(votes) if v > 0)
+
+    assert {r.report_id: r.hi << 32 | r.lo for r in found.collect()} == {i: want(t.split()) for i, t in rows if t}
