@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.series import Series
 from tidewatch.operators import bitemporal, dedupe, events, movement
+from tidewatch.session import shared_folder
+from tidewatch.streaming import jobs
 
 DAY = 86_400_000_000
 
@@ -127,3 +129,23 @@ def test_simhash_shuffles_sums_not_words(spark):
         return sum(1 << i for i, v in enumerate(votes) if v > 0)
 
     assert {r.report_id: r.hi << 32 | r.lo for r in found.collect()} == {i: want(t.split()) for i, t in rows if t}
+
+
+def test_ingest_writes_few_files_per_day(spark):
+    folder = shared_folder(spark)
+    lines = spark.range(0, 4000, numPartitions=4).select(F.format_string('{"id":%d}', "id").alias("value"))
+    lines.write.parquet(f"{folder}/in")
+
+    def normalize(rows):
+        found = rows.select(F.get_json_object("value", "$.id").cast("long").alias("id"))
+        return found.select("id", F.sha2(F.col("id").cast("string"), 256).alias("dedupe_key"), F.floor(F.col("id") / 100).alias("block"))
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        jobs.ingest(jobs.open_stream(spark, f"{folder}/in", lines.schema), folder, normalize, "block")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    silver = spark.read.parquet(f"{folder}/silver")
+    assert silver.count() == 4000 and silver.select("block").distinct().count() == 40
+    # A file per day, and one more for each border between tasks; each of 4 tasks had one of every day.
+    assert len(silver.inputFiles()) <= 44

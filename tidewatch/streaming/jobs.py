@@ -95,14 +95,18 @@ def ingest(stream: DataFrame, folder: str, normalize: Callable[[DataFrame], Data
         bad = kinds.filter(F.col("line_kind") != "message")
         bad.write.mode("overwrite").parquet(f"{folder}/dead/batch={batch_id}")
         good = normalize(kinds.filter(F.col("line_kind") == "message")).dropDuplicates(["dedupe_key"])
+        if day is not None:
+            good = cut_lineage(good)
         if batch_id > 0 and _exists(spark, f"{folder}/silver/batch={batch_id - 1}"):
             stored = spark.read.schema(StructType([*good.schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/silver").filter(F.col("batch") < batch_id)
             if day is not None:
-                good = cut_lineage(good)
                 # The batch's days prune the partitions that are read.
                 days = [r[0] for r in good.select(day).distinct().collect()]
                 stored = stored.filter(F.col(day).isin([v for v in days if v is not None]) | F.col(day).isNull())
             good = good.join(stored.select("dedupe_key"), "dedupe_key", "left_anti")
+        if day is not None:
+            # A day is written by as few tasks as its rows need: else each task has a file of every day.
+            good = good.repartitionByRange(day, "dedupe_key")
         good.write.mode("overwrite").partitionBy(*place).parquet(f"{folder}/silver/batch={batch_id}")
 
     return run_available(stream, handle, f"{folder}/checkpoint")
