@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidewatch.functions.series import Series
@@ -149,3 +150,55 @@ def test_ingest_writes_few_files_per_day(spark):
     assert silver.count() == 4000 and silver.select("block").distinct().count() == 40
     # A file per day, and one more for each border between tasks; each of 4 tasks had one of every day.
     assert len(silver.inputFiles()) <= 44
+
+
+def test_near_copies_are_compared_in_blocks(spark, monkeypatch):
+    # Many near copies of one text, each with changes of its own: sets are sent per block, not per pair.
+    monkeypatch.setattr(dedupe, "BLOCK_SETS", 8)
+    rnd = random.Random(11)
+    base = [rnd.randrange(1 << 59) for _ in range(60)]
+    sets = [(i, rnd.sample(base, 55) + [1000 + i]) for i in range(40)] + [(100 + i, rnd.sample(base, 30)) for i in range(20)]
+    df = spark.createDataFrame(sets, "id long, items array<long>")
+    alike = {(a, b): len(set(x) & set(y)) / len(set(x) | set(y)) for a, x in sets for b, y in sets if a < b}
+    want = {k: v for k, v in alike.items() if v >= 0.6}
+    got = dedupe.near_dupes_exact(df, 0.6)
+    assert {(r.a, r.b): r.similarity for r in got.collect()} == want
+    # Neither the whole items nor the classes are joined to pairs.
+    plan = logical(got)
+    assert "FlatMapCoGroups" in plan and "items" not in plan
+
+
+def test_text_sets_travel_as_one_string_and_keep_their_hashes(spark):
+    texts = [(1, "One two, three four five six"), (2, "one TWO three four five SIX!"), (3, "a b"), (4, "..."), (5, None), (6, "x " * 3000 + "ä ö ß 9")]
+    df = spark.createDataFrame(texts, "report_id long, text string")
+    assert "items" not in dedupe.fold_copies(df).columns
+    got = {r.id: (r.members, set(r["items"])) for r in dedupe.content_sets(df).collect()}
+
+    def runs(words):
+        return {int(hashlib.md5(" ".join(words[i : i + 5]).encode()).hexdigest()[:15], 16) for i in range(max(1, len(words) - 4))}
+
+    assert got == {
+        1: (2, runs("one two three four five six".split())),
+        3: (1, runs(["a", "b"])),
+        4: (1, set()),
+        5: (1, set()),
+        6: (1, runs(["x"] * 3000 + ["ä", "ö", "ß", "9"])),
+    }
+
+
+def test_minhash_over_slices(spark, monkeypatch):
+    rnd = random.Random(12)
+    sets = [(i, [rnd.randrange(1 << 60) for _ in range(rnd.choice([1, 2, 30, 200]))]) for i in range(60)] + [(99, [])]
+    values = [x for _, s in sets for x in s]
+    out = {}
+    for size in (7, 1 << 20):
+        step = dedupe._least_permuted([dedupe.permutation(i) for i in range(3)])
+        monkeypatch.setattr(dedupe, "SLICE_ITEMS", size)
+        batch = pa.RecordBatch.from_arrays([pa.array([i for i, s in sets if s]), pa.array([s for _, s in sets if s])], names=["id", "items"])
+        out[size] = {i: m for b in step([batch]) for i, m in zip(b["id"].to_pylist(), b["least"].to_pylist())}
+    assert values and out[7] == out[1 << 20]
+    for i, s in sets:
+        if s:
+            assert out[7][i] == [min((x % dedupe.PRIME * a + c) % dedupe.PRIME for x in s) for a, c in map(dedupe.permutation, range(3))]
+    found = dedupe.minhash_bands(spark.createDataFrame(sets, "id long, items array<long>"))
+    assert {r.id for r in found.collect()} == {i for i, s in sets if s} and "Generate explode(items" not in logical(found)
