@@ -4,11 +4,12 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidewatch.functions.series import Series
-from tidewatch.operators import bitemporal, dedupe, events, movement
+from tidewatch.operators import bitemporal, dedupe, events, mentions, movement, vector_index
 from tidewatch.session import shared_folder
 from tidewatch.streaming import jobs
 
@@ -202,3 +203,29 @@ def test_minhash_over_slices(spark, monkeypatch):
             assert out[7][i] == [min((x % dedupe.PRIME * a + c) % dedupe.PRIME for x in s) for a, c in map(dedupe.permutation, range(3))]
     found = dedupe.minhash_bands(spark.createDataFrame(sets, "id long, items array<long>"))
     assert {r.id for r in found.collect()} == {i for i, s in sets if s} and "Generate explode(items" not in logical(found)
+
+
+def test_probes_are_handed_on_in_bounded_batches():
+    rnd = np.random.default_rng(5)
+    vectors, centroids = rnd.normal(size=(300, 8)), vector_index._unit(rnd.normal(size=(100, 8)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(vectors.tolist(), pa.list_(pa.float64()))], names=["id", "embedding"])
+    for probes in (1, 7, 100):
+        out = list(vector_index._nearest_batches(centroids, probes, "id", [batch]))
+        assert max(b.num_rows for b in out) <= vector_index.BLOCK_ROWS
+        got = {}
+        for b in out:
+            for no, i in zip(b["list_no"].to_pylist(), b["id"].to_pylist()):
+                got.setdefault(i, set()).add(no)
+        best = np.argsort(-(vector_index._unit(vectors) @ centroids.T), axis=1)[:, :probes]
+        assert got == {i: set(row.tolist()) for i, row in enumerate(best)}
+
+
+def test_mentions_are_handed_on_in_bounded_batches():
+    automaton = mentions.Automaton([("red", "sea"), ("sea",)])
+    texts = ["Red sea, " * 9000, "no", "the sea"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], names=["report_id", "text"])
+    out = list(mentions.mention_batches(automaton, [batch]))
+    assert max(b.num_rows for b in out) <= mentions.OUT_ROWS and sum(b.num_rows for b in out) == 18_001
+    rows = [r for b in out for r in b.to_pylist()]
+    assert rows[-1] == {"report_id": 3, "phrase": "sea", "mention_no": 1, "char_start": 4, "char_end": 7}
+    assert max(r["mention_no"] for r in rows if r["phrase"] == "red sea") == 9000

@@ -9,6 +9,7 @@ are read once for any number of queries.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,8 @@ from tidewatch.session import cut_lineage
 #: Rows the centroids are fitted on, most lists, and rows of a block.
 SAMPLE_ROWS, MOST_LISTS, ROUNDS = 20_000, 4096, 12
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
+#: Similarities that a task holds at once when it looks for the nearest lists or ranks a block.
+SIMILARITIES = 1 << 20
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -59,24 +62,28 @@ def fit_centroids(vectors: DataFrame, n_lists: int, id_col: str = "vec_id", samp
     return centroids
 
 
-def _nearest(centroids: np.ndarray, probes: int, id_name: str, kind: str, df: DataFrame) -> DataFrame:
-    """Each row with its ``probes`` nearest lists."""
-    shared = df.sparkSession.sparkContext.broadcast(centroids)
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sims = _matrix(batch.column("embedding")) @ shared.value.T
-            n = sims.shape[1]
-            near = np.argpartition(-sims, min(probes, n) - 1, axis=1)[:, : min(probes, n)] if probes < n else np.tile(np.arange(n), (len(sims), 1))
-            where = pa.array(np.repeat(np.arange(len(sims)), near.shape[1]))
+def _nearest_batches(centroids: np.ndarray, probes: int, id_name: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows are taken by what they grow into: a similarity per list, and a copy per probe."""
+    n = len(centroids)
+    probes = min(probes, n)
+    step = max(1, min(BLOCK_ROWS // probes, SIMILARITIES // n))
+    for whole in batches:
+        for at in range(0, whole.num_rows, step):
+            batch = whole.slice(at, step)
+            sims = _matrix(batch.column("embedding")) @ centroids.T
+            near = np.argpartition(-sims, probes - 1, axis=1)[:, :probes] if probes < n else np.tile(np.arange(n), (len(sims), 1))
+            where = pa.array(np.repeat(np.arange(len(sims)), probes))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(near.ravel(), pa.int32()), batch.column(id_name).take(where), batch.column("embedding").take(where)],
                 names=["list_no", id_name, "embedding"],
             )
 
-    return df.mapInArrow(run, f"list_no int, {id_name} {kind}, embedding array<double>")
+
+def _nearest(centroids: np.ndarray, probes: int, id_name: str, kind: str, df: DataFrame) -> DataFrame:
+    """Each row with its ``probes`` nearest lists."""
+    shared = df.sparkSession.sparkContext.broadcast(centroids)
+
+    return df.mapInArrow(lambda batches: _nearest_batches(shared.value, probes, id_name, batches), f"list_no int, {id_name} {kind}, embedding array<double>")
 
 
 def build_index(vectors: DataFrame, n_lists: int | None = None, id_col: str = "vec_id", sample_rows: int = SAMPLE_ROWS) -> VectorIndex:
@@ -123,14 +130,16 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int, probes: int | N
         ids, names = vectors.column("id").combine_chunks(), wanted.column("query_id").combine_chunks()
         picked, asking, sims_ = [], [], []
         if len(ids) and len(names):
-            sims = _matrix(wanted.column("embedding").combine_chunks()) @ _matrix(vectors.column("embedding").combine_chunks()).T
-            for q in range(len(sims)):
-                # All that could be among the best, ties included.
-                least = np.partition(sims[q], -k)[-k] if sims.shape[1] > k else -np.inf
-                at = np.flatnonzero(sims[q] >= least - 1e-12)
-                picked.append(at)
-                asking.append(np.full(len(at), q))
-                sims_.append(sims[q][at])
+            held, asked_ = _matrix(vectors.column("embedding").combine_chunks()).T, _matrix(wanted.column("embedding").combine_chunks())
+            step = max(1, SIMILARITIES // len(ids))
+            for first in range(0, len(asked_), step):
+                for q, sims in enumerate(asked_[first : first + step] @ held, first):
+                    # All that could be among the best, ties included.
+                    least = np.partition(sims, -k)[-k] if len(sims) > k else -np.inf
+                    at = np.flatnonzero(sims >= least - 1e-12)
+                    picked.append(at)
+                    asking.append(np.full(len(at), q))
+                    sims_.append(sims[at])
         flat = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, dtype=t)
         return pa.table(
             [names.take(pa.array(flat(asking, np.int64))), ids.take(pa.array(flat(picked, np.int64))), pa.array(flat(sims_, np.float64))],
