@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Words of names in one automaton; a larger dictionary takes several.
 PART_WORDS = 500_000
+#: Mentions that a task holds before it hands them on.
+OUT_ROWS = 8_192
 #: Runs of letters and digits.
 _WORD = re.compile(r"[^\W_]+")
 
@@ -70,6 +72,40 @@ class Automaton:
                 end = self.shorter[end]
 
 
+def mentions_in(automaton: Automaton, text: str) -> Iterator[tuple[str, int, int, int]]:
+    """``(name, mention_no, char_start, char_end)`` of each mention in one text."""
+    spans, said = [], []
+    for m in _WORD.finditer(text):
+        spans.append(m.span())
+        said.append(m.group().lower())
+    seen: dict[str, int] = {}
+    for first, last, name in automaton.walk(said):
+        seen[name] = seen.get(name, 0) + 1
+        yield name, seen[name], spans[first][0], spans[last][1]
+
+
+def mention_batches(automaton: Automaton, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mentions in all texts, ``OUT_ROWS`` at a time: what a task holds does not grow with them."""
+    for batch in batches:
+        kinds = [batch.schema.field("report_id").type, pa.string(), pa.int32(), pa.int32(), pa.int32()]
+
+        def table(rows):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
+                names=["report_id", "phrase", "mention_no", "char_start", "char_end"],
+            )
+
+        out = []
+        for rid, body in zip(batch.column("report_id"), batch.column("text")):
+            for found in mentions_in(automaton, body.as_py()):
+                out.append((rid.as_py(), *found))
+                if len(out) == OUT_ROWS:
+                    yield table(out)
+                    out = []
+        if out:
+            yield table(out)
+
+
 def phrases(names: DataFrame) -> DataFrame:
     """``names`` with ``phrase``: the words of the name as the walk compares them."""
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in names.schema] + ["phrase string"])
@@ -100,32 +136,7 @@ def find_mentions(reports: DataFrame, names: DataFrame, part_words: int = PART_W
     kind = reports.schema["report_id"].dataType.simpleString()
 
     def search(shared):
-        def run(batches):
-            automaton = shared.value
-            for batch in batches:
-                ids, texts_ = batch.column("report_id").to_pylist(), batch.column("text").to_pylist()
-                out = []
-                for rid, body in zip(ids, texts_):
-                    spans, said = [], []
-                    for m in _WORD.finditer(body):
-                        spans.append(m.span())
-                        said.append(m.group().lower())
-                    seen: dict[str, int] = {}
-                    for first, last, name in automaton.walk(said):
-                        seen[name] = seen.get(name, 0) + 1
-                        out.append((rid, name, seen[name], spans[first][0], spans[last][1]))
-                if out:
-                    columns = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(columns[0], batch.schema.field("report_id").type),
-                            pa.array(columns[1], pa.string()),
-                            *[pa.array(c, pa.int32()) for c in columns[2:]],
-                        ],
-                        names=["report_id", "phrase", "mention_no", "char_start", "char_end"],
-                    )
-
-        return run
+        return lambda batches: mention_batches(shared.value, batches)
 
     found = None
     for i in range(parts):
