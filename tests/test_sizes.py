@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidewatch.functions.series import Series
-from tidewatch.operators import bitemporal, dedupe, events, mentions, movement, vector_index
+from tidewatch.operators import bitemporal, canonical, dedupe, events, mentions, movement, vector_index
 from tidewatch.session import shared_folder
+from tidewatch.sources import envelopes
 from tidewatch.streaming import jobs
 
 DAY = 86_400_000_000
@@ -229,3 +230,11 @@ def test_mentions_are_handed_on_in_bounded_batches():
     rows = [r for b in out for r in b.to_pylist()]
     assert rows[-1] == {"report_id": 3, "phrase": "sea", "mention_no": 1, "char_start": 4, "char_end": 7}
     assert max(r["mention_no"] for r in rows if r["phrase"] == "red sea") == 9000
+
+
+def test_ids_nobody_reads_are_not_hashed(spark, tmp_path):
+    spark.createDataFrame([('{"MessageType": "PositionReport"}', 1)], "value string, fetched_us long").write.parquet(str(tmp_path / "lines"))
+    good, _ = envelopes.read_envelopes(spark.read.parquet(str(tmp_path / "lines")))
+    parsed = envelopes.parse_envelopes(good)
+    for rows in (canonical.ais_observations(parsed), canonical.ais_entities(parsed)):
+        assert "sha2" not in logical(rows.agg(F.count("*"))) and logical(rows).count("sha2(") <= 2

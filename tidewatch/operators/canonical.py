@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import ais, geo, ids
-from tidewatch.functions.plan import computed_once
 from tidewatch.model import labels
 
 SOURCE_ID = "ais-feed"
@@ -150,8 +149,8 @@ def ais_observations(parsed: DataFrame, max_skew_s: float = 300.0) -> DataFrame:
             "cog": F.col("cog_deg"),
         },
     )
-    # Part of the row and of its key: hashed once.
-    facts = computed_once(facts, "obs_id", ids.deterministic_ulid(effective, seed))
+    # Part of the row and of its key: Spark keeps a costly column that is used twice, and drops an unused one.
+    facts = facts.withColumn("obs_id", ids.deterministic_ulid(effective, seed))
     placed = F.col("lat").isNotNull()
     flags = F.array_compact(
         F.array(
@@ -283,7 +282,7 @@ def ais_entities(parsed: DataFrame, max_skew_s: float = 300.0) -> DataFrame:
         },
     )
     entity_id = ids.deterministic_ulid(F.coalesce("observed_us", "fetched_us"), seed)
-    facts = computed_once(facts, "entity_id", entity_id)
+    facts = facts.withColumn("entity_id", entity_id)
 
     def identifier(scheme: str, value: Column, stability: str, primary: Column) -> Column:
         return F.when(
