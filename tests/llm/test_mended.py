@@ -113,3 +113,35 @@ def test_turn_numbers_that_repeat_are_counted_as_pairs(spark):
     rows = [("c", 0, "user", "a")] * 3 + [("c", 1, "assistant", "b")] * 2
     model = chat.fit(spark.createDataFrame(rows, "id string, turn long, role string, text string"))
     assert np.exp(model.follow)[1] == pytest.approx([1 / 9, 1 / 9, 7 / 9])
+
+
+def test_texts_that_stay_are_not_shuffled(spark, tmp_path):
+    """Three copies of each of 20 texts among 400 others: only candidates' texts meet by shuffle."""
+    rnd = np.random.default_rng(11)
+    rows = [(i, " ".join(f"{w:x}" for w in rnd.integers(1 << 60, 1 << 62, 300))) for i in range(420)]
+    rows += [(1000 + i, rows[i % 20][1]) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    sc, size = spark.sparkContext, sum(len(t) for _, t in rows)
+
+    def shuffled():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before, threshold = shuffled(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = near_dups.keep_one(spark.read.parquet(f"{tmp_path}/docs")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted(map(tuple, left)) == rows[:420]
+    assert shuffled() - before < size
+
+
+@pytest.mark.parametrize("most", [1 << 18, 8])
+def test_a_full_filter_still_lets_every_id_pass(spark, most):
+    ids = spark.range(0, 3000, 3).withColumnRenamed("id", "doc_id")
+    rows = spark.range(6000).withColumnRenamed("id", "doc_id")
+    passed = {r.doc_id for r in rows.filter(near_dups._may_be_among(ids, "doc_id", most)).collect()}
+    assert passed >= set(range(0, 3000, 3)) and len(passed) < (1200 if most > 8 else 6001)
+    assert rows.filter(near_dups._may_be_among(ids.limit(0), "doc_id", most)).count() == 0

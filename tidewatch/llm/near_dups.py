@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import blocks
+from tidewatch.llm.collocations import FILTER_BITS, make_filter
 from tidewatch.session import cut_lineage
 
 BANDS = 28
@@ -155,6 +156,23 @@ def _alike(percent: int):
     return total <= most
 
 
+def _may_be_among(ids: DataFrame, column: str, most: int = FILTER_BITS):
+    """Condition on ``column``: true for all values in ``ids`` and for few others.
+
+    Rows that fail it need not be shuffled with their texts to be joined with
+    ``ids``. The filter takes 16 bits an id, up to ``most``; when that is too few, more
+    rows pass, and the join that follows decides.
+    """
+    bits = min(most, max(1 << 18, 1 << (16 * ids.count()).bit_length()))
+    seen = make_filter(ids.select(F.xxhash64(column).alias("mark")), bits)
+
+    @F.arrow_udf("boolean")
+    def among(marks: pa.Array) -> pa.Array:
+        return pa.array(seen.may_hold(marks.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    return among(F.xxhash64(column))
+
+
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b, shared, total``: overlap and sizes of the full sets."""
     full = sets.select("rep", "shingles")
@@ -195,7 +213,8 @@ def group_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     shared = entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
     buckets = cut_lineage(entries.join(shared, "key"))
     wanted = buckets.select(F.col("rep").alias("doc_id"), "set_a", "set_b").distinct()
-    near = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    candidates = cut_lineage(wanted.select("doc_id").distinct())
+    near = docs.filter(_may_be_among(candidates, "doc_id")).join(candidates, "doc_id", "left_semi")
     sets = cut_lineage(
         _described(near, words, full=True)
         .join(wanted, ["doc_id", "set_a", "set_b"], "left_semi")
@@ -298,10 +317,14 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         .agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low <> high").select("doc_id", F.lit(True).alias("__shared"))
     )
     own = F.when(F.col("doc_id").isNull() | F.col("__shared"), F.shiftrightunsigned(row, 2) + F.lit(1 << 62)).otherwise(F.col("doc_id").cast("long"))
-    named = docs.join(shared, "doc_id", "left").withColumn("__node", own)
+    # Mostly no id is on several texts: then texts are not shuffled to learn that.
+    marked = docs.withColumn("__shared", F.lit(False)) if shared.isEmpty() else docs.join(shared, "doc_id", "left")
+    named = marked.withColumn("__node", own)
     decided = cut_lineage(group_near_duplicates(named.select(F.col("__node").alias("doc_id"), "text"), words, percent))
-    gone = decided.filter(~F.col("kept")).select(F.col("doc_id").alias("__node")).distinct()
-    left = named.join(gone, "__node", "left_anti").select("__node", *docs.columns)
+    gone = cut_lineage(decided.filter(~F.col("kept")).select(F.col("doc_id").alias("__node")).distinct())
+    # Rows that surely stay are not shuffled.
+    may_go = _may_be_among(gone, "__node")
+    left = named.filter(~may_go).unionByName(named.filter(may_go).join(gone, "__node", "left_anti")).select("__node", *docs.columns)
     twice = cut_lineage(
         decided.filter("kept AND n_shingles > 0").groupBy(F.col("doc_id").alias("__node")).agg(F.count("*").alias("n")).filter("n > 1").select("__node")
     )
