@@ -238,3 +238,22 @@ def test_ids_nobody_reads_are_not_hashed(spark, tmp_path):
     parsed = envelopes.parse_envelopes(good)
     for rows in (canonical.ais_observations(parsed), canonical.ais_entities(parsed)):
         assert "sha2" not in logical(rows.agg(F.count("*"))) and logical(rows).count("sha2(") <= 2
+
+
+def test_groups_of_shared_entities_are_made_once(spark):
+    rnd = random.Random(21)
+    sets = {e: frozenset(rnd.sample(["all", *(f"r{i}" for i in range(14))], rnd.randrange(1, 6))) for e in range(160)}
+    rows = [(e, r, "actor") for e, s in sets.items() for r in s]
+    found = events.correlate_shared(spark.createDataFrame(rows, "event_id long, ref_id string, role string"), 0.6)
+    # Neither the sets nor their order by rarity are computed again for the other side.
+    assert "collect" not in logical(found)
+    groups = {}
+    for e, s in sets.items():
+        groups.setdefault(s, []).append(e)
+    want = {(min(g), min(g), len(s), 1.0, len(g) * (len(g) - 1) // 2) for s, g in groups.items() if len(g) > 1}
+    for s, g in groups.items():
+        for t, h in groups.items():
+            if min(g) < min(h) and len(s & t) / len(s | t) >= 0.6:
+                want.add((min(g), min(h), len(s & t), round(len(s & t) / len(s | t), 9), len(g) * len(h)))
+    got = [(r.id_a, r.id_b, r.shared, round(r.similarity, 9), r.event_pairs) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)

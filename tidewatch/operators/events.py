@@ -133,7 +133,8 @@ def correlate_shared(event_entities: DataFrame, min_similarity: float) -> DataFr
     unless it is all an event has.
     """
     sets = event_entities.groupBy("event_id").agg(F.array_sort(F.collect_set("ref_id")).alias("items"))
-    groups = sets.groupBy("items").agg(F.min("event_id").alias("id"), F.count("*").alias("n"))
+    # Written: the comparison and the result read the groups six times.
+    groups = cut_lineage(sets.groupBy("items").agg(F.min("event_id").alias("id"), F.count("*").alias("n")))
     sizes = groups.select("id", "n", "items")
     across = similar_sets(groups, None, min_similarity)
     a = sizes.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("items").alias("items_a"))
