@@ -85,3 +85,18 @@ def test_a_join_stays_where_few_sets_meet(spark):
     found = similar_sets(sets, sets.select((F.col("id") + 10_000).alias("id"), "items"), 0.9)
     assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 3000
+
+
+@pytest.mark.parametrize("cost", [0, 1e9])
+def test_sets_of_two_tables_are_made_once(spark, monkeypatch, cost):
+    monkeypatch.setattr(set_blocks, "MEETING_COST", cost)
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<int>")
+    def items(i):
+        made.add(1)
+        return [i % 7, 7 + i % 5, 12]
+
+    left, right = (spark.range(lo, lo + 40).select("id", items("id").alias("items")) for lo in (0, 100))
+    assert len(similar_sets(left, right, 0.9).collect()) == sum((i - j) % 35 == 0 for i in range(40) for j in range(100, 140))
+    assert made.value == 80
