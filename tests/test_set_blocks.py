@@ -100,3 +100,20 @@ def test_sets_of_two_tables_are_made_once(spark, monkeypatch, cost):
     left, right = (spark.range(lo, lo + 40).select("id", items("id").alias("items")) for lo in (0, 100))
     assert len(similar_sets(left, right, 0.9).collect()) == sum((i - j) % 35 == 0 for i in range(40) for j in range(100, 140))
     assert made.value == 80
+
+
+def test_screened_names_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(set_blocks, "MEETING_COST", 1e9)
+    names = spark.range(400).select(F.format_string("e%d", "id").alias("entity_id"), F.format_string("Customer#%09d", "id").alias("display_name"))
+    aliases = names.select("entity_id", F.lit("imo").alias("id_type"), "entity_id", F.lit(None).cast("long").alias("from_us"), F.lit(None).cast("long").alias("to_us")).toDF("entity_id", "id_type", "id_value", "from_us", "to_us")
+    listings = spark.createDataFrame([(None, "customer#000000123", None), (None, "customer#000000321", 4)], "imo string, name string, delisted_us long")
+    relations = spark.createDataFrame([], "from_ref string, to_ref string, from_us long, to_us long, retracted_us long")
+    screened = resolve.screen_at(names, aliases, listings, relations, names, 5, 0.8)
+    assert "MapInArrow" in screened._jdf.queryExecution().optimizedPlan().toString()
+
+    def grams(i):
+        return {f"  {w} "[k : k + 3] for w in ("customer", f"{i:09d}") for k in range(len(w) + 1)}
+
+    alike = {f"e{i}": len(grams(i) & grams(123)) / len(grams(i) | grams(123)) for i in range(400)}
+    want = {e: round(s, 9) for e, s in alike.items() if s >= 0.8}
+    assert {r.entity_id: round(r.confidence, 9) for r in screened.filter("sanction_status = 'possible_match'").collect()} == want and len(want) > 1

@@ -188,7 +188,9 @@ def similar_in_blocks(a: DataFrame, b: DataFrame, count_a: int, count_b: int, th
     spark = a.sparkSession
     held, visiting = ("id_a", "id_b") if count_a >= count_b else ("id_b", "id_a")
     n_held, n_visits = max(count_a, count_b), min(count_a, count_b)
-    wanted = max(4 * spark.sparkContext.defaultParallelism, n_held / BLOCK_SETS)
+    # A visit has its own cost, so small sides are not dealt out finer than the tasks need.
+    tasks = spark.sparkContext.defaultParallelism
+    wanted = max(min(4 * tasks, max(tasks, n_held / (1 << 15))), n_held / BLOCK_SETS)
     blocks = math.ceil(min(wanted, max(1, n_held / 1024)))
     chunks = math.ceil(n_visits / CHUNK_SETS)
 
