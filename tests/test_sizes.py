@@ -257,3 +257,34 @@ def test_groups_of_shared_entities_are_made_once(spark):
                 want.add((min(g), min(h), len(s & t), round(len(s & t) / len(s | t), 9), len(g) * len(h)))
     got = [(r.id_a, r.id_b, r.shared, round(r.similarity, 9), r.event_pairs) for r in found.collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_a_shingle_travels_as_its_set_and_itself(spark):
+    rnd = random.Random(13)
+    sets = [(i, rnd.sample(range(60), rnd.randrange(1, 9))) for i in range(50)] + [(90, []), (91, [1000]), (92, None)]
+    classes = dedupe.shared_classes(spark.createDataFrame(sets, "id long, items array<long>"))
+    sent = []
+
+    def walk(node):
+        if node.nodeName() == "RepartitionByExpression":
+            sent.append(node.output().size())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(classes._jdf.queryExecution().optimizedPlan())
+    # The size of a set comes once, not with each shingle; the second shuffle is of shared shingles only.
+    assert min(sent) == 2
+    members = {}
+    for i, s in sets:
+        for x in s or []:
+            members.setdefault(x, set()).add(i)
+    want = {}
+    for i, s in sets:
+        for x in s or []:
+            if len(members[x]) > 1:
+                key = (i, len(s), frozenset(members[x]))
+                want[key] = want.get(key, 0) + 1
+    got = classes.collect()
+    assert sorted((r.id, r.size, r.n, r.weight) for r in got) == sorted((i, n, len(m), w) for (i, n, m), w in want.items())
+    for r in got:
+        assert r.before == sum(1 for x in dict(sets)[r.id] if len(members[x]) == 1) + sum(o.weight for o in got if o.id == r.id and (o.n, o["class"]) < (r.n, r["class"]))
